@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from llm.minhash import op1_minhash_dedup
+from llm.packing import op4_packing
+from llm.simple8b import op3_simple8b_ids
 
 
 def queries():
-    found = [op1_minhash_dedup]
+    found = [op1_minhash_dedup, op3_simple8b_ids, op4_packing]
     return {f.__name__: f for f in found}
 
 
