@@ -102,6 +102,7 @@ class PieceTable:
         self.size = np.zeros(0, np.int32)
         self.used = np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
+        self.pending: dict[int, bytes] = {}
 
     def _shrink(self):
         keep = np.sort(np.argsort(-self.used, kind="stable")[: self.limit // 2])
@@ -110,33 +111,58 @@ class PieceTable:
         self.keys, self.size, self.used = self.keys[keep], size, self.used[keep] // 2
         self.start = np.cumsum(size) - size
 
-    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces in a row, number of ids of each piece)."""
-        keys, first, back, counts = np.unique(flat.span_hashes(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
+    def trim(self) -> None:
+        """Make room; only between blocks whose pieces are resolved."""
         if len(self.keys) > self.limit:
             self._shrink()
+
+    def note(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct keys, key of each piece); new pieces wait for settle()."""
+        keys, first, back, counts = np.unique(flat.span_hashes(data, starts, ends), return_index=True, return_inverse=True, return_counts=True)
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         inner = at < len(self.keys)
         known[inner] = self.keys[at[inner]] == keys[inner]
+        self.used[at[known]] += counts[known]
         new = np.flatnonzero(~known)
         if len(new):
             raw = data.tobytes()
-            found = self.encode([raw[s:e] for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            size = np.fromiter(map(len, found), np.int32, len(found))
-            joined = np.fromiter((x for ids in found for x in ids), np.uint32, int(size.sum()))
-            where = at[new]
-            self.start = np.insert(self.start, where, len(self.pool) + np.cumsum(size) - size)
-            self.size = np.insert(self.size, where, size)
-            self.used = np.insert(self.used, where, 0)
-            self.keys = np.insert(self.keys, where, keys[new])
-            self.pool = np.concatenate([self.pool, joined])
-            at = np.searchsorted(self.keys, keys)
-        self.used[at] += counts
-        place = at[back]
+            for k, s, e in zip(keys[new].tolist(), starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True):
+                if k not in self.pending:
+                    self.pending[k] = raw[s:e]
+        return keys, back.astype(np.int32)
+
+    def settle(self) -> None:
+        """Encode what waits."""
+        if not self.pending:
+            return
+        keys = np.fromiter(self.pending, np.uint64, len(self.pending))
+        found = self.encode(list(self.pending.values()))
+        self.pending = {}
+        size = np.fromiter(map(len, found), np.int32, len(found))
+        joined = np.fromiter((x for ids in found for x in ids), np.uint32, int(size.sum()))
+        start = len(self.pool) + np.cumsum(size) - size
+        order = np.argsort(keys)
+        where = np.searchsorted(self.keys, keys[order])
+        self.start = np.insert(self.start, where, start[order])
+        self.size = np.insert(self.size, where, size[order])
+        self.used = np.insert(self.used, where, 1)
+        self.keys = np.insert(self.keys, where, keys[order])
+        self.pool = np.concatenate([self.pool, joined])
+
+    def resolve(self, keys: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, number of ids of each piece)."""
+        place = np.searchsorted(self.keys, keys)[back]
         size = self.size[place]
         return self.pool[spread(self.start[place], size)], size
 
+    def ids(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As resolve(), for one block."""
+        self.trim()
+        noted = self.note(data, starts, ends)
+        self.settle()
+        return self.resolve(*noted)
+
 
 def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The positions start[i] .. start[i] + size[i] - 1 of every i, in a row."""
