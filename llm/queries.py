@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from llm.bpe import op7_merge_replay_bpe
+from llm.html import op8_html_extraction
 from llm.langid import op5_language_id
 from llm.minhash import op1_minhash_dedup
 from llm.packing import op4_packing
+from llm.sharding import op9_sampled_splitters
 from llm.simple8b import op3_simple8b_ids
 
 
 def queries():
-    found = [op1_minhash_dedup, op3_simple8b_ids, op4_packing, op5_language_id, op7_merge_replay_bpe]
+    found = [op1_minhash_dedup, op3_simple8b_ids, op4_packing, op5_language_id, op7_merge_replay_bpe, op8_html_extraction, op9_sampled_splitters]
     return {f.__name__: f for f in found}
 
 
