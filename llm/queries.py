@@ -7,12 +7,13 @@ from llm.html import op8_html_extraction
 from llm.langid import op5_language_id
 from llm.minhash import op1_minhash_dedup
 from llm.packing import op4_packing
+from llm.quality import op10_kneser_ney_quality
 from llm.sharding import op9_sampled_splitters
 from llm.simple8b import op3_simple8b_ids
 
 
 def queries():
-    found = [op1_minhash_dedup, op3_simple8b_ids, op4_packing, op5_language_id, op7_merge_replay_bpe, op8_html_extraction, op9_sampled_splitters]
+    found = [op1_minhash_dedup, op3_simple8b_ids, op4_packing, op5_language_id, op7_merge_replay_bpe, op8_html_extraction, op9_sampled_splitters, op10_kneser_ney_quality]
     return {f.__name__: f for f in found}
 
 
