@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from llm.audio import op6_audio_features
 from llm.bpe import op7_merge_replay_bpe
 from llm.html import op8_html_extraction
 from llm.langid import op5_language_id
@@ -10,10 +11,11 @@ from llm.packing import op4_packing
 from llm.quality import op10_kneser_ney_quality
 from llm.sharding import op9_sampled_splitters
 from llm.simple8b import op3_simple8b_ids
+from llm.vectors import op2_robust_graph
 
 
 def queries():
-    found = [op1_minhash_dedup, op3_simple8b_ids, op4_packing, op5_language_id, op7_merge_replay_bpe, op8_html_extraction, op9_sampled_splitters, op10_kneser_ney_quality]
+    found = [op1_minhash_dedup, op3_simple8b_ids, op4_packing, op5_language_id, op7_merge_replay_bpe, op8_html_extraction, op9_sampled_splitters, op10_kneser_ney_quality, op6_audio_features, op2_robust_graph]
     return {f.__name__: f for f in found}
 
 
