@@ -30,7 +30,9 @@ from llm.store import stored
 #: Vectors in a shard at most (on average, where a cluster is dealt out); clusters aim at half of it.
 SHARD = 2048
 #: Clusters of a label at most, and over all labels sampled centroids at most.
-MOST_CLUSTERS, MOST_CENTROIDS = 256, 8192
+MOST_CLUSTERS, MOST_CENTROIDS = 256, 2048
+#: Sampled vectors for each centroid; cosine of centroids that are merged.
+PER_CENTROID, MERGE = 32, 0.75
 #: Neighbours kept, candidates pruned, pruning slack; candidates that a search keeps expanding.
 DEGREE, POOL, ALPHA, BEAM = 24, 64, 1.2, 24
 #: Queries searched together in a shard.
@@ -50,17 +52,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def robust_prune(x: np.ndarray) -> list[np.ndarray]:
-    """Adjacency lists: of each vector's nearest POOL, those not much nearer to an earlier chosen one."""
+    """Adjacency lists, made symmetric so that every vector can be reached.
+
+    Candidates are a vector's nearest POOL and others at growing ranks up to the farthest, which give the
+    long edges; chosen are those not much nearer to an earlier chosen one.
+    """
     n = len(x)
     near = 1.0 - x @ x.T
     np.fill_diagonal(near, np.inf)
-    pool = min(POOL, n - 1)
-    if pool <= 0:
+    if n < 2:
         return [np.zeros(0, np.int64)] * n
-    order = np.argpartition(near, pool - 1, axis=1)[:, :pool]
+    ranks = np.arange(n - 1)
+    if n - 1 > POOL:
+        ranks = np.unique(np.concatenate([ranks[:POOL], np.geomspace(POOL, n - 1, POOL).astype(np.int64) - 1]))
+    order = np.argsort(near, axis=1, kind="stable")[:, ranks]
     dist = np.take_along_axis(near, order, axis=1)
-    by = np.argsort(dist, axis=1, kind="stable")
-    order, dist = np.take_along_axis(order, by, axis=1), np.take_along_axis(dist, by, axis=1)
+    pool = len(ranks)
     alive = np.ones((n, pool), bool)
     kept = np.zeros((n, pool), bool)
     for k in range(pool):
@@ -71,7 +78,10 @@ def robust_prune(x: np.ndarray) -> list[np.ndarray]:
         chosen = order[rows, k]
         to_chosen = near[chosen[:, None], order[rows]]
         alive[rows] &= ALPHA * to_chosen > dist[rows]
-    return [order[i, kept[i]] for i in range(n)]
+    a, k = np.nonzero(kept)
+    b = order[a, k]
+    key = np.unique(np.concatenate([a * n + b, b * n + a]))
+    return np.split(key % n, np.searchsorted(key // n, np.arange(1, n)))
 
 
 def greedy_range_search(x: np.ndarray, flat: np.ndarray, first: np.ndarray, q: np.ndarray, own: np.ndarray, medoid: int, least: float) -> np.ndarray:
@@ -117,26 +127,39 @@ def greedy_range_search(x: np.ndarray, flat: np.ndarray, first: np.ndarray, q: n
     return cosine >= least
 
 
+def _cluster(x: np.ndarray, k: int) -> np.ndarray:
+    """Spherical k-means; of centroids closer than MERGE only that of the larger cluster stays, so that no crowd of copies is torn apart."""
+    random = np.random.default_rng(k)
+    chosen, gap = [0], np.maximum(0, 1 - x @ x[0])
+    while len(chosen) < min(k, len(x)) and gap.sum() > 1e-9:
+        chosen.append(int(random.choice(len(x), p=gap / gap.sum())))
+        gap = np.minimum(gap, np.maximum(0, 1 - x @ x[chosen[-1]]))
+    c = x[chosen]
+    for _ in range(8):
+        near = (x @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, near, x)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(size > 1e-9, sums / np.maximum(size, 1e-9), c)
+    kept: list[int] = []
+    for j in np.argsort(-np.bincount((x @ c.T).argmax(axis=1), minlength=len(c)), kind="stable"):
+        if not kept or (c[kept] @ c[j]).max() < MERGE:
+            kept.append(int(j))
+    return c[kept]
+
+
 def _centroids(classes: DataFrame, shard: int) -> dict:
     """Sampled vectors of each (label, length): a bounded number, the same for the same table."""
     counts = {(r["label"], r["dim"]): r["n"] for r in classes.groupBy("label", "dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label", "dim").limit(MOST_CENTROIDS // 2).collect()}
     wanted = {k: min(MOST_CLUSTERS, max(1, MOST_CENTROIDS // max(1, len(counts))), -(-2 * n // shard)) for k, n in counts.items()}
-    rate = classes.sparkSession.createDataFrame([(k[0], k[1], min(1.0, 4.0 * w / counts[k])) for k, w in wanted.items()] or [(0, 0, 0.0)], "label long, dim int, rate double")
+    rate = classes.sparkSession.createDataFrame([(k[0], k[1], min(1.0, PER_CENTROID * w / counts[k])) for k, w in wanted.items()] or [(0, 0, 0.0)], "label long, dim int, rate double")
     drawn = classes.join(F.broadcast(rate), ["label", "dim"]).where(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) / 1_000_003.0 < F.col("rate")).select("label", "dim", "rep", "v").collect()
     by: dict = {}
     for r in drawn:
         by.setdefault((r["label"], r["dim"]), []).append((r["rep"], r["v"]))
     found = {}
     for k, rows in by.items():
-        x = _unit(np.array([v for _, v in sorted(rows)], np.float64))
-        chosen, gap = [0], 1 - x @ x[0]
-        while len(chosen) < min(wanted[k], len(x)):  # far points first, so that a crowd of copies gets one centroid
-            far = int(gap.argmax())
-            if gap[far] < 0.02:
-                break
-            chosen.append(far)
-            gap = np.minimum(gap, 1 - x @ x[far])
-        found[k] = x[chosen]
+        found[k] = _cluster(_unit(np.array([v for _, v in sorted(rows)], np.float64)), wanted[k])
     return found
 
 
@@ -184,8 +207,8 @@ def near_vectors(rows: DataFrame, least: float = 0.93, shard: int = SHARD, id_co
 
     ordered = member.select(*cell, "rep", "v").repartition(*cell).sortWithinPartitions(*cell)
     graph = ordered.mapInArrow(build, "rep long, near array<long>")
-    union = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # two lists of DEGREE
-    targets = member.join(union, "rep").select(*cell, F.lit(0).alias("block"), "rep", "copies", "c1", "c2", "v", "near")
+    union = graph.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # the lists of two shards
+    targets = member.join(union, "rep").select(*cell, "rep", "copies", "c1", "c2", "v", "near")
     blocks = F.ceil(F.count("*").over(_window("label", "dim", "c")) / (2 * shard)).cast("int")
     asks = member.withColumn("blocks", blocks).withColumn("b", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
     both = asks.select(*[c for c in cell if c != "s"], F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("s"), "b", "rep", "copies", "c1", "c2", "v")
