@@ -34,3 +34,27 @@ def applicable(questions: DataFrame, answers: dict[str, list[str]]) -> DataFrame
     given = F.create_map(*[x for k, v in answers.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]) if answers else F.create_map().cast("map<string,array<string>>")
     holds = F.forall(F.map_entries("when"), lambda e: F.coalesce(F.arrays_overlap(e["value"], F.element_at(given, e["key"])), F.lit(False)))
     return questions.where(F.coalesce(holds, F.lit(True)))
+
+
+def strongest(signals: DataFrame, key: str, order: list[str], level: str, note: str, other: str = "none") -> DataFrame:
+    """(key, level, notes): the strongest level among a key's signals, with what speaks for it."""
+    rank = F.lit(len(order))
+    for k, name in reversed(list(enumerate(order))):
+        rank = F.when(F.col(level) == name, k).otherwise(rank)
+    ranked = signals.withColumn("__rank", rank)
+    best = ranked.groupBy(key).agg(F.min("__rank").alias("__best"))
+    notes = ranked.join(best, key).where("__rank = __best").groupBy(key, "__best").agg(F.array_sort(F.collect_set(note)).alias("notes"))
+    return notes.select(key, F.coalesce(F.get(F.array(*map(F.lit, order)), F.col("__best")), F.lit(other)).alias(level), "notes")
+
+
+def demoted(findings: DataFrame, evidence: str, pattern: str, severity: str, to: str) -> DataFrame:
+    """Findings whose every piece of evidence matches get a lower severity; those without evidence stay."""
+    only = (F.size(evidence) > 0) & F.forall(evidence, lambda e: e.rlike(pattern))
+    return findings.withColumn(severity, F.when(F.coalesce(only, F.lit(False)), to).otherwise(F.col(severity)))
+
+
+def invalid_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """(id, answer, problem): answers to no question or with a value that is none of its options (an empty list takes any)."""
+    joined = answers.join(questions.withColumnRenamed("options", "__o"), "id", "left")
+    problem = F.when(F.col("__o").isNull(), "unknown question").when((F.size("__o") > 0) & ~F.array_contains("__o", F.col("answer")), "not an option")
+    return joined.withColumn("problem", problem).where("problem is not null").select("id", "answer", "problem")

@@ -68,3 +68,24 @@ def rollup(simulated: DataFrame, package: str) -> DataFrame:
         one = nearest_rank(simulated, [package], "hours", p).select(package, F.col("q").alias(f"p{round(p * 100)}"))
         out = one if out is None else out.join(one, package)
     return out
+
+
+def priced(counts: DataFrame, key: str, drivers: list[str], rates: DataFrame) -> DataFrame:
+    """(key, lo, hi, total): counts of drivers times their rates (driver, lo, hi), ends rounded up to half hours."""
+    long = counts.unpivot(key, drivers, "driver", "count").where(F.col("count") > 0)
+    sums = long.join(F.broadcast(rates), "driver").groupBy(key).agg(F.sum(F.col("count") * F.col("lo")).alias("lo"), F.sum(F.col("count") * F.col("hi")).alias("hi"))
+    up = lambda c: F.ceil(F.col(c) * 2 - 1e-9) / 2
+    return sums.select(key, up("lo").alias("lo"), up("hi").alias("hi"), ((up("lo") + up("hi")) / 2).alias("total"))
+
+
+def contingency(total: Column, share: Column, most: Column) -> Column:
+    """A share on top, of a bounded amount."""
+    return total + F.least(total * share, most)
+
+
+def size_band_hours(rows: DataFrame, key: str, lines: str, bands: list[tuple[int, float]], beyond: float) -> DataFrame:
+    """(key, items, hours): items priced by the first band of lines that they fit."""
+    price = F.lit(beyond)
+    for limit, hours in reversed(bands):
+        price = F.when(F.col(lines) <= limit, hours).otherwise(price)
+    return rows.groupBy(key).agg(F.count("*").alias("items"), F.sum(price).alias("hours"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import cards as C
+from quarry.operators import decide as D
+from quarry.operators import estimate as E
 from quarry.operators import extract as X
 from quarry.plans.registry import query
 
@@ -156,3 +158,34 @@ def project_select(t):
 def live_branch(t):
     rows = [("a", "develop", False, 1, "main"), ("a", "develop", False, 2, "main"), ("a", "release", True, 3, "main"), ("b", "main", True, 1, "x"), ("c", None, None, None, "master")]
     return C.live_branch(t.spark.createDataFrame(rows, "repo string, branch string, protected boolean, at int, usual string"), "repo", "branch", "protected", "at", "usual")
+
+
+@query("WITH c AS (SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'O') AS opened, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished FROM orders GROUP BY 1), h AS (SELECT o_custkey, ceil((opened * 1.25 + finished * 0.3) * 2 - 1e-9) / 2 AS lo, ceil((opened * 3.0 + finished * 0.7) * 2 - 1e-9) / 2 AS hi FROM c WHERE opened + finished > 0) SELECT o_custkey, lo, hi, (lo + hi) / 2 AS total FROM h")
+def hours_calc(t):
+    counts = t.orders.groupBy("o_custkey").agg(F.count_if(F.col("o_orderstatus") == "O").alias("opened"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
+    rates = t.spark.createDataFrame([("opened", 1.25, 3.0), ("finished", 0.3, 0.7)], "driver string, lo double, hi double")
+    return E.priced(counts, "o_custkey", ["opened", "finished"], rates)
+
+
+@query("SELECT p_brand, count(*) AS items, sum(CASE WHEN p_size <= 10 THEN 1.0 WHEN p_size <= 30 THEN 2.5 ELSE 6.0 END)::DOUBLE AS hours FROM part GROUP BY 1")
+def size_bands(t):
+    return E.size_band_hours(t.part, "p_brand", "p_size", [(10, 1.0), (30, 2.5)], 6.0)
+
+
+@query("SELECT * FROM (VALUES ('a', 'strong', 'db, http'), ('b', 'weak', 'name')) v(app, level, notes)")
+def scope_coupling(t):
+    rows = [("a", "strong", "http"), ("a", "weak", "name"), ("a", "strong", "db"), ("b", "weak", "name"), ("b", "odd", "x")]
+    out = D.strongest(t.spark.createDataFrame(rows, "app string, level string, note string"), "app", ["strong", "medium", "weak"], "level", "note")
+    return out.withColumn("notes", F.array_join("notes", ", "))
+
+
+@query("SELECT * FROM (VALUES (1, 'Low'), (2, 'High'), (3, 'High')) v(id, severity)")
+def post_adjust(t):
+    rows = [(1, "High", ["using X;", "using Y;"]), (2, "High", ["using X;", "X.Run();"]), (3, "High", [])]
+    return D.demoted(t.spark.createDataFrame(rows, "id int, severity string, evidence array<string>"), "evidence", "^using ", "severity", "Low").drop("evidence")
+
+
+@query("SELECT * FROM (VALUES ('q2', 'green', 'not an option'), ('q9', 'x', 'unknown question')) v(id, answer, problem)")
+def intake_validate(t):
+    questions = t.spark.createDataFrame([("q1", []), ("q2", ["red", "blue"])], "id string, options array<string>")
+    return D.invalid_answers(t.spark.createDataFrame([("q1", "any"), ("q2", "green"), ("q2", "red"), ("q9", "x")], "id string, answer string"), questions)
