@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from llm.store import stored
 
+#: Edges in one file at most (if files are even), and files that are written at least.
+FILE_EDGES, LEAST_FILES = 50_000, 8
+
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node that has an edge; the component is its smallest node.
@@ -30,4 +33,5 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        e = small.union(least.select("u", F.col("m").alias("v"))).distinct()
+        e = stored(e.coalesce(max(LEAST_FILES, state["n"] // FILE_EDGES)), "cc")
