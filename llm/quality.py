@@ -42,6 +42,8 @@ REPEAT, START, END = 1, 2, 3
 QUANTILE, MARGIN = 0.995, 1.15
 #: One in so many trusted texts calibrates. Symbols of usual cost added to each text.
 FOLDS, PRIOR = 5, 200
+#: Text whose 5-grams are held at once.
+PART_BYTES = 1_000_000
 #: Log-perplexities are counted in steps of this size for the quantiles.
 STEP = 1e-4
 
@@ -107,14 +109,14 @@ def _counted(tagged: DataFrame) -> DataFrame:
         for batch in batches:
             block = batch.column(2)[0].as_py() if batch.num_rows else block
             trusted = batch.column(1).to_numpy() == TRAIN
-            for start, stop, data, offsets in flat.blocks(flat.column(batch, "text")):
+            for start, stop, data, offsets in flat.blocks(flat.column(batch, "text"), PART_BYTES):
                 found, bounds = grams(data, offsets)
                 mine = np.repeat(trusted[start:stop], np.diff(bounds))
                 c, n = np.unique(found[mine], return_counts=True)
                 other = np.unique(found[~mine])
                 held += [(c, n), (other, np.zeros(len(other), np.int64))]
                 waiting += len(c) + len(other)
-                if waiting > 2_000_000:
+                if waiting > 700_000:
                     merged()
         if held:
             merged()
@@ -200,7 +202,7 @@ def _scored(asked: DataFrame, packed: DataFrame) -> DataFrame:
                     order = np.argsort(codes)
                     codes, values = codes[order], np.concatenate([v for _, v in parts])[order] if parts else np.zeros(0)
                 texts = [unzip.decompress(z) if z else b"" for z in own.column(7).to_pylist()]
-                for start, stop, data, offsets in flat.blocks(pa.array(texts, pa.binary())):
+                for start, stop, data, offsets in flat.blocks(pa.array(texts, pa.binary()), PART_BYTES):
                     found, bounds = grams(data, offsets)
                     at = np.minimum(np.searchsorted(codes, found), max(0, len(codes) - 1))
                     if len(found) and (len(codes) == 0 or not (codes[at] == found).all()):
