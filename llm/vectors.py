@@ -8,6 +8,10 @@ for in every shard of its two clusters: a greedy search starts at the shard's me
 place, if it has one there, and expands the best candidates; whatever lies within the range is expanded as well, so
 that it leads to the rest of the range. Hits are checked in double precision.
 
+A linked pair need not share one of its two clusters, so the graphs alone would compare a share of the pairs that falls
+as clusters grow in number. Every other cluster that can hold a linked vector, by bounds that miss none (``_open``), is
+scanned in full: its home vectors against the vector, in blocks.
+
 A hit in the second cluster counts only if it is not in the first one too, so each
 link is counted once. Shards return sums and a spanning forest of their links, never
 all pairs. Equal vectors of a label are one vertex with a weight. ``audit`` measures the recall.
@@ -37,6 +41,8 @@ PER_CENTROID, MERGE = 32, 0.75
 DEGREE, POOL, ALPHA, BEAM = 24, 64, 1.2, 24
 #: Queries searched together in a shard.
 QUERIES = 512
+#: Components of the vectors in a block of whole clusters that is scanned, and as many of its queries; home vectors in one product.
+FAR_VALUES, FAR_COLUMNS = 4_000_000, 8192
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -163,6 +169,121 @@ def _centroids(classes: DataFrame, shard: int) -> dict:
     return found
 
 
+def _open(cosine: np.ndarray, one: np.ndarray, two: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, least: float) -> np.ndarray:
+    """Boolean (vectors, clusters): clusters besides a vector's two whose home vectors may be within its range.
+
+    cosine is that of vectors and centroids, low and high the least and largest cosine of a cluster's home vectors with its centroid
+    (2 and -2 for a cluster without any). A home vector of cluster j is no nearer to the vector's own centroid than to j's, so
+    it lies beyond the plane between them; and its angle to centroid j differs from the vector's by the range's angle at most.
+    """
+    found = np.tile(low <= high, (len(cosine), 1))
+    if least > 0:
+        gap = np.sqrt(np.maximum(0, 2 - 2 * c @ c.T))
+        found &= cosine[np.arange(len(cosine)), one][:, None] - cosine <= np.sqrt(max(0.0, 1 - least * least)) * gap[one] + 1e-6
+    angle, turn = np.arccos(np.clip(cosine, -1, 1)), np.arccos(np.clip(least, -1, 1))
+    found &= angle <= np.arccos(np.clip(low, -1, 1)) + turn + 1e-6
+    found &= angle >= np.arccos(np.clip(high, -1, 1)) - turn - 1e-6
+    found[np.arange(len(cosine)), one] = False
+    found[np.arange(len(cosine)), two] = False
+    return found
+
+
+def _far_blocks(c: np.ndarray, sizes: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first block, number of blocks) of each cluster: similar clusters share a block of about ``room`` vectors, larger ones are cut."""
+    first, parts = np.zeros(len(c), np.int32), np.ones(len(c), np.int32)
+    left, at, block, filled = set(range(len(c))), 0, 0, 0
+    while left:
+        left.discard(at)
+        if filled and filled + sizes[at] > room:
+            block, filled = block + 1, 0
+        first[at], parts[at] = block, max(1, -(-int(sizes[at]) // room))
+        filled += int(sizes[at])
+        if parts[at] > 1:
+            block, filled = block + int(parts[at]), 0
+        if left:
+            rest = np.array(sorted(left))
+            at = int(rest[(c[rest] @ c[at]).argmax()])
+    return first, parts
+
+
+def _far(placed: DataFrame, centroids: dict, least: float) -> DataFrame:
+    """(rep, n, to) of the links between vectors that share none of their clusters."""
+    homes = placed.where("c2 >= 0").groupBy("label", "dim", "c1").agg(F.count("*").alias("n"), F.min("own").alias("low"), F.max("own").alias("high")).collect()
+    known: dict = {}
+    for k, c in centroids.items():
+        if len(c) > 2:
+            known[k] = [c, np.full(len(c), 2.0), np.full(len(c), -2.0), np.zeros(len(c), np.int64)]
+    for r in homes:
+        if (r["label"], r["dim"]) in known:
+            _, low, high, sizes = known[(r["label"], r["dim"])]
+            low[r["c1"]], high[r["c1"]], sizes[r["c1"]] = r["low"], r["high"], r["n"]
+    cut = {k: _far_blocks(c, sizes, max(1, FAR_VALUES // k[1])) for k, (c, _, _, sizes) in known.items()}
+
+    def reach(batches):
+        for batch in batches:
+            label, dim = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
+            for k in sorted(set(zip(label.tolist(), dim.tolist(), strict=True)) & set(known)):
+                rows = batch.take(pa.array(np.flatnonzero((label == k[0]) & (dim == k[1]))))
+                c, low, high, _ = known[k]
+                first, parts = cut[k]
+                one, two = rows.column("c1").to_numpy(), rows.column("c2").to_numpy()
+                found = _open(_unit(_matrix(rows.column("v"))) @ c.T, one, two, c, low, high, least)
+                asks = [np.unique(np.concatenate([np.zeros(0, np.int32), *(np.arange(first[j], first[j] + parts[j], dtype=np.int32) for j in np.flatnonzero(row))])) for row in found]
+                ends = np.append(0, np.cumsum([len(a) for a in asks])).astype(np.int32)
+                draw = (rows.column("rep").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                home = first[one] + (draw % parts[one].astype(np.uint64)).astype(np.int32)
+                far = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(asks).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in columns), pa.array(home.astype(np.int32)), far], names=[*columns, "home", "far"])
+
+    columns = ["label", "dim", "rep", "copies", "c1", "c2", "v"]
+    reached = stored(placed.where("c2 >= 0").mapInArrow(reach, "label long, dim int, rep long, copies long, c1 int, c2 int, v array<double>, home int, far array<int>"), "reached")
+    asks = reached.select(*columns, F.explode("far").alias("f"))
+    blocks = asks.groupBy("label", "dim", "f").agg(F.ceil(F.count("*") * F.col("dim") / FAR_VALUES).cast("int").alias("blocks"))
+    asks = asks.join(blocks, ["label", "dim", "f"]).withColumn("b", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("blocks")).cast("int"))
+    targets = reached.select(*columns, F.col("home").alias("f")).join(blocks, ["label", "dim", "f"]).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = ["label", "dim", "f", "b"]
+    order = [*cell, "asks", "rep", "copies", "c1", "c2", "v"]
+    mixed = targets.withColumn("asks", F.lit(False)).select(*order).union(asks.withColumn("asks", F.lit(True)).select(*order))
+
+    def scan(batches):
+        for table in _groups(batches, cell):
+            ask = table["asks"].to_numpy(zero_copy_only=False).astype(bool)
+            c, low, high, _ = known[(table["label"][0].as_py(), table["dim"][0].as_py())]
+            t, q = table.filter(pa.array(~ask)), table.filter(pa.array(ask))
+            del table
+            t = t.take(pa.array(np.argsort(t["c1"].to_numpy(), kind="stable")))
+            x, y = _unit(_matrix(t["v"])), _unit(_matrix(q["v"]))
+            rep, weight, second = t["rep"].to_numpy(), t["copies"].to_numpy(), t["c2"].to_numpy()
+            q_rep, one, two = q["rep"].to_numpy(), q["c1"].to_numpy(), q["c2"].to_numpy()
+            bounds = np.searchsorted(t["c1"].to_numpy(), np.arange(len(c) + 1))
+            roots = _Forest()
+            for s in range(0, len(q), QUERIES):
+                e = min(s + QUERIES, len(q))
+                found = _open(y[s:e] @ c.T, one[s:e], two[s:e], c, low, high, least)
+                n, to = np.zeros(e - s, np.int64), q_rep[s:e].copy()
+                for j in np.flatnonzero(found.any(axis=0) & (np.diff(bounds) > 0)):
+                    rows = s + np.flatnonzero(found[:, j])
+                    for a in range(bounds[j], bounds[j + 1], FAR_COLUMNS):
+                        r, k = np.nonzero(y[rows] @ x[a : min(a + FAR_COLUMNS, bounds[j + 1])].T >= least - 1e-9)
+                        r, k = rows[r], a + k
+                        new = (second[k] != one[r]) & (second[k] != two[r])  # not met in a graph
+                        r, k = r[new], k[new]
+                        for z in range(0, len(r), 50_000):
+                            rz, kz = r[z : z + 50_000], k[z : z + 50_000]
+                            hit = np.einsum("ij,ij->i", y[rz], x[kz]) >= least
+                            rz, kz = rz[hit], kz[hit]
+                            np.add.at(n, rz - s, weight[kz])
+                            np.minimum.at(to, rz - s, rep[kz])
+                            roots.join(q_rep[rz], rep[kz])
+                some = n > 0
+                if some.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(q_rep[s:e][some]), pa.array(n[some]), pa.array(to[some])], names=["rep", "n", "to"])
+            a, b = roots.edges()
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.zeros(len(a), np.int64)), pa.array(b)], names=["rep", "n", "to"])
+
+    return mixed.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(scan, "rep long, n long, to long")
+
+
 def near_vectors(rows: DataFrame, least: float = 0.93, shard: int = SHARD, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(id_col, n_links, component_id, kept) of each row."""
     v = F.col(vec_col).cast("array<double>")
@@ -178,20 +299,20 @@ def near_vectors(rows: DataFrame, least: float = 0.93, shard: int = SHARD, id_co
     def assign(batches):
         for batch in batches:
             label, dim = batch.column("label").to_numpy(), batch.column("dim").to_numpy()
-            one, two = np.zeros(len(label), np.int32), np.full(len(label), -1, np.int32)
+            one, two, near = np.zeros(len(label), np.int32), np.full(len(label), -1, np.int32), np.ones(len(label))
             for k in set(zip(label.tolist(), dim.tolist(), strict=True)):
                 at = np.flatnonzero((label == k[0]) & (dim == k[1]))
                 c = centroids.get(k)
                 if c is None or len(c) == 1:
                     continue
                 cosine = _unit(_matrix(batch.column("v").take(pa.array(at)))) @ c.T
-                one[at] = cosine.argmax(axis=1)
+                one[at], near[at] = cosine.argmax(axis=1), cosine.max(axis=1)
                 cosine[np.arange(len(at)), one[at]] = -2
                 two[at] = cosine.argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one), pa.array(two)], names=[*batch.schema.names, "c1", "c2"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one), pa.array(two), pa.array(near)], names=[*batch.schema.names, "c1", "c2", "own"])
 
     fields = "label long, rep long, copies long, dim int, v array<double>"
-    placed = stored(classes.select("label", "rep", "copies", "dim", "v").mapInArrow(assign, fields + ", c1 int, c2 int"), "clusters")
+    placed = stored(classes.select("label", "rep", "copies", "dim", "v").mapInArrow(assign, fields + ", c1 int, c2 int, own double"), "clusters")
     member = placed.withColumn("c", F.explode(F.when(F.col("c2") < 0, F.array("c1")).otherwise(F.array("c1", "c2"))))
     sizes = member.groupBy("label", "dim", "c").agg(F.ceil(F.count("*") / shard).cast("int").alias("subs"))
     member = member.join(sizes, ["label", "dim", "c"]).withColumn("s", F.pmod(F.xxhash64("rep"), F.col("subs")).cast("int"))
@@ -256,6 +377,8 @@ def near_vectors(rows: DataFrame, least: float = 0.93, shard: int = SHARD, id_co
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(np.zeros(len(a), np.int64)), pa.array(b)], names=["rep", "n", "to"])
 
     found = mixed.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(search, "rep long, n long, to long")
+    if any(len(c) > 2 for c in centroids.values()):
+        found = found.union(_far(placed, centroids, least))
     found = stored(found, "hits")
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
     parts = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))

@@ -1,5 +1,6 @@
 import numpy as np
 
+from llm import vectors
 from llm.vectors import audit, near_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id string, rep long"
@@ -39,6 +40,21 @@ def test_links_and_components_match_brute_force_in_small_shards(spark):
     assert row["links"] == n[[i % 5 == 0 for i in ids]].sum() and row["recall"] >= 0.9
 
 
+def test_no_link_is_lost_between_hundreds_of_clusters(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(900, 16))
+    x = np.concatenate([x, x + 0.36 * r.normal(size=x.shape)]).astype(np.float32)  # pairs near the least cosine
+    labels, ids, clusters, plain = np.zeros(len(x), int), list(range(len(x))), [], vectors._cluster
+    monkeypatch.setattr(vectors, "_cluster", lambda *a: (lambda c: clusters.append(len(c)) or c)(plain(*a)))
+    monkeypatch.setattr(vectors, "FAR_VALUES", 3000)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "a", 0) for i, v in zip(ids, x, strict=True)], SCHEMA)
+    got = {r["vec_id"]: r for r in near_vectors(df, shard=16).collect()}
+    n, part = brute(x, labels, ids)
+    assert clusters[0] >= 200
+    assert [got[i]["n_links"] for i in ids] == n.tolist() and n.sum() > 400
+    assert [got[i]["component_id"] for i in ids] == part.tolist()
+
+
 def test_odd_vectors_and_copies(spark):
     nan, inf = float("nan"), float("inf")
     one = [1.0, 0.0]
