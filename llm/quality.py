@@ -3,7 +3,7 @@
 Symbols are UTF-8 bytes; a word equal to the one before it is one REPEAT
 symbol, and a text starts with four START symbols and ends with END. An
 interpolated modified Kneser-Ney model of order 5 is counted on all trusted
-texts. Everything about it stays in tables sharded by n-gram:
+texts; a trusted text is scored without the counts of its own fold. Everything about it stays in tables sharded by n-gram:
 
 1. one pass emits, for each block of documents (a partition of the scan), its
    distinct 5-grams and how often each occurs in trusted texts;
@@ -13,10 +13,10 @@ texts. Everything about it stays in tables sharded by n-gram:
 3. these go back to their blocks, where the block's documents (compressed
    texts) meet them and are summed up.
 
-One trusted text in FOLDS is not counted but calibrates: a language's threshold is a
-quantile of its calibration texts' perplexities, times a margin. Perplexities
+Trusted texts fall into FOLDS folds, and all of them calibrate: a language's threshold is a
+quantile of its trusted texts' perplexities under the counts of the other folds, times a margin. Perplexities
 are compared after adding PRIOR symbols of the language's usual cost, so that a few odd
-letters do not condemn a short text. A language without calibration texts takes the
+letters do not condemn a short text. A language without trusted texts takes the
 values of all of them; without any, nothing is rejected for its perplexity.
 Null and empty texts have no symbols, a null perplexity, and are rejected. A null language
 is the language ``und``; a row with a null id is scored but never trusted.
@@ -35,12 +35,14 @@ from llm import flat
 from llm.store import BROADCAST_ROWS, stored
 
 ORDER = 5
+#: Bits of a 5-gram; above them stand the asked variant and, in a block's counts, the fold.
+CODE_BITS, TAG_BITS = 8 * ORDER, 8 * ORDER + 4
 #: Roles of a document: to be scored only, counted too, or calibrating.
 PLAIN, TRAIN, CALIBRATE = 0, 1, 2
 REPEAT, START, END = 1, 2, 3
 #: Quantile of the trusted texts of a language, and the factor on its perplexity.
 QUANTILE, MARGIN = 0.995, 1.15
-#: One in so many trusted texts calibrates. Symbols of usual cost added to each text.
+#: Folds of the trusted texts; a variant of the model leaves out the fold of its number, variant FOLDS none. Symbols of usual cost added to each text.
 FOLDS, PRIOR = 5, 200
 #: Text whose 5-grams are held at once.
 PART_BYTES = 1_000_000
@@ -94,7 +96,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _counted(tagged: DataFrame) -> DataFrame:
-    """(block, code, c): each block's distinct 5-grams, with their counts in its TRAIN rows."""
+    """(block, code, v, fold, c): each block's distinct 5-grams by asked variant and fold (-1 for none), with their counts in trusted rows."""
 
     def run(batches):
         block, codes, counts, held, waiting = 0, np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
@@ -107,65 +109,79 @@ def _counted(tagged: DataFrame) -> DataFrame:
             codes, counts, held, waiting = every, total, [], 0
 
         for batch in batches:
-            block = batch.column(2)[0].as_py() if batch.num_rows else block
-            trusted = batch.column(1).to_numpy() == TRAIN
+            block = batch.column(3)[0].as_py() if batch.num_rows else block
+            tag = (batch.column(1).to_numpy().astype(np.int64) << CODE_BITS) | ((batch.column(2).to_numpy().astype(np.int64) + 1) << TAG_BITS)
             for start, stop, data, offsets in flat.blocks(flat.column(batch, "text"), PART_BYTES):
                 found, bounds = grams(data, offsets)
-                mine = np.repeat(trusted[start:stop], np.diff(bounds))
-                c, n = np.unique(found[mine], return_counts=True)
-                other = np.unique(found[~mine])
-                held += [(c, n), (other, np.zeros(len(other), np.int64))]
-                waiting += len(c) + len(other)
+                c, n = np.unique(found | np.repeat(tag[start:stop], np.diff(bounds)), return_counts=True)
+                held.append((c, n))
+                waiting += len(c)
                 if waiting > 700_000:
                     merged()
         if held:
             merged()
         for k in range(0, len(codes), 100_000):
             part = codes[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(part), pa.array(counts[k : k + 100_000])], names=["block", "code", "c"])
+            v, fold = ((part >> CODE_BITS) & 15).astype(np.int32), (part >> TAG_BITS).astype(np.int32) - 1
+            c = np.where(fold >= 0, counts[k : k + 100_000], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block, np.int32)), pa.array(part & ((1 << CODE_BITS) - 1)), pa.array(v), pa.array(fold), pa.array(c)], names=["block", "code", "v", "fold", "c"])
 
-    return tagged.select("text", "role", F.spark_partition_id()).mapInArrow(run, "block int, code long, c long")
+    return tagged.select("text", "v", "fold", F.spark_partition_id()).mapInArrow(run, "block int, code long, v int, fold int, c long")
 
 
-def _discounts(table: DataFrame) -> list[float]:
-    """D1, D2 and D3+ from the numbers of n-grams that occur one to four times."""
-    row = table.agg(*[F.count_if(F.col("c") == k).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n = [row[f"n{k}"] for k in (1, 2, 3, 4)]
-    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
-    found = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), k) if n[k - 1] else k / 2 for k in (1, 2, 3)]
-    return [min(max(d, 0.05 * k), 0.95 * k) for k, d in enumerate(found, 1)]
+def _discounts(table: DataFrame, variants: list[int]) -> dict[int, list[float]]:
+    """D1, D2 and D3+ of each variant from the numbers of n-grams that occur one to four times."""
+    row = table.agg(*[F.count_if(F.col(f"c{v}") == k).alias(f"n{v}_{k}") for v in variants for k in (1, 2, 3, 4)]).first()
+    out = {}
+    for v in variants:
+        n = [row[f"n{v}_{k}"] for k in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
+        found = [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), k) if n[k - 1] else k / 2 for k in (1, 2, 3)]
+        out[v] = [min(max(d, 0.05 * k), 0.95 * k) for k, d in enumerate(found, 1)]
+    return out
 
 
-def probabilities(counted: DataFrame) -> DataFrame:
-    """(code, lp): the natural logarithm of each asked 5-gram's probability."""
-    levels = {ORDER: stored(counted.where("c > 0").groupBy("code").agg(F.sum("c").alias("c")).withColumnRenamed("code", "g"), "counts")}
+def probabilities(counted: DataFrame, variants: list[int]) -> DataFrame:
+    """(code, v, lp): the natural logarithm of each asked 5-gram's probability in the asked variant of the model."""
+
+    def pick(name):
+        """The column of the row's variant; an n-gram or context that does not occur in it has null."""
+        found = F.when(F.col("v") == variants[0], F.col(f"{name}{variants[0]}"))
+        for v in variants[1:]:
+            found = found.when(F.col("v") == v, F.col(f"{name}{v}"))
+        return F.nullif(found, F.lit(0))
+
+    left = {v: F.sum(F.when(F.col("fold") != v, F.col("c")).otherwise(0)).alias(f"c{v}") for v in variants}
+    levels = {ORDER: stored(counted.where("c > 0").groupBy(F.col("code").alias("g")).agg(*left.values()), "counts")}
     mask = {k: (1 << (8 * k)) - 1 for k in range(1, ORDER + 1)}
     for k in range(ORDER - 1, 0, -1):
-        shorter = levels[k + 1].groupBy(F.col("g").bitwiseAND(mask[k]).alias("g")).agg(F.count("*").alias("c"))
+        shorter = levels[k + 1].groupBy(F.col("g").bitwiseAND(mask[k]).alias("g")).agg(*[F.count_if(F.col(f"c{v}") > 0).alias(f"c{v}") for v in variants])
         levels[k] = stored(shorter, "counts")
-    asked = {ORDER: stored(counted.select(F.col("code").alias("g")).distinct(), "asked")}
+    asked = {ORDER: stored(counted.select(F.col("code").alias("g"), "v").distinct(), "asked")}
     for k in range(ORDER - 1, 0, -1):
-        asked[k] = asked[k + 1].select(F.col("g").bitwiseAND(mask[k]).alias("g")).distinct()
+        asked[k] = asked[k + 1].select(F.col("g").bitwiseAND(mask[k]).alias("g"), "v").distinct()
     lower = None
     for k in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(levels[k])
-        off = lambda c, d1=d1, d2=d2, d3=d3: F.when(c == 1, d1).when(c == 2, d2).otherwise(d3)
-        c = F.col("c")
-        context = levels[k].groupBy(F.shiftright("g", 8).alias("h")).agg(F.sum("c").alias("all"), F.sum(off(c)).alias("saved"))
+        d = _discounts(levels[k], variants)
+        off = lambda c, v, d=d: F.when(c == 0, 0.0).when(c == 1, d[v][0]).when(c == 2, d[v][1]).otherwise(d[v][2])
+        sums = [x for v in variants for x in (F.sum(f"c{v}").alias(f"all{v}"), F.sum(off(F.col(f"c{v}"), v)).alias(f"saved{v}"))]
+        context = levels[k].groupBy(F.shiftright("g", 8).alias("h")).agg(*sums)
         rows = asked[k].withColumn("h", F.shiftright("g", 8)).join(levels[k], "g", "left").join(context, "h", "left")
         if lower is None:
             rows = rows.withColumn("q", F.lit(1 / 256))
         else:
-            rows = rows.withColumn("s", F.col("g").bitwiseAND(mask[k - 1])).join(lower, "s")
-        p = F.coalesce((F.greatest(F.coalesce(c, F.lit(0)) - off(c), F.lit(0.0)) + F.col("saved") * F.col("q")) / F.col("all"), F.col("q"))
-        # an n-gram that does not occur has c null: no own share
-        p = F.when(c.isNull(), F.coalesce(F.col("saved") * F.col("q") / F.col("all"), F.col("q"))).otherwise(p)
-        lower = stored(rows.select(F.col("g").alias("s"), p.alias("q")), "probabilities")
-    return lower.select(F.col("s").alias("code"), F.log("q").alias("lp"))
+            rows = rows.withColumn("s", F.col("g").bitwiseAND(mask[k - 1])).join(lower, ["s", "v"])
+        own = F.lit(None).cast("double")
+        for v in variants:
+            own = F.when(F.col("v") == v, F.greatest(F.col(f"c{v}") - off(F.col(f"c{v}"), v), F.lit(0.0))).otherwise(own)
+        # an n-gram that does not occur has no own share
+        p = F.coalesce((F.coalesce(own, F.lit(0.0)) + pick("saved") * F.col("q")) / pick("all"), F.col("q"))
+        lower = stored(rows.select(F.col("g").alias("s"), "v", p.alias("q")), "probabilities")
+    return lower.select(F.col("s").alias("code"), "v", F.log("q").alias("lp"))
 
 
 def _packed(tagged: DataFrame) -> DataFrame:
-    """(block, id, lang, role, z): the documents by the same blocks, with compressed texts."""
+    """(block, id, lang, role, v, z): the documents by the same blocks, with compressed texts."""
 
     def run(batches):
         zip_ = zstandard.ZstdCompressor(level=3)
@@ -174,9 +190,9 @@ def _packed(tagged: DataFrame) -> DataFrame:
                 raw = data.tobytes()
                 z = [zip_.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 own = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([own.column(4), own.column(0), own.column(1), own.column(3), pa.array(z, pa.binary())], names=["block", "id", "lang", "role", "z"])
+                yield pa.RecordBatch.from_arrays([own.column(5), own.column(0), own.column(1), own.column(3), own.column(4), pa.array(z, pa.binary())], names=["block", "id", "lang", "role", "v", "z"])
 
-    return tagged.select("id", "lang", "text", "role", F.spark_partition_id()).mapInArrow(run, "block int, id long, lang string, role int, z binary")
+    return tagged.select("id", "lang", "text", "role", "v", F.spark_partition_id()).mapInArrow(run, "block int, id long, lang string, role int, v int, z binary")
 
 
 def _scored(asked: DataFrame, packed: DataFrame) -> DataFrame:
@@ -204,6 +220,7 @@ def _scored(asked: DataFrame, packed: DataFrame) -> DataFrame:
                 texts = [unzip.decompress(z) if z else b"" for z in own.column(7).to_pylist()]
                 for start, stop, data, offsets in flat.blocks(pa.array(texts, pa.binary()), PART_BYTES):
                     found, bounds = grams(data, offsets)
+                    found = found | np.repeat(own.column(8).to_numpy()[start:stop].astype(np.int64) << CODE_BITS, np.diff(bounds))
                     at = np.minimum(np.searchsorted(codes, found), max(0, len(codes) - 1))
                     if len(found) and (len(codes) == 0 or not (codes[at] == found).all()):
                         raise RuntimeError("a block's documents are not those that it was counted on")
@@ -212,30 +229,36 @@ def _scored(asked: DataFrame, packed: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([part.column(4), part.column(5), part.column(6), pa.array(np.diff(bounds)), pa.array(np.diff(total[bounds]))], names=["id", "lang", "role", "n", "lp"])
 
     none = lambda kind: F.lit(None).cast(kind)
-    left = asked.select("block", F.lit(False).alias("is_doc"), "code", "lp", none("long").alias("id"), none("string").alias("lang"), none("int").alias("role"), none("binary").alias("z"))
-    right = packed.select("block", F.lit(True), none("long"), none("double"), "id", "lang", "role", "z")
+    left = asked.select("block", F.lit(False).alias("is_doc"), "code", "lp", none("long").alias("id"), none("string").alias("lang"), none("int").alias("role"), none("binary").alias("z"), none("int").alias("v"))
+    right = packed.select("block", F.lit(True), none("long"), none("double"), "id", "lang", "role", "z", "v")
     rows = left.union(right).repartition("block").sortWithinPartitions("block", "is_doc")
     return rows.mapInArrow(run, "id long, lang string, role int, n long, lp double")
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, role, n, lp) of each row; ``trusted`` has the ids (id_col) of trusted texts."""
+def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rotate: bool = False) -> DataFrame:
+    """(id, lang, role, n, lp) of each row; ``trusted`` has the ids (id_col) of trusted texts.
+
+    With ``rotate`` all trusted texts are counted, and each is scored without its own fold; otherwise all rows are scored without the first fold.
+    """
     ids = stored(trusted.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("trusted")).where("id is not null").distinct(), "trusted")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     few = ids.count() <= BROADCAST_ROWS
-    role = F.when(F.col("trusted"), F.when(F.pmod(F.crc32(F.col("id").cast("string")), F.lit(FOLDS)) == 0, CALIBRATE).otherwise(TRAIN)).otherwise(PLAIN)
-    tagged = plain.join(F.broadcast(ids) if few else ids, "id", "left").select("id", "lang", "text", role.alias("role"))
+    fold = F.when(F.col("trusted"), F.pmod(F.crc32(F.col("id").cast("string")), F.lit(FOLDS)).cast("int"))
+    role = F.when(fold.isNull(), PLAIN).when(F.lit(rotate) | (fold == 0), CALIBRATE).otherwise(TRAIN)
+    variant = F.coalesce(fold, F.lit(FOLDS)) if rotate else F.lit(0)
+    tagged = plain.join(F.broadcast(ids) if few else ids, "id", "left").select("id", "lang", "text", role.alias("role"), F.coalesce(fold, F.lit(-1)).alias("fold"), variant.alias("v"))
     if not few or "Exchange" in plain._jdf.queryExecution().sparkPlan().toString():
         tagged = stored(tagged, "tagged")  # so that both passes below see the same partitions
     counted = stored(_counted(tagged), "grams")
-    asked = counted.select("block", "code").join(probabilities(counted), "code")
+    asked = counted.select("block", "code", "v").join(probabilities(counted, list(range(FOLDS + 1)) if rotate else [0]), ["code", "v"])
+    asked = asked.select("block", F.col("code").bitwiseOR(F.shiftleft(F.col("v").cast("long"), CODE_BITS)).alias("code"), "lp")
     scored = _scored(asked, _packed(tagged))
     return scored
 
 
 def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(id_col, lang, n_symbols, perplexity, adjusted, threshold, kept) of each row."""
-    rows = stored(perplexities(docs, trusted, id_col, text_col, lang_col), "perplexities")
+    rows = stored(perplexities(docs, trusted, id_col, text_col, lang_col, rotate=True), "perplexities")
     known = rows.where((F.col("role") == CALIBRATE) & (F.col("n") > 0))
     usual = known.groupBy("lang").agg(F.sum("lp").alias("lp"), F.sum("n").alias("n"))
     usual = usual.select("lang", (-F.col("lp") / F.col("n")).alias("usual")), usual.agg((-F.sum("lp") / F.sum("n")).alias("any_usual"))

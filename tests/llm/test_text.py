@@ -94,6 +94,25 @@ def test_perplexities_match_a_plain_model(spark, docs_of):
         assert got[i]["n"] == n and got[i]["lp"] == pytest.approx(lp, rel=1e-9, abs=1e-9)
 
 
+def test_every_trusted_text_is_counted_and_calibrates(spark, docs_of):
+    import zlib
+
+    fold = lambda i: zlib.crc32(str(i).encode()) % quality.FOLDS
+    rng = random.Random(4)
+    few = [i for i in range(100, 200) if fold(i)][:3]  # a language of which none is in the first fold
+    rows = [(i, " ".join(rng.choices(EN.split(), k=30)), "en") for i in range(30)] + [(i, "perro gato casa " * 3 + str(i), "es") for i in few]
+    trusted = spark.createDataFrame([(i,) for i in [*range(20), *few]], "doc_id long")
+    texts = {i: t for i, t, _ in rows}
+    good = [*range(20), *few]
+    scored = {r["id"]: r for r in quality.perplexities(docs_of(rows), trusted, rotate=True).collect()}
+    for i, t in texts.items():
+        train = [texts[j] for j in good if i not in good or fold(j) != fold(i)]
+        assert scored[i]["lp"] == pytest.approx(kneser_ney(train, [t])[0][1], rel=1e-9)
+        assert scored[i]["role"] == (quality.CALIBRATE if i in good else quality.PLAIN)
+    limits = {r["lang"]: r["threshold"] for r in quality.classify(docs_of(rows), trusted).collect()}
+    assert len(set(limits.values())) == 2  # the small language has a threshold of its own
+
+
 def test_junk_is_rejected_and_clean_text_kept(spark, docs_of):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices(EN.split(), k=40)), "en") for i in range(80)] + [(100, "A$$$ B%%% C### D&&& " * 12, "en"), (101, "the cat", "xx"), (102, None, "en"), (None, "the dog and the cat", None)]
