@@ -3,6 +3,8 @@
 A page is cut into blocks of text at block-level tags. A linear classifier
 gives each block a score for being content; a positive score becomes the
 capacity of an edge from the source, a negative one of an edge to the sink.
+A form or a container named like boilerplate is only vetoed for now: the veto falls if no article stands outside of
+vetoed containers and this one holds most of the page's text, or an article inside it; a main inside always counts.
 Blocks next to each other, and the next blocks of the same container, are tied
 by smoothness edges. The blocks on the source's side of the minimum cut are the text.
 
@@ -27,6 +29,8 @@ RAW = set("script style textarea title noscript template iframe svg math".split(
 OUTSIDE = set("nav footer aside form button select menu dialog search head label input optgroup".split())
 INSIDE = set("article main".split())
 NOT_TEXT = set("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright disqus dropdown feedback footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted recommend recommended related reply replies respond rss search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert complementary contentinfo responses discussion".split())
+#: Words of lists of other texts, whose articles are not the page's.
+OTHERS = set("comment comments commentlist disqus discussion reply replies respond responses related recommend recommended".split())
 TEXT = set("article content story post entry main".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
@@ -42,36 +46,58 @@ NEXT, SIBLING = 0.4, 0.6
 
 
 class Block:
-    __slots__ = ("text", "linked", "tag", "parent", "side")
+    __slots__ = ("text", "linked", "tag", "parent", "side", "vetoes")
 
-    def __init__(self, text, linked, tag, parent, side):
-        self.text, self.linked, self.tag, self.parent, self.side = text, linked, tag, parent, side
+    def __init__(self, text, linked, tag, parent, side, vetoes=()):
+        self.text, self.linked, self.tag, self.parent, self.side, self.vetoes = text, linked, tag, parent, side, vetoes
 
 
-def _side(tag: str, attrs: str, above: int) -> int:
-    """-1 in boilerplate, 1 in an article, 0 in neither; what is above in the tree decides first if it is boilerplate."""
+def _side(tag: str, attrs: str, above: int) -> tuple[int, bool]:
+    """(-1 in boilerplate, 1 in an article, 0 in neither; whether the element is vetoed until all blocks are known)."""
     if above < 0:
-        return above
+        return above, False
     words: set[str] = set()
+    role: set[str] = set()
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return -1
+            return -1, False
         if name in ("class", "id", "role"):
-            words.update(_WORD.findall(value))
-    if tag in OUTSIDE or tag == "header" and above == 0:
-        return -1
-    if tag not in ("html", "body") and words & NOT_TEXT and tag not in INSIDE and not (above == 1 and words & {"header"} and not words & (NOT_TEXT - {"header"})):
-        return -1
-    if tag in INSIDE or words & TEXT and tag != "body":
-        return 1
-    return above
+            (role if name == "role" else words).update(_WORD.findall(value))
+    every = words | role
+    if tag in OUTSIDE - {"form"} or tag == "header" and above == 0:
+        return -1, False
+    veto = tag == "form"
+    if tag not in ("html", "body") and every & NOT_TEXT and tag not in INSIDE and not (above == 1 and every & {"header"} and not every & (NOT_TEXT - {"header"})):
+        if role & (NOT_TEXT - {"form"}) or every & OTHERS:
+            return -1, False
+        veto = True
+    if veto:
+        return above, True
+    if tag in INSIDE or every & TEXT and tag != "body":
+        return 1, False
+    return above, False
+
+
+def _settle(found: list[Block]) -> None:
+    """Side -1 for blocks below a veto that stands; a veto is (container, whether an article is inside it around the block)."""
+    if not any(b.vetoes for b in found):
+        return
+    real = not any(b.side == 1 and not b.vetoes for b in found)
+    total = sum(len(b.text) for b in found if b.side >= 0)
+    held: dict[int, int] = {}
+    for b in found:
+        for number, _ in b.vetoes if b.side >= 0 else ():
+            held[number] = held.get(number, 0) + len(b.text)
+    for b in found:
+        if not all(real and (inside or 2 * held.get(number, 0) > total) for number, inside in b.vetoes):
+            b.side = -1
 
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text, scripts, styles and comments left out."""
     found: list[Block] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]  # element, its number, its side
+    stack: list[tuple[str, int, int, tuple]] = [("", 0, 0, ())]  # element, its number, its side, the vetoes on it
     text: list[str] = []
     number, links, linked, at, end = 0, 0, 0, 0, len(page)
 
@@ -80,8 +106,8 @@ def blocks_of(page: str) -> list[Block]:
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                tag, parent, side = stack[-1]
-                found.append(Block(joined, min(linked, len(joined)), tag, stack[-2][1] if len(stack) > 1 and tag in ("p", "li", "dd", "dt", "td", "th") else parent, side))
+                tag, parent, side, vetoes = stack[-1]
+                found.append(Block(joined, min(linked, len(joined)), tag, stack[-2][1] if len(stack) > 1 and tag in ("p", "li", "dd", "dt", "td", "th") else parent, side, vetoes))
             text.clear()
         linked = 0
 
@@ -134,8 +160,13 @@ def blocks_of(page: str) -> list[Block]:
                     break
             if tag not in VOID:
                 number += 1
-                stack.append((tag, number, _side(tag, m[3], stack[-1][2])))
+                side, veto = _side(tag, m[3], stack[-1][2])
+                vetoes = stack[-1][3]
+                if tag in INSIDE and side == 1:
+                    vetoes = () if tag == "main" else tuple((k, True) for k, _ in vetoes)
+                stack.append((tag, number, side, (*vetoes, (number, False)) if veto else vetoes))
     flush()
+    _settle(found)
     return found
 
 

@@ -165,6 +165,16 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <aside>Related things to read.</aside><form><label>Name</label></form><footer>&copy; 2020</footer></body></html>"""
 
 
+def test_wrappers_of_the_whole_page_do_not_lose_its_article():
+    text = "First long paragraph of the article, with a sentence.\nSecond long paragraph of it, which ends here as well."
+    body = "".join(f"<p>{line}</p>" for line in text.split("\n"))
+    menu = "<nav>Menu Home About</nav>"
+    for page in (f"<form id=aspnetForm>{menu}<article>{body}</article></form>", f"<form>{menu}<main>{body}</main></form>", f"<div class='with-sidebar'>{menu}<div>{body}</div></div>", f"<div class=page-header><form><article>{body}</article></form></div>"):
+        assert html.main_text(f"<html><body>{page}<footer>Imprint</footer></body></html>") == text
+    small = f"<div class=sidebar><article><p>A teaser of another page, which is not its text.</p></article></div><form><p>Write to us, we like to read what you think.</p></form><div class=comments><article><p>{'I think so too, thanks. ' * 30}</p></article></div>"
+    assert html.main_text(f"<html><body><article>{body}</article>{small}</body></html>") == text
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain text alone, with a sentence in it that is long enough."), (5, "u", "<article>" + "<p>Many words are here.</p>" * 3000), (5, "u", "<nav>x</nav>"), (None, "u", "<p>&lt;b&gt; &#233; &nbsp; is decoded once, and so it should be.</p>")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
