@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.store import stored
+from llm.store import discard, stored
 
 #: Edges in one file at most (if files are even), and files that are written at least.
 FILE_EDGES, LEAST_FILES = 50_000, 8
@@ -27,11 +27,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
                 e.select("v", "v").distinct()
             )
-        before = state
+        before, last = state, e
         both = e.union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = small.union(least.select("u", F.col("m").alias("v"))).distinct()
-        e = stored(e.coalesce(max(LEAST_FILES, state["n"] // FILE_EDGES)), "cc")
+        old, e = last, stored(e.coalesce(max(LEAST_FILES, state["n"] // FILE_EDGES)), "cc")
+        discard(old)

@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one id column that may be broadcast: 2 million longs are 16 MB. Beyond it a shuffle join is used.
 BROADCAST_ROWS = 2_000_000
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; where that is unset (tests, one machine) a temporary folder."""
+    """``spark.checkpoint.dir``; where that is unset (tests, one machine) a folder of the warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints")
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -32,7 +33,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` whose successors are written; nothing may read them any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_paths.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
