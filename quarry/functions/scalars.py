@@ -15,7 +15,10 @@ SECRET_KINDS = {
 }
 #: Replacements that keep the key or shape and hide the value.
 MASKS = [
-    (r"(?i)((?:password|passwd|pwd|secret|token|api[_-]?key)[ ]*[=:][ ]*['\"]?)[^ '\";]{4,}", "$1***"),
+    (r"(?i)((?:password|passwd|pwd|secret|token|api[_-]?key)[ ]*[=:][ ]*['\"])[^'\"\r\n]{4,}", "$1***"),
+    (r"(?i)((?:password|passwd|pwd|secret|token|api[_-]?key)[ ]*[=:][ ]*)[^ '\";]{4,}", "$1***"),
+    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\r\n \\:,.-]*?-----END [A-Z ]*PRIVATE KEY-----", "***"),
+    (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\r\n]*", "***"),
     (r"AKIA[0-9A-Z]{16}", "***"),
     (r"gh[pousr]_[A-Za-z0-9]{20,}", "***"),
     (r"(://[^/ :@]+:)[^/ :@]+@", "$1***@"),

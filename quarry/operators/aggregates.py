@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,11 +21,40 @@ def findings(hits: DataFrame, key: list[str], file: str, line: str, confidence:
     return totals.join(capped(hits, key, [file, line], [file, line], most).withColumnRenamed("items", "evidence"), key)
 
 
+def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(by, n, one column per rank): the values at places (from 0, as functions of n) of each key's sorted numbers.
+
+    A sketch bounds each place, counts below the bounds and of the values between them make it exact: only the few values
+    between bounds are sorted, so a key with most of the rows is no task's burden. Nulls are left out.
+    """
+    own = [F.col(c).alias(f"__b{k}") for k, c in enumerate(by)]
+    names = [f"__b{k}" for k in range(len(by))]
+    v = rows.select(*own, F.col(value).alias("__v")).where("__v is not null")
+    n, slack = F.count("*"), 0.002
+    bounds = v.groupBy(*names).agg(n.alias("n"), F.percentile_approx("__v", [k / 1000 for k in range(1001)], F.lit(10_000)).alias("__q"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    place = {name: rank(F.col("n")).cast("long") for name, rank in ranks.items()}
+    share = lambda p, d: F.col("__q")[F.greatest(F.lit(0), F.least(F.lit(1000), F.floor(p / F.greatest(F.col("n") - 1, F.lit(1)) * 1000 + d))).cast("int")]
+    sides = [F.struct(F.lit(name).alias("name"), p.alias("at"), F.when(p <= F.col("n") * slack, F.col("__lo")).otherwise(share(p, -2)).alias("lo"), F.when(p >= F.col("n") * (1 - slack), F.col("__hi")).otherwise(share(p, 3)).alias("hi")) for name, p in place.items()]
+    asked = bounds.select(*names, "n", F.array(*sides).alias("asked"))
+    met = v.join(asked, names) if by else v.crossJoin(F.broadcast(asked))  # one row
+    each = met.select(*names, "n", "__v", F.explode("asked").alias("a"))
+    below = each.groupBy(*names, "n", "a").agg(F.count_if(F.col("__v") < F.col("a.lo")).alias("below"))
+    inside = each.where("__v between a.lo and a.hi").groupBy(*names, "n", "a", "__v").agg(F.count("*").alias("m"))
+    w = Window.partitionBy(*names, "n", "a").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    reached = inside.join(below, [*names, "n", "a"]).withColumn("upto", F.col("below") + F.sum("m").over(w)).where("upto > a.at")
+    picked = reached.groupBy(*names, "n").agg(*[F.min(F.when(F.col("a.name") == name, F.col("__v"))).alias(name) for name in ranks])
+    return picked.select(*[F.col(f"__b{k}").alias(c) for k, c in enumerate(by)], "n", *ranks)
+
+
 def nearest_rank(rows: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
     """(by, n, q): the value at index round-half-even(p * (n - 1)) of the sorted values."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("__r", F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1)
-    return ranked.join(counts, by).where(F.col("__r") == F.bround(p * (F.col("n") - 1))).select(*by, "n", F.col(value).alias("q"))
+    return at_ranks(rows, by, value, {"q": lambda n: F.bround(p * (n - 1))})
+
+
+def least_median_greatest(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, n, lo, mid, hi)."""
+    half = {"__a": lambda n: F.floor((n - 1) / 2), "__b": lambda n: F.ceil((n - 1) / 2), "lo": lambda n: F.lit(0), "hi": lambda n: n - 1}
+    return at_ranks(rows, by, value, half).select(*by, "n", "lo", ((F.col("__a") + F.col("__b")) / 2).alias("mid"), "hi")
 
 
 def first_mode(rows: DataFrame, by: list[str], value: str, seq: str) -> DataFrame:

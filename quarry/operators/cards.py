@@ -48,18 +48,20 @@ def resolve_links(links: DataFrame, targets: DataFrame, link: str, target: str)
     return joined.select(*links.columns, F.coalesce("__exact", F.when(F.col("__n") == 1, F.col("__only"))).alias("resolved"))
 
 
-def schedule(items: DataFrame, plan: str, order: str, lane: str, hours: str, capacities: dict[str, float], onboarding: list[float] | None = None, most: int = 200) -> DataFrame:
+def schedule(items: DataFrame, plan: str, order: str, lane: str, hours: str, capacities: dict[str, float], onboarding: list[float] | None = None) -> DataFrame:
     """(plan, sprint, item, hours): work of each lane in order into sprints; capacity that a lane leaves goes to the other lanes.
 
     ``onboarding`` are factors on the capacity of the first sprints. A plan is one estimate's work list, small by nature;
-    plans are independent of each other.
+    plans are independent of each other. Work of a lane that has no capacity of its own comes back with a null sprint.
     """
     factors = onboarding or []
+    if not any(c > 0 for c in capacities.values()) or any(f <= 0 for f in factors):
+        raise ValueError("capacities and factors must be above 0")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         queues = {x: [[r[order], float(r[hours])] for _, r in pdf[pdf[lane] == x].sort_values(order).iterrows()] for x in capacities}
-        rows, sprint = [], 0
-        while any(queues.values()) and sprint < most:
+        rows, sprint = [(r[plan], None, r[order], float(r[hours])) for _, r in pdf[~pdf[lane].isin(list(capacities))].iterrows()], 0
+        while any(queues.values()):
             factor = factors[sprint] if sprint < len(factors) else 1.0
             sprint += 1
             spare = 0.0
@@ -74,7 +76,7 @@ def schedule(items: DataFrame, plan: str, order: str, lane: str, hours: str, cap
                         if queue[0][1] <= 1e-9:
                             queue.pop(0)
                     spare = spare + room if own else room
-        return pd.DataFrame(rows, columns=[plan, "sprint", order, "hours"])
+        return pd.DataFrame(rows, columns=[plan, "sprint", order, "hours"]).astype({"sprint": "Int32"})
 
     kinds = dict(items.dtypes)
     return items.groupBy(plan).applyInPandas(run, f"{plan} {kinds[plan]}, sprint int, {order} {kinds[order]}, hours double")

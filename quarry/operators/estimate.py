@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.scalars import triangular_inverse
-from quarry.operators.aggregates import nearest_rank
+from quarry.operators.aggregates import at_ranks, least_median_greatest
 
 
 def finding_hours(occurrences: Column, fixed: Column, per: Column, cap: Column) -> Column:
@@ -29,10 +29,9 @@ def allocate(rows: DataFrame, by: list[str], weight: str, total: str) -> DataFra
 
 def extrapolate(sampled: DataFrame, others: DataFrame, by: str, value: str) -> DataFrame:
     """Each unsampled row with its group's least, median and greatest value; without peers, those of all widened to half and double."""
-    stats = lambda d, *k: d.groupBy(*k).agg(F.min(value).alias("lo"), F.median(value).alias("mid"), F.max(value).alias("hi"))
-    joined = others.join(F.broadcast(stats(sampled, by)), by, "left")
-    every = stats(sampled).select((F.col("lo") * 0.5).alias("alo"), F.col("mid").alias("amid"), (F.col("hi") * 2).alias("ahi"))
-    out = joined.crossJoin(F.broadcast(every))  # one row
+    peers = least_median_greatest(sampled, [by], value).select(by, "lo", "mid", "hi")
+    every = least_median_greatest(sampled, [], value).select((F.col("lo") * 0.5).alias("alo"), F.col("mid").alias("amid"), (F.col("hi") * 2).alias("ahi"))
+    out = others.join(peers, by, "left").crossJoin(F.broadcast(every))  # one row
     return out.select(*others.columns, F.coalesce("lo", "alo").alias("lo"), F.coalesce("mid", "amid").alias("mid"), F.coalesce("hi", "ahi").alias("hi"), F.col("lo").isNotNull().alias("has_peers"))
 
 
@@ -62,12 +61,9 @@ def simulate(items: DataFrame, package: str, iterations: int = 4000, rho: float
 
 
 def rollup(simulated: DataFrame, package: str) -> DataFrame:
-    """(package, p10, p50, p80, p90) by nearest rank."""
-    out = None
-    for p in (0.1, 0.5, 0.8, 0.9):
-        one = nearest_rank(simulated, [package], "hours", p).select(package, F.col("q").alias(f"p{round(p * 100)}"))
-        out = one if out is None else out.join(one, package)
-    return out
+    """(package, p10, p50, p80, p90) by nearest rank, from one pass over the simulation."""
+    share = lambda p: lambda n: F.bround(p * (n - 1))
+    return at_ranks(simulated, [package], "hours", {f"p{round(p * 100)}": share(p) for p in (0.1, 0.5, 0.8, 0.9)}).drop("n")
 
 
 def priced(counts: DataFrame, key: str, drivers: list[str], rates: DataFrame) -> DataFrame:

@@ -87,9 +87,15 @@ def extract(files: DataFrame, catalogue: list[Pattern], path: str, text: str) ->
         one = fits(p) & F.col(text).rlike("(?m)" + p.pattern)
         any_ = one if any_ is None else any_ | one
     lines = line_explode(files.select(path, text, ext.alias("__ext")).where(any_), text).drop(text)
-    group = lambda p, k: F.regexp_extract("line", p.pattern, k) if k else F.lit("")
-    hits = [F.when(fits(p) & F.col("line").rlike(p.pattern), F.struct(F.lit(p.kind).alias("kind"), group(p, p.value).alias("value"), group(p, p.extra).alias("extra"))) for p in catalogue]
-    return lines.withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).select(path, F.col("line_no").alias("line"), "hit.*")
+    every = lambda p, k: F.regexp_extract_all("line", F.lit(p.pattern), F.lit(k))
+    none = F.array().cast("array<struct<kind: string, value: string, extra: string>>")
+
+    def hits(p: Pattern) -> Column:
+        at = F.arrays_zip(every(p, 0).alias("m"), every(p, p.value).alias("v"), every(p, p.extra).alias("x"))
+        made = F.transform(at, lambda z: F.struct(F.lit(p.kind).alias("kind"), (z["v"] if p.value else F.lit("")).alias("value"), (z["x"] if p.extra else F.lit("")).alias("extra")))
+        return F.when(fits(p) & F.col("line").rlike(p.pattern), made).otherwise(none)
+
+    return lines.withColumn("hit", F.explode(F.flatten(F.array(*map(hits, catalogue))))).select(path, F.col("line_no").alias("line"), "hit.*")
 
 
 def endpoints(files: DataFrame, path: str, text: str) -> DataFrame:
@@ -130,11 +136,11 @@ def build_failure(text: Column) -> Column:
     return out
 
 
-def linked_issues(rows: DataFrame, key: str, text: str, most: int = 20) -> DataFrame:
-    """(key, issue) of issue references, the first ``most`` of each row; well-known codes of that shape are none."""
+def linked_issues(rows: DataFrame, key: str, text: str, most: int | None = None) -> DataFrame:
+    """(key, issue) of issue references, with ``most`` the first so many of each row; well-known codes of that shape are none."""
     found = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?:^|[\s(\[])(#[0-9]+|[A-Z][A-Z0-9]+-[0-9]+)\b"), 1))
     real = F.filter(found, lambda x: ~x.rlike(r"^(UTF|ISO|SHA|RFC|CVE|TLS|HTTP)-"))
-    return rows.select(key, F.explode(F.slice(real, 1, most)).alias("issue"))
+    return rows.select(key, F.explode(real if most is None else F.slice(real, 1, most)).alias("issue"))
 
 
 def insert_rows(rows: DataFrame, key: str, text: str) -> DataFrame:

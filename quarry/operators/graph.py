@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(named or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
     return df.checkpoint()
 
 
@@ -40,12 +40,12 @@ def closure(edges: DataFrame) -> DataFrame:
     return reach(edges, edges.select(F.col("src").alias("seed"))).select(F.col("seed").alias("src"), F.col("node").alias("dst"))
 
 
-def shortest_path(edges: DataFrame, source, target, depth: int = 16) -> DataFrame:
-    """(path, hops) of a shortest path, the first in order of nodes."""
+def shortest_path(edges: DataFrame, source, target, depth: int | None = None) -> DataFrame:
+    """(path, hops) of a shortest path, the first in order of nodes; with ``depth``, of at most so many hops."""
     e = edges.select("src", "dst").distinct()
     frontier = e.where(F.col("src") == source).groupBy("dst").agg(F.min(F.array("src", "dst")).alias("path")).select(F.col("dst").alias("node"), "path")
     seen = _cut(frontier)
-    for _ in range(depth - 1):
+    for _ in count() if depth is None else range(depth - 1):
         if not seen.where(F.col("node") == target).isEmpty() or frontier.isEmpty():
             break
         step = frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
@@ -54,20 +54,52 @@ def shortest_path(edges: DataFrame, source, target, depth: int = 16) -> DataFram
     return seen.where(F.col("node") == target).select("path", (F.size("path") - 1).alias("hops"))
 
 
+def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, color): the smallest color that reaches each node along the edges, from (node, color)."""
+    while True:
+        pushed = start.join(edges, start["node"] == edges["src"]).select(F.col("dst").alias("node"), "color")
+        new = _cut(start.union(pushed).groupBy("node").agg(F.min("color").alias("color")))
+        if new.join(start.withColumnRenamed("color", "was"), "node", "left").where("was is null or color < was").isEmpty():
+            return new
+        start = new
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): strongly connected components, named by their smallest node."""
-    reached = closure(edges)
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
-    both = reached.join(reached.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"])
-    least = both.groupBy("src").agg(F.min("dst").alias("m"))
-    return nodes.join(least, nodes["node"] == least["src"], "left").select("node", F.least("node", F.coalesce("m", "node")).alias("component"))
+    """(node, component): strongly connected components, named by their smallest node.
+
+    Forward-backward colouring: every node takes the smallest node that reaches it as its color; what reaches a color's
+    root from within the color is one component. Nodes without edges in or out of what is left are components
+    of their own and trimmed before. Rows never exceed the edges.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
+    left = _cut(edges.select("src", "dst").where("src <> dst").distinct())
+    found = None
+    while True:
+        ends = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
+        kept = _cut(left.join(ends.select(F.col("node").alias("src")), "src", "left_semi").join(ends.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        if kept.count() < left.count():
+            left = kept
+            continue
+        if left.isEmpty():
+            break
+        color = _spread(left.select(F.col("src").alias("node")).distinct().withColumn("color", F.col("node")), left)
+        a, b = color.toDF("src", "a"), color.toDF("dst", "b")
+        inner = _cut(left.join(a, "src").join(b, "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        back = _cut(_spread(color.where("node = color"), inner).select("node", F.col("color").alias("component")))
+        found = back if found is None else _cut(found.union(back))
+        gone = back.select("node")
+        left = _cut(left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
+    if found is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(a, b), a < b, that reach each other."""
-    r = closure(edges)
-    back = r.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    return r.join(back, ["src", "dst"]).where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    """(component, node) of the nodes on cycles: those of components of several nodes, and those with an edge to themselves."""
+    scc = _cut(components(edges))
+    own = edges.where("src = dst").select(F.col("src").alias("node")).distinct().withColumn("own", F.lit(True))
+    size = scc.groupBy("component").agg(F.count("*").alias("n"))
+    return scc.join(size, "component").join(own, "node", "left").where("n > 1 or own").select("component", "node")
 
 
 def layers(edges: DataFrame, scc: DataFrame | None = None) -> DataFrame:
@@ -93,11 +125,26 @@ def waves(edges: DataFrame) -> DataFrame:
     return layers(edges).groupBy((F.col("layer") + 1).alias("wave")).agg(F.count("*").alias("nodes"))
 
 
-def blast_radius(edges: DataFrame, high: int = 3, busy: int = 20) -> DataFrame:
-    """(node, direct, transitive, level) of the dependents of each node."""
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+def blast_radius(edges: DataFrame, high: int = 3, busy: int = 20, exact: bool = True) -> DataFrame:
+    """(node, direct, transitive, level) of the dependents of each node.
+
+    Exact counts need as many rows as there are reachable pairs. Without ``exact``, ``transitive`` is the estimate of a
+    sketch of the dependents, which edges pass on until nothing changes: rows never exceed the edges.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
     direct = edges.where("src <> dst").groupBy("dst").agg(F.countDistinct("src").alias("direct"))
-    every = closure(edges).where("src <> dst").groupBy("dst").agg(F.count("*").alias("transitive"))
+    if exact:
+        every = closure(edges).where("src <> dst").groupBy("dst").agg(F.count("*").alias("transitive"))
+    else:
+        e = _cut(edges.select("src", "dst").where("src <> dst").distinct())
+        own = e.groupBy("dst").agg(F.hll_sketch_agg("src").alias("s"))
+        sketch, before = _cut(own), None
+        while (state := sketch.agg(F.sum(F.hll_sketch_estimate("s"))).first()[0]) != before:
+            before = state
+            passed = e.join(sketch.toDF("src", "s"), "src").select("dst", "s")
+            sketch = _cut(passed.union(sketch).groupBy("dst").agg(F.hll_union_agg("s").alias("s")))
+        member = cycles(edges.where("src <> dst")).select(F.col("node").alias("dst"), F.lit(1).alias("self"))
+        every = sketch.join(member, "dst", "left").select("dst", (F.hll_sketch_estimate("s") - F.coalesce("self", F.lit(0))).alias("transitive"))
     out = nodes.join(direct, nodes["node"] == direct["dst"], "left").drop("dst").join(every, nodes["node"] == every["dst"], "left").drop("dst").na.fill(0)
     level = F.when(F.col("transitive") >= high, "High").when((F.col("transitive") > 0) | (F.col("direct") >= busy), "Medium").otherwise("Low")
     return out.withColumn("level", level)

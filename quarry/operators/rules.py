@@ -1,14 +1,17 @@
-"""Rule scanning: files x rules x lines, with file-level prefilters.
+"""Rule scanning: files x rules x lines in one pass.
 
-Rules are a small catalogue written by hand, so they are literals of the plan: one pass over
-the lines tests all of them, and lines of files that no rule can match are never exploded.
+Rules are a small catalogue written by hand, so they are literals of the plan: one combined pattern
+picks the lines that any of them can match, and only those become rows. Patterns see one line each,
+so anchors mean the line's ends.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,41 +30,67 @@ class Rule:
     context: str | None = None
 
 
+def lines_of(text: str) -> Column:
+    """The lines of a text; a final line break ends no further line."""
+    return F.split(F.regexp_replace(F.col(text), r"(\r\n|\r|\n)$", ""), r"\r\n|\r|\n")
+
+
 def line_explode(files: DataFrame, text: str = "text") -> DataFrame:
-    """One row per line: line_no from 1, line. A final line break ends no further line."""
-    body = F.regexp_replace(F.col(text), r"(\r\n|\r|\n)$", "")
-    return files.select("*", F.posexplode(F.split(body, r"\r\n|\r|\n")).alias("pos", "line")).withColumn("line_no", F.col("pos") + 1).drop("pos")
+    """One row per line: line_no from 1, line. A null text has no lines and gives no row."""
+    return files.select("*", F.posexplode(lines_of(text)).alias("pos", "line")).withColumn("line_no", F.col("pos") + 1).drop("pos")
+
+
+def any_of(patterns: list[str]):
+    """A condition on a column: whether any pattern matches. One alternation, unless groups are referred to by number."""
+    if any(re.search(r"\\[1-9]", p) for p in patterns):
+        return lambda c: reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns])
+    return lambda c: c.rlike("|".join(f"(?:{p})" for p in patterns))
 
 
-def _applies(rule: Rule, kind: str | None, text: str) -> Column:
-    ok = F.col(text).rlike(rule.pattern)
+def _file_level(rule: Rule, kind: str | None, text: str) -> Column | None:
+    """Whether a rule is for the file at all; None if it is for every file."""
+    ok = None
     if rule.types and kind:
-        ok = F.col(kind).isin(*rule.types) & ok
-    if rule.requires:
-        ok &= F.col(text).rlike(rule.requires)
-    if rule.unless_in_file:
-        ok &= ~F.col(text).rlike(rule.unless_in_file)
+        ok = F.coalesce(F.col(kind).isin(*rule.types), F.lit(False))
+    for pattern, wanted in ((rule.requires, True), (rule.unless_in_file, False)):
+        if pattern:
+            one = F.col(text).rlike(pattern) if wanted else ~F.col(text).rlike(pattern)
+            ok = one if ok is None else ok & one
     return ok
 
 
-def rule_scan(files: DataFrame, rules: list[Rule], key: str, kind: str | None = None, text: str = "text", before: int = 15, after: int = 15) -> DataFrame:
-    """(key, kind, rule, level, line_no, line): every line that a rule matches."""
-    can = F.array_compact(F.array(*[F.when(_applies(r, kind, text), F.lit(r.id)) for r in rules]))
-    columns = [key] + ([kind] if kind else [])
-    lines = line_explode(files.select(*columns, text, can.alias("can")).where(F.size("can") > 0), text).drop(text)
-    if any(r.context for r in rules):
-        frame = Window.partitionBy(key).orderBy("line_no").rowsBetween(-before, after)
-        lines = lines.withColumn("around", F.concat_ws("\n", F.collect_list("line").over(frame)))
+def rule_scan(files: DataFrame, rules: list[Rule], key: str, kind: str | None = None, text: str = "text", before: int = 15, after: int = 15, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, kind, keep, rule, level, line_no, line): every line that a rule matches. No shuffle: a file's lines are looked at where they are."""
+    columns = [key, *([kind] if kind else []), *keep]
+    flags = {f"__f{k}": level for k, r in enumerate(rules) if (level := _file_level(r, kind, text)) is not None}
+    lines, contexts = lines_of(text), [r.pattern for r in rules if r.context]
+
+    def around(at: Column) -> Column:
+        first = F.greatest(at + 1 - before, F.lit(1))
+        return F.array_join(F.slice("__lines", first, at + 1 + after - first + 1), "\n")
+
+    def one(line: Column, at: Column) -> Column:
+        near = F.when(any_of(contexts)(line), around(at)) if contexts else F.lit(None).cast("string")
+        return F.struct((at + 1).alias("line_no"), line.alias("line"), near.alias("around"))
+
+    split = files.select(*columns, *[c.alias(n) for n, c in flags.items()], lines.alias("__lines"))
+    numbered = F.transform("__lines", one)
+    if contexts:  # the array outlives the filter only where lines around are looked at
+        can = F.filter(numbered, lambda x: any_of([r.pattern for r in rules])(x["line"]))
+        found = split.select(*columns, *flags, F.explode(can).alias("x")).select(*columns, *flags, "x.*")
+    else:
+        found = split.select(*columns, *flags, F.posexplode("__lines").alias("line_no", "line")).where(any_of([r.pattern for r in rules])(F.col("line"))).withColumn("line_no", F.col("line_no") + 1)
     hits = []
-    for r in rules:
-        hit = F.array_contains("can", r.id) & F.col("line").rlike(r.pattern)
+    for k, r in enumerate(rules):
+        hit = F.col("line").rlike(r.pattern)
+        if f"__f{k}" in flags:
+            hit = F.col(f"__f{k}") & hit
         if r.unless_in_line:
             hit &= ~F.col("line").rlike(r.unless_in_line)
         if r.context:
             hit &= F.col("around").rlike(r.context)
         hits.append(F.when(hit, F.struct(F.lit(r.id).alias("rule"), F.lit(r.level).alias("level"))))
-    found = lines.withColumn("hit", F.explode(F.array_compact(F.array(*hits))))
-    return found.select(*columns, "hit.rule", "hit.level", "line_no", "line")
+    return found.withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).select(*columns, "hit.rule", "hit.level", "line_no", "line")
 
 
 def file_lacks(files: DataFrame, pattern: str, text: str = "text") -> DataFrame:
@@ -76,9 +105,10 @@ def absent(files: DataFrame, group: str, when: str, wants: str, key: str, text:
 
 
 def last_match(files: DataFrame, pattern: str, key: str, text: str = "text") -> DataFrame:
-    """(key, line_no, line) of the last matching line of each file."""
-    lines = line_explode(files.where(F.col(text).rlike(pattern)).select(key, text), text).where(F.col("line").rlike(pattern))
-    return lines.groupBy(key).agg(F.max("line_no").alias("line_no"), F.max_by("line", "line_no").alias("line"))
+    """(key, line_no, line) of the last matching line of each file; each row is a file of its own."""
+    numbered = F.transform(lines_of(text), lambda line, at: F.struct((at + 1).alias("line_no"), line.alias("line")))
+    last = F.try_element_at(F.filter(numbered, lambda x: x["line"].rlike(pattern)), F.lit(-1))
+    return files.select(key, last.alias("x")).where("x is not null").select(key, "x.line_no", "x.line")
 
 
 def valid_waivers(waivers: DataFrame, today: str) -> DataFrame:
@@ -89,8 +119,9 @@ def valid_waivers(waivers: DataFrame, today: str) -> DataFrame:
 
 
 def glob_pattern(glob: Column) -> Column:
-    """A glob as an anchored regular expression: * any text, ? any character."""
-    quoted = F.regexp_replace(glob, r"([.+(){}\[\]^$|\\])", r"\\$1")
+    """A glob as an anchored regular expression: * any text, ? any character, [..] one of a set ([!..] none of it); ``.ext`` is ``*.ext``."""
+    glob = F.when(glob.rlike(r"^\.[A-Za-z0-9]+$"), F.concat(F.lit("*"), glob)).otherwise(glob)
+    quoted = F.regexp_replace(F.regexp_replace(glob, r"([.+(){}^$|\\])", r"\\$1"), r"\[!", "[^")
     return F.concat(F.lit("^"), F.replace(F.replace(quoted, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,21 +17,16 @@ def bm25(cards: DataFrame, terms: list[str], key: str, fields: dict[str, float],
     the number of cards and the mean length of all of them. The score is scaled by the share of the terms found.
     """
     body = list(fields)[-1]
-    totals = cards.agg(F.count("*").alias("cards"), F.avg(F.length(body)).alias("mean"))
     low = {f: F.lower(F.coalesce(f, F.lit(""))) for f in fields}
-    any_term = None
-    for term in terms:
-        for f in fields:
-            hit = low[f].contains(term)
-            any_term = hit if any_term is None else any_term | hit
-
-    def frequency(term: str):
-        return sum((float(boost) * F.size(F.filter(F.split(low[f], "[^a-z0-9]+"), lambda x: x == term)) for f, boost in fields.items()), F.lit(0.0))
-
-    tf = [frequency(term).alias(f"tf{k}") for k, term in enumerate(terms)]
-    found = cards.where(any_term).select(key, F.length(body).alias("n"), *tf)
-    df = found.agg(*[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
-    rows = found.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(df))  # one row each
+    any_term = reduce(lambda a, b: a | b, [low[f].contains(term) for term in terms for f in fields])
+    # each field is split once, into the asked terms that it holds
+    words = [F.when(any_term, F.filter(F.split(low[f], "[^a-z0-9]+"), lambda x: x.isin(*terms))).alias(f"w{k}") for k, f in enumerate(fields)]
+    held = cards.select(key, F.length(body).alias("n"), *words)
+    times = lambda j, term: F.coalesce(F.size(F.filter(f"w{j}", lambda x: x == term)), F.lit(0))
+    tf = [sum((float(boost) * times(j, term) for j, boost in enumerate(fields.values())), F.lit(0.0)).alias(f"tf{k}") for k, term in enumerate(terms)]
+    found = held.select(key, "n", *tf)
+    stats = found.agg(F.count("*").alias("cards"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{k}") > 0).alias(f"df{k}") for k in range(len(terms))])
+    rows = found.where(reduce(lambda a, b: a | b, [F.col(f"tf{k}") > 0 for k in range(len(terms))])).crossJoin(F.broadcast(stats))  # one row
     score, covered = F.lit(0.0), F.lit(0)
     for k in range(len(terms)):
         t, d = F.col(f"tf{k}"), F.col(f"df{k}")
@@ -45,8 +41,8 @@ def tfidf_labels(rows: DataFrame, group: str, words: str, most: int = 2) -> Data
     """(group, word, score, rank): the words that set a group apart; words of most groups are left out."""
     bag = rows.select(group, F.explode(words).alias("word")).where(F.length("word") >= 4).groupBy(group, "word").agg(F.count("*").alias("w"))
     groups = rows.agg(F.countDistinct(group).alias("groups"))
-    df = bag.groupBy("word").agg(F.count("*").alias("df"))
-    scored = bag.join(df, "word").crossJoin(F.broadcast(groups)).where((F.col("df") <= F.greatest(F.lit(2), 0.6 * F.col("groups"))) | (F.col("groups") < 4))
+    df = F.count("*").over(Window.partitionBy("word"))  # at most one row of each group
+    scored = bag.withColumn("df", df).crossJoin(F.broadcast(groups)).where((F.col("df") <= F.greatest(F.lit(2), 0.6 * F.col("groups"))) | (F.col("groups") < 4))  # one row
     scored = scored.withColumn("score", F.round(F.col("w") * F.log(1 + F.col("groups") / F.col("df")), 6))
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "word"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most).select(group, "word", "score", "rank")

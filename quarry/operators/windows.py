@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -24,11 +24,25 @@ def next_span(rows: DataFrame, by: list[str], line: str, most: int) -> DataFrame
     return rows.withColumn("span_end", F.least(F.coalesce(following, limit), limit))
 
 
-def running_slots(rows: DataFrame, by: list[str], order: list, size: str, capacity: float) -> DataFrame:
+def running_total(rows: DataFrame, by: list[str], order: list, size: Column, chunk: Column | None = None) -> DataFrame:
+    """With ``__end``: the sum of ``size`` over the key's rows up to this one in order.
+
+    With ``chunk``, a number that never falls along the order, each chunk of a key is summed by itself and starts at the
+    sum of the chunks before it: no key is one task.
+    """
+    rows = rows.withColumn("__size", size).withColumn("__chunk", F.lit(0) if chunk is None else chunk)
+    up = lambda *k: Window.partitionBy(*k).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("__end", F.sum("__size").over(up(*by, "__chunk").orderBy(*order)))
+    if chunk is not None:
+        whole = rows.groupBy(*by, "__chunk").agg(F.sum("__size").alias("__sum"))
+        start = whole.withColumn("__start", F.sum("__sum").over(up(*by).orderBy("__chunk")) - F.col("__sum")).drop("__sum")
+        out = out.join(start, [*by, "__chunk"]).withColumn("__end", F.col("__end") + F.col("__start")).drop("__start")
+    return out.drop("__size", "__chunk")
+
+
+def running_slots(rows: DataFrame, by: list[str], order: list, size: str, capacity: float, chunk: Column | None = None) -> DataFrame:
     """With ``first_slot`` and ``last_slot``: where work goes that fills slots of one capacity in order."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(size).over(w)
-    out = rows.withColumn("__end", end)
+    out = running_total(rows, by, order, F.col(size), chunk)
     return out.withColumn("first_slot", F.floor((F.col("__end") - F.col(size)) / capacity) + 1).withColumn("last_slot", F.greatest(F.col("first_slot"), F.ceil(F.col("__end") / capacity))).drop("__end")
 
 

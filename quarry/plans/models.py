@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -51,7 +50,7 @@ def graph_scc(t):
     return N.components(_edges(t))
 
 
-@query(f"{_CLOSURE} SELECT CAST(a.src AS BIGINT) AS a, CAST(a.dst AS BIGINT) AS b FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst")
+@query(f"{_SCC} SELECT CAST(component AS BIGINT) AS component, CAST(node AS BIGINT) AS node FROM scc WHERE component IN (SELECT component FROM scc GROUP BY 1 HAVING count(*) > 1) OR node IN (SELECT src FROM e WHERE src = dst)")
 def graph_cycles(t):
     return N.cycles(_edges(t))
 
@@ -254,11 +253,11 @@ def session_windows(t):
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "stop": F.col("stop").cast("timestamp_ntz")})
 
 
-@query("SELECT event_type AS step, count(*) AS runs, CAST(0 AS BIGINT) AS failed FROM events GROUP BY 1")
+@query("SELECT event_type AS step, count(*) AS runs, count(*) FILTER (WHERE value > 90) AS failed FROM events GROUP BY 1")
 def log_stream(t):
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{base}/log-{t.spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
-    V.append_log(t.events.select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("step"), F.lit("ok").alias("status")), f"{folder}/in")
+    V.append_log(t.events.select(F.col("ts").cast("timestamp").alias("at"), F.col("event_type").alias("step"), F.when(F.col("value") > 90, "failed").otherwise("ok").alias("status")), f"{folder}/in")
     report = V.step_report(V.log_stream(t.spark, f"{folder}/in"))
     return V.drain(report, f"{folder}/out", f"{folder}/state").select("step", "runs", "failed")
 
@@ -271,7 +270,7 @@ def conversation_turns(t):
 @query("SELECT doc_id, blast, lang FROM (SELECT d.doc_id, d.lang, n AS blast, row_number() OVER (ORDER BY n DESC, d.doc_id) AS k FROM documents d JOIN (SELECT source, count(*) AS n FROM documents GROUP BY 1) USING (source) WHERE d.doc_id NOT IN (SELECT doc_id FROM labels)) WHERE k <= 60")
 def review_queue(t):
     impact = t.documents.groupBy("source").agg(F.count("*").alias("blast"))
-    open_ = t.documents.join(t.labels, "doc_id", "left_anti").join(F.broadcast(impact), "source")
+    open_ = t.documents.join(t.labels, "doc_id", "left_anti").join(impact, "source")
     return open_.select("doc_id", "blast", "lang").orderBy(F.desc("blast"), "doc_id").limit(60)
 
 

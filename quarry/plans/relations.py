@@ -19,7 +19,7 @@ def _of(t, kind):
 @query("SELECT p.event_id, p.user_id, e.event_id AS error_event_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'error' GROUP BY ALL) e ON p.user_id = e.user_id AND p.ts >= e.ts")
 def asof_enclosing(t):
     errors = _of(t, "error").groupBy("user_id", "ts").agg(F.max("event_id").alias("event_id"))
-    found = J.asof(_of(t, "purchase").select("event_id", "user_id", "ts"), errors, "user_id", "ts", ["event_id"], "error_")
+    found = J.asof(_of(t, "purchase").select("event_id", "user_id", "ts"), errors, "user_id", "ts", ["event_id"], "error_", chunk=F.datediff("ts", F.lit("1970-01-01")))
     return found.select("event_id", "user_id", "error_event_id")
 
 
@@ -27,7 +27,7 @@ def asof_enclosing(t):
 def asof_next(t):
     clicks = _of(t, "click").groupBy("user_id", "ts").agg(F.min("event_id").alias("event_id"))
     near = F.col("f.t") <= F.col("ts") + F.expr("INTERVAL 2 DAY")
-    return J.asof(_of(t, "view").select("event_id", "user_id", "ts"), clicks, "user_id", "ts", ["event_id"], "click_", True, near).select("event_id", "click_event_id")
+    return J.asof(_of(t, "view").select("event_id", "user_id", "ts"), clicks, "user_id", "ts", ["event_id"], "click_", True, near, F.datediff("ts", F.lit("1970-01-01"))).select("event_id", "click_event_id")
 
 
 _SECONDS = "e AS (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events)"
@@ -96,7 +96,8 @@ def reconcile_full_outer(t):
 
 @query("SELECT l_partkey, count(DISTINCT s_nationkey) AS writers, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS names FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 HAVING count(DISTINCT s_nationkey) >= 2")
 def multi_writer(t):
-    rows = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey").cast("long")).join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    pairs = t.lineitem.select("l_partkey", "l_suppkey").distinct()
+    rows = pairs.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey").cast("long")).join(F.broadcast(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
     return J.shared_writers(rows, "l_partkey", "n_name").select("l_partkey", "writers", F.array_join("names", ",").alias("names"))
 
 
@@ -147,7 +148,7 @@ def nearest_rank(t):
 
 @query("SELECT c_mktsegment, min(c_acctbal) AS lo, median(c_acctbal) AS mid, max(c_acctbal) AS hi, count(*) AS n FROM customer GROUP BY 1")
 def minmedmax(t):
-    return t.customer.groupBy("c_mktsegment").agg(F.min("c_acctbal").alias("lo"), F.median("c_acctbal").alias("mid"), F.max("c_acctbal").alias("hi"), F.count("*").alias("n"))
+    return A.least_median_greatest(t.customer, ["c_mktsegment"], "c_acctbal")
 
 
 @query("SELECT p_brand, p_type, n FROM (SELECT p_brand, p_type, count(*) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, min(p_partkey)) AS k FROM part GROUP BY 1, 2) WHERE k = 1")
@@ -181,8 +182,9 @@ def unique_suffix(t):
 @query("SELECT o_orderkey, left(o_orderpriority, 1) || 'F' || row_number() OVER (PARTITION BY left(o_orderpriority, 1) ORDER BY o_orderkey) AS id FROM orders")
 def seq_id(t):
     axis = F.substring("o_orderpriority", 1, 1)
-    k = F.row_number().over(Window.partitionBy(axis).orderBy("o_orderkey"))
-    return t.orders.select("o_orderkey", F.concat(axis, F.lit("F"), k.cast("string")).alias("id"))
+    rows = t.orders.select("o_orderkey", axis.alias("axis"))
+    numbered = W.running_total(rows, ["axis"], ["o_orderkey"], F.lit(1).cast("long"), F.floor(F.col("o_orderkey") / 100_000))
+    return numbered.select("o_orderkey", F.concat("axis", F.lit("F"), F.col("__end").cast("string")).alias("id"))
 
 
 @query("SELECT conv_id, turn, least(coalesce(lead(turn) OVER (PARTITION BY conv_id ORDER BY turn), turn + 3), turn + 3) AS span_end, role FROM conversations")
@@ -193,7 +195,7 @@ def conversation_spans(t):
 @query("SELECT o_orderkey, CAST(floor((e - size) / 500) + 1 AS BIGINT) AS first_slot, CAST(greatest(floor((e - size) / 500) + 1, ceil(e / 500)) AS BIGINT) AS last_slot FROM (SELECT o_orderkey, size, sum(size) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS e FROM (SELECT *, floor(o_totalprice / 1000) AS size FROM orders))")
 def running_cap_sprints(t):
     work = t.orders.withColumn("size", F.floor(F.col("o_totalprice") / 1000))
-    return W.running_slots(work, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], "size", 500).select("o_orderkey", "first_slot", "last_slot")
+    return W.running_slots(work, ["o_orderpriority"], ["o_orderdate", "o_orderkey"], "size", 500, F.year("o_orderdate") * 12 + F.month("o_orderdate")).select("o_orderkey", "first_slot", "last_slot")
 
 
 @query("SELECT conv_id, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k = 1")

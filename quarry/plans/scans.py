@@ -28,7 +28,7 @@ _HITS = _LINES + r""", hits AS (
 
 
 def _hits(t):
-    return R.rule_scan(t.documents, RULES, "doc_id", "lang").join(t.documents.select("doc_id", "source"), "doc_id")
+    return R.rule_scan(t.documents, RULES, "doc_id", "lang", keep=("source",))
 
 
 @query(f"WITH {_HITS} SELECT doc_id, lang, rule, level, CAST(line_no AS INT) AS line_no, line FROM hits")
@@ -177,12 +177,12 @@ def json_props(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), "event_type")
 
 
-@query(r"SELECT doc_id, round((d + m) / greatest(m, 1), 0) >= 0 AS ok, CAST(m AS BIGINT) AS sentences, CAST(l AS BIGINT) AS lines FROM (SELECT doc_id, len(regexp_extract_all(text, '\b(the|der|la)\b')) AS d, len(regexp_extract_all(text, '[.!?]')) AS m, len(regexp_extract_all(text, '\n')) + 1 AS l FROM documents)")
+@query(r"SELECT doc_id, round(CASE WHEN m > 0 THEN round_even((d + m) / m, 2) ELSE 0 END, 2) AS per_sentence, round(CASE WHEN l > 0 THEN round_even(d * 1000 / l, 1) ELSE 0 END, 1) AS per_thousand, CAST(m AS BIGINT) AS sentences, CAST(l AS BIGINT) AS lines FROM (SELECT doc_id, len(regexp_extract_all(text, '(?:^|[ \n])(?:the|der|la)(?:[ \n.,!?]|$)')) AS d, len(regexp_extract_all(text, '[.!?]')) AS m, len(regexp_extract_all(text, '\n')) + 1 AS l FROM documents)")
 def text_complexity(t):
     n = lambda p: F.regexp_count("text", F.lit(p))
-    rows = t.documents.select("doc_id", n(r"\b(the|der|la)\b").alias("d"), n("[.!?]").cast("long").alias("sentences"), (n("\n") + 1).cast("long").alias("lines"))
-    per, _ = complexity(F.col("d"), F.col("sentences"), F.col("lines"))
-    return rows.select("doc_id", (per >= 0).alias("ok"), "sentences", "lines")
+    rows = t.documents.select("doc_id", n(r"(?:^|[ \n])(?:the|der|la)(?:[ \n.,!?]|$)").alias("d"), n("[.!?]").cast("long").alias("sentences"), (n("\n") + 1).cast("long").alias("lines"))
+    per, density = complexity(F.col("d"), F.col("sentences"), F.col("lines"))
+    return rows.select("doc_id", per.alias("per_sentence"), density.alias("per_thousand"), "sentences", "lines")
 
 
 @query("SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, trim(regexp_replace(lower(p_type), '[^a-z0-9]+', ' ', 'g')) AS squashed FROM part")

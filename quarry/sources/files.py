@@ -29,7 +29,9 @@ def walk(spark: SparkSession, root: str, skip: tuple[str, ...] = SKIP, glob: str
     folders = F.slice(parts, 1, F.size(parts) - 1)
     pruned = F.exists(folders, lambda x: x.isin(*skip) | (x.startswith(".") & (x != ".github")))
     rows = reader.load(roots).where(~pruned)
-    return rows.select(rel.alias("path"), F.col("length").alias("size"), F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"), (F.col("length") > max_bytes).alias("rejected"))
+    fits, size = F.col("length") <= max_bytes, F.col("length").alias("size")
+    small = rows.where(fits).select(rel.alias("path"), size, "content", F.lit(False).alias("rejected"))  # the scan gets the condition
+    return small.union(rows.where(~fits).select(rel, size, F.lit(None).cast("binary"), F.lit(True)))
 
 
 def sniff_text(content: Column) -> Column:
@@ -175,11 +177,11 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A table for people: the first ``most`` rows."""
-    rows = df.limit(most).collect()
+    """A table for people: the first ``most`` rows, and a line that says so if there are more."""
+    rows = df.limit(most + 1).collect()
     cell = lambda x: "" if x is None else str(x).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows])
+    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows[:most]] + [f"(the first {most} rows)"] * (len(rows) > most))
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:

@@ -40,10 +40,11 @@ def drain(stream: DataFrame, folder: str, checkpoint: str, mode: str = "complete
     spark = stream.sparkSession
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(folder)
+        # a batch that is tried again replaces what its first try wrote
+        batch.write.mode("overwrite").parquet(folder if mode == "complete" else f"{folder}/epoch={epoch}")
 
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    return spark.read.parquet(folder)
+    return spark.read.parquet(folder).drop("epoch")
 
 
 def replace_origin(rows: DataFrame, new: DataFrame, origin: str) -> DataFrame:
