@@ -3,9 +3,10 @@
 A payload of bytes becomes a WAV file of 8-bit mono samples. From the stored
 file come, for each row: a polyphase resampled signal, overlapped log-mel
 filterbank frames, and the time spans in which the energy is high by a hysteresis (a span
-starts above the high threshold and ends below the low one). Frames are kept in
-patches of fixed shape (PATCH x MELS, the last one padded with zeros) with
-their time spans; ``tensors`` gives them as Arrow fixed-shape tensors.
+starts above the high threshold and ends below the low one). Frames are stored in
+patches of fixed shape (PATCH x MELS half floats, the last one padded with zeros) with
+their time spans: a row's patches are an Arrow stream of a fixed-shape tensor column. The
+feature string is made from what is read back.
 
 A null text is an empty one: its payload is padding alone. Equal texts have equal
 values. Rows come back as they are, repeated ones too, a null id stays null, and an
@@ -127,23 +128,52 @@ def segments(energy: np.ndarray) -> np.ndarray:
     return np.stack([first[good], runs[good, 1]], axis=1)
 
 
-def features(media: bytes) -> dict:
+def analyse(media: bytes) -> tuple[bytes, np.ndarray, list[tuple[float, float, int]], list[tuple[float, float]]]:
+    """(samples, patches, (start, end, frames) of each patch, active spans in seconds)."""
     raw, rate = samples_of(media)
     x = resample((np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128)
     low_rate = rate * UP / DOWN
     mels, energy = log_mel(x, low_rate)
-    found = segments(energy)
     n = len(mels)
-    patches = np.zeros((-(-n // PATCH) * PATCH, MELS), np.float32)
+    patches = np.zeros((-(-n // PATCH) * PATCH, MELS), np.float16)
     patches[:n] = mels
-    hop = HOP / low_rate
-    end = len(x) / low_rate
-    spans = [(float(a * hop), float(min(end, ((b - 1) * HOP + WINDOW) / low_rate))) for a, b in found]
-    starts = range(0, n, PATCH)
-    times = [(k * hop, float(min(end, ((min(k + PATCH, n) - 1) * HOP + WINDOW) / low_rate))) for k in starts]
-    digest = zlib.crc32(np.rint(mels * 16).astype("<i2").tobytes())
-    summary = f"rate={low_rate:g};frames={n};patches={len(times)};spans={len(spans)};active={sum(b - a for a, b in spans):.3f};mean={float(mels.mean()):.3f};mel={digest:08x}"
-    return {"samples": raw, "patches": patches.reshape(-1, PATCH * MELS), "patch_spans": times, "spans": spans, "feature": summary}
+    hop, end = HOP / low_rate, len(x) / low_rate
+    until = lambda k: float(min(end, ((k - 1) * HOP + WINDOW) / low_rate))
+    spans = [(float(a * hop), until(b)) for a, b in segments(energy)]
+    times = [(k * hop, until(min(k + PATCH, n)), min(PATCH, n - k)) for k in range(0, n, PATCH)]
+    return raw, patches.reshape(-1, PATCH, MELS), times, spans
+
+
+#: Columns of a row's stored patches.
+PATCHES = pa.schema([("patch", pa.fixed_shape_tensor(pa.float16(), [PATCH, MELS])), ("start", pa.float64()), ("end", pa.float64()), ("frames", pa.int32())])
+
+
+def to_stream(patches: np.ndarray, times: list[tuple[float, float, int]]) -> bytes:
+    """An Arrow stream of the patches as a fixed-shape tensor column with their time spans."""
+    flat_ = pa.FixedSizeListArray.from_arrays(pa.array(patches.reshape(-1), pa.float16()), PATCH * MELS)
+    start, end, frames = zip(*times, strict=True)
+    columns = [pa.ExtensionArray.from_storage(PATCHES.field("patch").type, flat_), pa.array(start, pa.float64()), pa.array(end, pa.float64()), pa.array(frames, pa.int32())]
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, PATCHES) as writer:
+        writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=PATCHES))
+    return out.getvalue().to_pybytes()
+
+
+def from_stream(data: bytes) -> tuple[np.ndarray, list[tuple[float, float, int]]]:
+    """(patches, (start, end, frames) of each) of such a stream."""
+    table = pa.ipc.open_stream(data).read_all()
+    if table.schema.field("patch").type != PATCHES.field("patch").type:
+        raise ValueError("not patches of this shape")
+    patch = table["patch"].combine_chunks()
+    return patch.to_numpy_ndarray(), list(zip(*(table[c].to_pylist() for c in ("start", "end", "frames")), strict=True))
+
+
+def summary(patches: np.ndarray, times: list[tuple[float, float, int]], spans: list[tuple[float, float]]) -> str:
+    """The feature string of a row's stored tensors and spans."""
+    n = sum(k for _, _, k in times)
+    mels = patches.reshape(-1, MELS)[:n]
+    digest = zlib.crc32(mels.astype("<f2").tobytes())
+    return f"rate={RATE * UP / DOWN:g};frames={n};patches={len(times)};seconds={times[-1][1]:.3f};spans={len(spans)};active={sum(b - a for a, b in spans):.3f};mean={float(mels.astype(np.float64).mean()):.3f};mel={digest:08x}"
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -160,50 +190,55 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return stored(plain.mapInArrow(run, "id long, n_bytes long, media binary"), "media")
 
 
-def media_features(media: DataFrame, digests: bool = False) -> DataFrame:
-    """Features of stored media: (id, n_bytes, patches, patch_spans, spans, feature), or with ``digests`` sizes and hashes in place of arrays."""
+_KINDS = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+_NAMES = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
+_SPANS = "spans array<struct<start: double, end: double>>"
+
+
+def media_features(media: DataFrame) -> DataFrame:
+    """(id, n_bytes, sizes and hashes, tensors, spans) of stored media, stored in the shared folder and read back.
+
+    ``tensors`` is an Arrow stream of fixed-shape patches with their time spans; ``from_stream`` reads it.
+    """
     span = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64())]))
 
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 250):
                 part = batch.slice(k, 250)
-                stored_ = part.column(2).to_pylist()
-                made = [features(m) for m in stored_]
-                columns = [part.column(0), part.column(1)]
-                if digests:
-                    columns += [
-                        pa.array([len(f["samples"]) for f in made], pa.int64()),
-                        pa.array([hashlib.sha256(f["samples"]).hexdigest() for f in made]),
-                        pa.array([zlib.crc32(f["samples"][-32:]) for f in made], pa.int64()),
-                        pa.array([len(m) for m in stored_], pa.int64()),
-                        pa.array([hashlib.sha256(m).hexdigest() for m in stored_]),
-                        pa.array([f["feature"] for f in made]),
-                    ]
-                    names = ["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-                else:
-                    pairs = lambda key: pa.array([[{"start": a, "end": b} for a, b in f[key]] for f in made], span)  # noqa: B023, E731
-                    columns += [pa.array([list(f["patches"]) for f in made], pa.list_(pa.list_(pa.float32()))), pairs("patch_spans"), pairs("spans"), pa.array([f["feature"] for f in made])]
-                    names = ["id", "n_bytes", "patches", "patch_spans", "spans", "feature"]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    if digests:
-        kinds = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    else:
-        kinds = "patches array<array<float>>, patch_spans array<struct<start: double, end: double>>, spans array<struct<start: double, end: double>>, feature string"
-    return media.select("id", "n_bytes", "media").mapInArrow(run, f"id long, n_bytes long, {kinds}")
-
-
-def tensors(patches: pa.Array) -> pa.Array:
-    """A column of ``patches`` (lists of PATCH * MELS floats, any nesting) as fixed-shape tensors."""
-    values = patches
-    while pa.types.is_list(values.type):
-        values = values.flatten()
-    kind = pa.fixed_shape_tensor(pa.float32(), [PATCH, MELS])
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(values, PATCH * MELS))
+                files = part.column(2).to_pylist()
+                made = [analyse(m) for m in files]
+                columns = [
+                    part.column(0),
+                    part.column(1),
+                    pa.array([len(raw) for raw, *_ in made], pa.int64()),
+                    pa.array([hashlib.sha256(raw).hexdigest() for raw, *_ in made], pa.string()),
+                    pa.array([zlib.crc32(raw[-32:]) for raw, *_ in made], pa.int64()),
+                    pa.array([len(m) for m in files], pa.int64()),
+                    pa.array([hashlib.sha256(m).hexdigest() for m in files], pa.string()),
+                    pa.array([to_stream(patches, times) for _, patches, times, _ in made], pa.binary()),
+                    pa.array([[{"start": a, "end": b} for a, b in spans] for *_, spans in made], span),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=[*_NAMES, "tensors", "spans"])
+
+    found = media.select("id", "n_bytes", "media").mapInArrow(run, f"{_KINDS}, tensors binary, {_SPANS}")
+    return stored(found, "tensors")
+
+
+def digests(features: DataFrame) -> DataFrame:
+    """The rows of ``media_features`` with the feature string in place of tensors and spans."""
+
+    def run(batches):
+        for batch in batches:
+            texts = []
+            for data, spans in zip(batch.column(7), batch.column(8).to_pylist(), strict=True):
+                texts.append(summary(*from_stream(data.as_buffer()), [(s["start"], s["end"]) for s in spans]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(texts, pa.string())], names=[*_NAMES, "feature"])
+
+    return features.select(*_NAMES, "tensors", "spans").mapInArrow(run, f"{_KINDS}, feature string")
 
 
 def op6_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored audio and feature digests of the whole ``documents`` table."""
     media = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return media_features(media, digests=True).withColumnRenamed("id", "doc_id")
+    return digests(media_features(media)).withColumnRenamed("id", "doc_id")

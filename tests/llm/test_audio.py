@@ -27,7 +27,7 @@ def test_hysteresis_starts_high_and_ends_low():
 def test_payload_comes_back_and_equal_texts_agree(spark, docs_of):
     texts = ["", None, "a", "é" * 288, "x" * 577, "long text " * 4000, "a"]
     media = audio.store_media(docs_of(list(enumerate(texts))))
-    got = {r["id"]: r for r in audio.media_features(media, digests=True).collect()}
+    got = {r["id"]: r for r in audio.digests(audio.media_features(media)).collect()}
     for i, text in enumerate(texts):
         raw = (text or "").encode()
         want = audio.payload(raw)
@@ -36,13 +36,17 @@ def test_payload_comes_back_and_equal_texts_agree(spark, docs_of):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(audio.wav(want)), hashlib.sha256(audio.wav(want)).hexdigest())
     assert got[2]["feature"] == got[6]["feature"] and got[0]["feature"] == got[1]["feature"] != got[3]["feature"]
-    assert audio.media_features(audio.store_media(docs_of([])), True).count() == 0
-
-
-def test_tensors_have_a_fixed_shape_and_time_spans(docs_of):
-    r = audio.media_features(audio.store_media(docs_of([(1, "some words in a row " * 900)]))).first()
-    assert len(r["patches"]) == len(r["patch_spans"]) > 1
-    ends = [s["end"] for s in r["patch_spans"]]
-    assert ends == sorted(ends) and all(s["start"] < s["end"] for s in [*r["patch_spans"], *r["spans"]])
-    t = audio.tensors(pa.array([r["patches"]], pa.list_(pa.list_(pa.float32()))))
-    assert t.type.shape == [audio.PATCH, audio.MELS] and len(t) == len(r["patches"])
+    assert audio.digests(audio.media_features(audio.store_media(docs_of([])))).count() == 0
+
+
+def test_stored_tensors_have_a_fixed_shape_and_time_spans(docs_of):
+    rows = audio.media_features(audio.store_media(docs_of([(1, "some words in a row " * 900), (2, None)])))
+    for r in rows.collect():
+        assert pa.ipc.open_stream(r["tensors"]).schema.field("patch").type == pa.fixed_shape_tensor(pa.float16(), [audio.PATCH, audio.MELS])
+        patches, times = audio.from_stream(r["tensors"])
+        assert patches.shape == (len(times), audio.PATCH, audio.MELS) and (len(times) > 1) == (r["id"] == 1)
+        ends = [end for _, end, _ in times]
+        assert ends == sorted(ends) and all(a < b for a, b, _ in times) and all(s["start"] < s["end"] for s in r["spans"])
+        text = "some words in a row " * 900 if r["id"] == 1 else ""
+        raw, want, spans_of_patches, spans = audio.analyse(audio.wav(audio.payload(text.encode())))
+        assert (patches == want).all() and times == spans_of_patches and [(s["start"], s["end"]) for s in r["spans"]] == spans
