@@ -1,8 +1,11 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is cut into blocks of text at block-level tags. A linear classifier
+A page is cut into blocks of text at block-level tags. A logistic classifier
 gives each block a score for being content; a positive score becomes the
 capacity of an edge from the source, a negative one of an edge to the sink.
+Its weights for length, links, punctuation, tags and position are fitted on the blocks of SAMPLE pages at most (those with the
+smallest hashes) that stand in an article or in boilerplate by their elements; without both kinds the default weights hold.
+What they say counts for STRUCTURE at most, the containers around a block for a bounded weight on top.
 A form or a container named like boilerplate is only vetoed for now: the veto falls if no article stands outside of
 vetoed containers and this one holds most of the page's text, or an article inside it; a main inside always counts.
 Blocks next to each other, and the next blocks of the same container, are tied
@@ -16,8 +19,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 # Element names of HTML, and words that sites use in class, id and role.
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul video audio canvas object svg".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math".split())
+RAW = set("script style textarea title noscript template iframe svg".split())
 OUTSIDE = set("nav footer aside form button select menu dialog search head label input optgroup".split())
 INSIDE = set("article main".split())
 NOT_TEXT = set("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright disqus dropdown feedback footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted recommend recommended related reply replies respond rss search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert complementary contentinfo responses discussion".split())
@@ -39,8 +41,12 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-#: Classifier weights. Out: in a container of navigation and the like. In: in an article.
-OUT, IN, BASE, PER_LOG_WORD, LINKS, SENTENCE, ITEM, HEADING, RIGHTS = -12.0, 4.0, -1.6, 0.7, -4.0, 0.8, -0.6, 0.4, -3.0
+#: Weights of containers: of navigation and the like, of an article. Bound of what structure says.
+OUT, IN, STRUCTURE = -6.0, 4.0, 3.0
+#: Default weights of structure: constant, log of words, links (and that in an article), sentence end, list item, heading, rights notice, distance from the page's middle.
+DEFAULT = (-1.6, 0.7, -4.0, 3.0, 0.8, -0.6, 0.4, -3.0, 0.0)
+#: Pages whose blocks the classifier is fitted on at most, blocks of each, steps of the fit, ridge.
+SAMPLE, SAMPLE_BLOCKS, FIT_STEPS, RIDGE = 1000, 200, 12, 1.0
 #: Smoothness: blocks next to each other, and neighbours in one container.
 NEXT, SIBLING = 0.4, 0.6
 
@@ -170,63 +176,157 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def score(b: Block) -> float:
-    """The classifier: above 0 for content."""
-    if b.side < 0:
-        return OUT
+def structure(b: Block, place: float) -> list[float]:
+    """The classifier's view of a block at this place (0 to 1) of its page, whatever contains it."""
     words = b.text.count(" ") + 1
-    s = BASE + PER_LOG_WORD * min(6.0, words.bit_length())
-    s += LINKS * (0.25 if b.side > 0 else 1.0) * b.linked / len(b.text)
-    s += SENTENCE * (b.text[-1] in ".!?…:;\"'”»)") + ITEM * (b.tag == "li") + HEADING * (b.tag[:1] == "h" and b.tag[1:].isdigit())
-    s += RIGHTS * (("©" in b.text or "All rights reserved" in b.text) and words < 30)
-    return s + (IN if b.side > 0 else 0.0)
+    linked = b.linked / len(b.text)
+    return [
+        1.0,
+        min(6.0, words.bit_length()),
+        linked,
+        linked * (b.side > 0),
+        float(b.text[-1] in ".!?…:;\"'”»)"),
+        float(b.tag == "li"),
+        float(b.tag[:1] == "h" and b.tag[1:].isdigit()),
+        float(("©" in b.text or "All rights reserved" in b.text) and words < 30),
+        abs(2 * place - 1),
+    ]
+
+
+def scores_of(found: list[Block], weights=DEFAULT) -> list[float]:
+    """The classifier: above 0 for content."""
+    out, n = [], max(1, len(found) - 1)
+    for k, b in enumerate(found):
+        s = sum(w * x for w, x in zip(weights, structure(b, k / n), strict=True))
+        out.append(max(-STRUCTURE, min(STRUCTURE, s)) + (OUT if b.side < 0 else IN if b.side > 0 else 0.0))
+    return out
+
+
+def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights of a ridge logistic regression by Newton's steps; the default ones if ``y`` has one value only."""
+    if len(y) == 0 or y.min() == y.max():
+        return DEFAULT
+    w = np.zeros(x.shape[1])
+    for _ in range(FIT_STEPS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (y - p) - RIDGE * w
+        w += np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + RIDGE * np.eye(len(w)), gradient)
+    return tuple(np.round(w, 6).tolist())
+
+
+def learn(pages: DataFrame, html_col: str = "html", sample: int = SAMPLE) -> tuple[float, ...]:
+    """Weights fitted on at most ``sample`` pages, SAMPLE_BLOCKS blocks of each: numbers of that bound are all the driver gets."""
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for page in batch.column(0).to_pylist():
+                found = blocks_of(page)
+                n = max(1, len(found) - 1)
+                step = -(-len(found) // SAMPLE_BLOCKS) if found else 1
+                # links inside an article are no sign against it: that column is for use, not for the fit
+                rows += [structure(b, k / n)[:3] + [0.0] + structure(b, k / n)[4:] + [float(b.side > 0)] for k, b in list(enumerate(found))[::step] if b.side]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["x"])
+
+    hashed = pages.where(F.col(html_col).isNotNull()).select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h"))
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return DEFAULT
+    some = hashed.where(F.col("h") <= last).groupBy("h").agg(F.first("html").alias("html")).select("html")
+    rows = sorted(r["x"] for r in some.mapInArrow(run, "x array<double>").collect())
+    if not rows:
+        return DEFAULT
+    every = np.array(rows)
+    w = fit(every[:, :-1], every[:, -1])
+    return w if w is DEFAULT else (*w[:3], -0.75 * w[2], *w[4:])
 
 
 def min_cut(scores: list[float], ties: list[tuple[int, int, float]]) -> list[bool]:
-    """True for nodes on the source's side. Shortest augmenting paths, over nodes whose capacities allow any."""
-    n = len(scores)
+    """True for nodes on the source's side.
+
+    A node whose capacity outweighs all its ties stays on its own side: its ties become capacities of its
+    neighbours. What is left is cut by blocking flows along layers of shortest paths.
+    """
+    n, eps = len(scores), 1e-9
+    cap = list(map(float, scores))
+    around: list[list[tuple[int, float]]] = [[] for _ in range(n)]
+    held = [0.0] * n
+    for i, j, c in ties:
+        around[i].append((j, c))
+        around[j].append((i, c))
+        held[i] += c
+        held[j] += c
+    side: list = [None] * n
+    queue = [i for i in range(n) if abs(cap[i]) > held[i] + eps]
+    while queue:
+        i = queue.pop()
+        if side[i] is not None:
+            continue
+        side[i] = cap[i] > 0
+        for j, c in around[i]:
+            if side[j] is None:
+                cap[j] += c if side[i] else -c
+                held[j] -= c
+                if abs(cap[j]) > held[j] + eps:
+                    queue.append(j)
     edges: list[list[list]] = [[] for _ in range(n)]  # [to, capacity left, the reverse edge]
     for i, j, c in ties:
-        a, b = [j, c, None], [i, c, None]
-        a[2], b[2] = b, a
-        edges[i].append(a)
-        edges[j].append(b)
-    supply, demand = [max(0.0, s) for s in scores], [max(0.0, -s) for s in scores]
+        if side[i] is None and side[j] is None:
+            a, b = [j, c, None], [i, c, None]
+            a[2], b[2] = b, a
+            edges[i].append(a)
+            edges[j].append(b)
+    free = [i for i in range(n) if side[i] is None]
+    supply, demand = [max(0.0, c) for c in cap], [max(0.0, -c) for c in cap]
     while True:
-        seen: list = [None] * n
-        queue = deque()
-        for i in range(n):
-            if supply[i] > 1e-9:
-                seen[i] = ()
-                queue.append(i)
-        goal = -1
-        while queue:
-            i = queue.popleft()
-            if demand[i] > 1e-9:
-                goal = i
-                break
-            for e in edges[i]:
-                if e[1] > 1e-9 and seen[e[0]] is None:
-                    seen[e[0]] = (i, e)
-                    queue.append(e[0])
-        if goal < 0:
-            return [x is not None for x in seen]
-        flow, i = demand[goal], goal
-        while seen[i]:
-            flow = min(flow, seen[i][1][1])
-            i = seen[i][0]
-        flow = min(flow, supply[i])
-        supply[i] -= flow
-        demand[goal] -= flow
-        i = goal
-        while seen[i]:
-            e = seen[i][1]
-            e[1] -= flow
-            e[2][1] += flow
-            i = seen[i][0]
-
-
-def main_text(page: str | None) -> str:
+        layer = {i: 0 for i in free if supply[i] > eps}
+        front, goals = list(layer), [i for i in layer if demand[i] > eps]
+        while front and not goals:
+            following = []
+            for i in front:
+                for to, left, _ in edges[i]:
+                    if left > eps and to not in layer:
+                        layer[to] = layer[i] + 1
+                        following.append(to)
+            front = following
+            goals = [i for i in front if demand[i] > eps]
+        if not goals:
+            return [x if x is not None else k in layer for k, x in enumerate(side)]
+        last = layer[goals[0]]
+        tried = dict.fromkeys(layer, 0)
+        for start in [i for i in layer if layer[i] == 0]:
+            path = [start]
+            taken: list[list] = []
+            while path and supply[start] > eps:
+                i = path[-1]
+                if layer[i] == last and demand[i] > eps:
+                    flow = min([supply[start], demand[i], *(e[1] for e in taken)])
+                    supply[start] -= flow
+                    demand[i] -= flow
+                    for e in taken:
+                        e[1] -= flow
+                        e[2][1] += flow
+                    full = next((k for k, e in enumerate(taken) if e[1] <= eps), len(taken))
+                    del path[full + 1 :], taken[full:]
+                    continue
+                step = None
+                while tried[i] < len(edges[i]):
+                    e = edges[i][tried[i]]
+                    if e[1] > eps and layer.get(e[0]) == layer[i] + 1 and layer[i] < last:
+                        step = e
+                        break
+                    tried[i] += 1
+                if step is not None:
+                    path.append(step[0])
+                    taken.append(step)
+                else:
+                    path.pop()
+                    if taken:
+                        taken.pop()
+                        tried[path[-1]] += 1
+
+
+def main_text(page: str | None, weights=DEFAULT) -> str:
     found = blocks_of(page or "")
     if not found:
         return ""
@@ -237,18 +337,19 @@ def main_text(page: str | None) -> str:
         if b.parent in last:
             ties.append((last[b.parent], k, SIBLING))
         last[b.parent] = k
-    keep = min_cut([score(b) for b in found], ties)
+    keep = min_cut(scores_of(found, weights), ties)
     return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id_col, url_col, text, n_chars) of every page."""
+    weights = learn(pages, html_col)
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                texts = [main_text(x) for x in part.column(2).to_pylist()]
+                texts = [main_text(x, weights) for x in part.column(2).to_pylist()]
                 columns = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "url", "text", "n_chars"])
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -175,6 +176,41 @@ def test_wrappers_of_the_whole_page_do_not_lose_its_article():
     assert html.main_text(f"<html><body><article>{body}</article>{small}</body></html>") == text
 
 
+def test_the_cut_decides_where_scores_alone_are_wrong():
+    long = "<p>A long paragraph of the story, with words enough to be told from a menu, which ends here as sentences do.</p>"
+    page = f"<html><body><div><span>Home</span></div><div>{long}<p>Yes</p>{long}<p>See it now</p>{long}</div></body></html>"
+    found = html.blocks_of(page)
+    alone = [b.text for b, s in zip(found, html.scores_of(found), strict=True) if s > 0]
+    text = html.main_text(page).split("\n")
+    assert "Yes" not in alone and "See it now" not in alone and len(alone) == 3
+    assert len(text) == 5 and "Yes" in text and "See it now" in text and "Home" not in text
+
+
+def test_formulas_stay():
+    assert html.main_text("<article><p>Area is <math><mi>a</mi><mo>=</mo><mn>2</mn></math> metres, as it was.</p></article>") == "Area is a=2 metres, as it was."
+
+
+def test_very_long_pages_take_linear_time():
+    rng = random.Random(2)
+    body = "".join(f"<div><p>{' '.join(rng.choices(['some', 'words', 'of', 'text'], k=rng.choice([1, 2, 3, 12])))}{rng.choice(['', '.'])}</p></div>" for _ in range(50_000))
+    began = time.process_time()
+    assert len(html.blocks_of(body)) == 50_000 and html.main_text(body)
+    assert time.process_time() - began < 30
+    n = 50_000
+    scores, ties = [rng.uniform(-2, 2) for _ in range(n)], [(k, k + 1, 1.5) for k in range(n - 1)]
+    began = time.process_time()
+    html.min_cut(scores, ties)
+    assert time.process_time() - began < 30
+
+
+def test_classifier_is_fitted_on_marked_pages(spark):
+    rows = [(k, "u", f"<nav><a href=x>Link number {k}</a></nav><article><p>Paragraph {k} tells a story of some length, and it ends.</p></article>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    w = html.learn(pages)
+    assert w == html.learn(pages.repartition(5)) and w[1] > 0 > w[2]
+    assert html.learn(pages.limit(0)) == html.DEFAULT == html.learn(pages.selectExpr("page_id", "url", "'<p>x</p>' html"))
+
+
 def test_pages(spark):
     rows = [(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "plain text alone, with a sentence in it that is long enough."), (5, "u", "<article>" + "<p>Many words are here.</p>" * 3000), (5, "u", "<nav>x</nav>"), (None, "u", "<p>&lt;b&gt; &#233; &nbsp; is decoded once, and so it should be.</p>")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
