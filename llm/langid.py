@@ -148,23 +148,37 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> tu
     return [x for x, k in zip(langs, keep, strict=True) if k], found[keep]
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, lang_pred, score), the score being the largest cosine, 0 if negative."""
+def _predictor(model: tuple[list[str], np.ndarray]):
+    """A function from (bytes, row offsets) to (languages, scores), for one worker."""
     langs = model[0]
     prototypes = (model[1] / np.maximum(1e-300, np.linalg.norm(model[1], axis=1, keepdims=True))).astype(np.float32)
 
-    def run(batches):
+    def start():
         vectors = Vectors()
+
+        def predict_block(data, offsets):
+            if not langs:
+                return ["und"] * (len(offsets) - 1), np.zeros(len(offsets) - 1)
+            found = profiles(data, offsets, vectors)
+            size = np.linalg.norm(found, axis=1)
+            cosine = (found @ prototypes.T) / np.maximum(size, 1e-9)[:, None]
+            best, score = cosine.argmax(axis=1), np.clip(cosine.max(axis=1), 0, 1).astype(np.float64)
+            return [langs[k] if s > 0 else "und" for k, s in zip(best, size, strict=True)], score
+
+        return predict_block
+
+    return start
+
+
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, lang_pred, score), the score being the largest cosine, 0 if negative."""
+    start_worker = _predictor(model)
+
+    def run(batches):
+        of = start_worker()
         for batch in batches:
             for start, stop, data, offsets in flat.blocks(flat.column(batch, "text")):
-                if langs:
-                    found = profiles(data, offsets, vectors)
-                    size = np.linalg.norm(found, axis=1)
-                    cosine = (found @ prototypes.T) / np.maximum(size, 1e-9)[:, None]
-                    best, score = cosine.argmax(axis=1), np.clip(cosine.max(axis=1), 0, 1).astype(np.float64)
-                    names = [langs[k] if s > 0 else "und" for k, s in zip(best, size, strict=True)]
-                else:
-                    names, score = ["und"] * (stop - start), np.zeros(stop - start)
+                names, score = of(data, offsets)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, stop - start), pa.array(names, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -180,12 +194,20 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that have a language, with all columns as they were: ``und`` rows go.
 
-    Only a text without a letter has no language, so the rows to keep follow
-    from the prediction's own rule; a null id keeps its row.
+    Each row is judged by its own text and filtered where it is, whatever its id.
     """
-    found = predict(docs, learn(docs.where(~_held_out(id_col)), lang_col, text_col), id_col, text_col)
-    keep = found.where("lang_pred <> 'und'").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    start_worker = _predictor(learn(docs.where(~_held_out(id_col)), lang_col, text_col))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        of = start_worker()
+        for batch in batches:
+            text = batch.select([at]).rename_columns(["text"])
+            for start, stop, data, offsets in flat.blocks(flat.column(text, "text")):
+                names, _ = of(data, offsets)
+                yield batch.slice(start, stop - start).filter(pa.array([x != "und" for x in names], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
