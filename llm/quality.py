@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import flat
@@ -235,10 +235,11 @@ def _scored(asked: DataFrame, packed: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "id long, lang string, role int, n long, lp double")
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rotate: bool = False) -> DataFrame:
+def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rotate: bool = False, by_row: bool = False) -> DataFrame:
     """(id, lang, role, n, lp) of each row; ``trusted`` has the ids (id_col) of trusted texts.
 
     With ``rotate`` all trusted texts are counted, and each is scored without its own fold; otherwise all rows are scored without the first fold.
+    With ``by_row`` the id is ``row_key`` of the row, so that rows that share an id are told apart.
     """
     ids = stored(trusted.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("trusted")).where("id is not null").distinct(), "trusted")
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
@@ -246,7 +247,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     fold = F.when(F.col("trusted"), F.pmod(F.crc32(F.col("id").cast("string")), F.lit(FOLDS)).cast("int"))
     role = F.when(fold.isNull(), PLAIN).when(F.lit(rotate) | (fold == 0), CALIBRATE).otherwise(TRAIN)
     variant = F.coalesce(fold, F.lit(FOLDS)) if rotate else F.lit(0)
-    tagged = plain.join(F.broadcast(ids) if few else ids, "id", "left").select("id", "lang", "text", role.alias("role"), F.coalesce(fold, F.lit(-1)).alias("fold"), variant.alias("v"))
+    tagged = plain.join(F.broadcast(ids) if few else ids, "id", "left").select(row_key("id", "lang", "text").alias("id") if by_row else "id", "lang", "text", role.alias("role"), F.coalesce(fold, F.lit(-1)).alias("fold"), variant.alias("v"))
     if not few or "Exchange" in plain._jdf.queryExecution().sparkPlan().toString():
         tagged = stored(tagged, "tagged")  # so that both passes below see the same partitions
     counted = stored(_counted(tagged), "grams")
@@ -256,9 +257,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     return scored
 
 
-def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", by_row: bool = False) -> DataFrame:
     """(id_col, lang, n_symbols, perplexity, adjusted, threshold, kept) of each row."""
-    rows = stored(perplexities(docs, trusted, id_col, text_col, lang_col, rotate=True), "perplexities")
+    rows = stored(perplexities(docs, trusted, id_col, text_col, lang_col, rotate=True, by_row=by_row), "perplexities")
     known = rows.where((F.col("role") == CALIBRATE) & (F.col("n") > 0))
     usual = known.groupBy("lang").agg(F.sum("lp").alias("lp"), F.sum("n").alias("n"))
     usual = usual.select("lang", (-F.col("lp") / F.col("n")).alias("usual")), usual.agg((-F.sum("lp") / F.sum("n")).alias("any_usual"))
@@ -275,10 +276,17 @@ def classify(docs: DataFrame, trusted: DataFrame, quantile: float = QUANTILE, ma
     return out.withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("adjusted") <= F.col("threshold"), F.lit(True)))
 
 
+def row_key(id_: Column | str, lang: Column | str, text: Column | str) -> Column:
+    """A hash of what a row's verdict depends on: rows that share it share the verdict."""
+    return F.xxhash64(F.coalesce(F.col(id_).cast("string") if isinstance(id_, str) else id_.cast("string"), F.lit("null")), lang, F.coalesce(text, F.lit("\0null")))
+
+
 def accepted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all columns as they were; a row with a null id goes by the same rule as others of its id."""
-    keep = classify(docs, trusted, id_col=id_col, text_col=text_col, lang_col=lang_col).where("kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
+    """The rows of ``docs`` that are kept, with all columns as they were; each row goes by its own text and language, whatever its id."""
+    keep = classify(docs, trusted, id_col=id_col, text_col=text_col, lang_col=lang_col, by_row=True).where("kept").select(F.col(id_col).alias("__row")).distinct()
+    keep = stored(keep, "kept")
+    own = row_key(docs[id_col].cast("long"), F.coalesce(docs[lang_col].cast("string"), F.lit("und")), docs[text_col])
+    return docs.join(F.broadcast(keep) if keep.count() <= BROADCAST_ROWS else keep, own == F.col("__row"), "left_semi")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

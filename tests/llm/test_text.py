@@ -116,13 +116,13 @@ def test_every_trusted_text_is_counted_and_calibrates(spark, docs_of):
 
 def test_junk_is_rejected_and_clean_text_kept(spark, docs_of):
     rng = random.Random(6)
-    rows = [(i, " ".join(rng.choices(EN.split(), k=40)), "en") for i in range(80)] + [(100, "A$$$ B%%% C### D&&& " * 12, "en"), (101, "the cat", "xx"), (102, None, "en"), (None, "the dog and the cat", None)]
+    rows = [(i, " ".join(rng.choices(EN.split(), k=40)), "en") for i in range(80)] + [(100, "A$$$ B%%% C### D&&& " * 12, "en"), (101, "the cat", "xx"), (102, None, "en"), (70, None, "en"), (70, "A$$$ B%%% C### D&&& " * 12, "en"), (None, "the dog and the cat", None)]
     df = docs_of(rows)
     trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
     kept = quality.accepted(df, trusted)
-    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {*range(80), 101, None}
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {*range(80), 101, None} and kept.where("doc_id = 70").count() == 1
     none = spark.createDataFrame([], "doc_id long")
-    assert quality.accepted(df, none).count() == len(rows) - 1
+    assert quality.accepted(df, none).count() == len(rows) - 2
     assert quality.classify(docs_of([]), trusted).count() == 0
 
 
