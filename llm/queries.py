@@ -19,5 +19,25 @@ def queries():
     return {f.__name__: f for f in found}
 
 
-def oracle_sql():
-    return {}
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_REACHED = "r(id, c) AS (SELECT id, id FROM every UNION SELECT r.id, lk.b FROM r JOIN lk ON r.c = lk.a)"
+
+#: Shingles of two words, all pairs that share one, exact links, and the closure of the links.
+OP1 = f"""WITH RECURSIVE w AS (SELECT doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+every AS (SELECT id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN ws ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS sh FROM w),
+e AS (SELECT id, len(sh) AS n, unnest(sh) AS v FROM every),
+p AS (SELECT a.id AS a, b.id AS b FROM e a JOIN e b ON a.v = b.v AND a.id < b.id AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80 GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+lk AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), {_REACHED}
+SELECT id AS doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, id = component_id AS kept FROM every JOIN (SELECT id, min(c) AS component_id FROM r GROUP BY 1) USING (id)"""
+
+#: All pairs of a label by cosine in double precision, and the closure of the links.
+OP2 = f"""WITH RECURSIVE every AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+good AS (SELECT * FROM every WHERE label IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT a.id AS a, b.id AS b FROM good a JOIN good b ON a.label = b.label AND a.id < b.id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+lk AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), {_REACHED}
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM (SELECT id, min(c) AS component_id FROM r GROUP BY 1) LEFT JOIN (SELECT a AS id, count(*) AS n FROM lk GROUP BY 1) USING (id)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    """The operators whose rows SQL can express; tests hold the others against brute force."""
+    return {"op1_minhash_dedup": OP1, "op2_robust_graph": OP2}
