@@ -37,6 +37,8 @@ SHARD = 2048
 MOST_CLUSTERS, MOST_CENTROIDS = 256, 2048
 #: Sampled vectors for each centroid; cosine of centroids that are merged.
 PER_CENTROID, MERGE = 32, 0.75
+#: Components of all sampled vectors at most (single precision: 128 MB on the driver); longer vectors have fewer samples for each centroid.
+SAMPLE_VALUES = 32_000_000
 #: Neighbours kept, candidates pruned, pruning slack; candidates that a search keeps expanding.
 DEGREE, POOL, ALPHA, BEAM = 24, 64, 1.2, 24
 #: Queries searched together in a shard.
@@ -158,14 +160,20 @@ def _centroids(classes: DataFrame, shard: int) -> dict:
     """Sampled vectors of each (label, length): a bounded number, the same for the same table."""
     counts = {(r["label"], r["dim"]): r["n"] for r in classes.groupBy("label", "dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label", "dim").limit(MOST_CENTROIDS // 2).collect()}
     wanted = {k: min(MOST_CLUSTERS, max(1, MOST_CENTROIDS // max(1, len(counts))), -(-2 * n // shard)) for k, n in counts.items()}
-    rate = classes.sparkSession.createDataFrame([(k[0], k[1], min(1.0, PER_CENTROID * w / counts[k])) for k, w in wanted.items()] or [(0, 0, 0.0)], "label long, dim int, rate double")
-    drawn = classes.join(F.broadcast(rate), ["label", "dim"]).where(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) / 1_000_003.0 < F.col("rate")).select("label", "dim", "rep", "v").collect()
-    by: dict = {}
-    for r in drawn:
-        by.setdefault((r["label"], r["dim"]), []).append((r["rep"], r["v"]))
+    per = min(PER_CENTROID, SAMPLE_VALUES / max(1, sum(w * k[1] for k, w in wanted.items())))
+    rate = classes.sparkSession.createDataFrame([(k[0], k[1], min(1.0, per * w / counts[k])) for k, w in wanted.items()] or [(0, 0, 0.0)], "label long, dim int, rate double")
+    drawn = classes.join(F.broadcast(rate), ["label", "dim"]).where(F.pmod(F.xxhash64("rep"), F.lit(1_000_003)) / 1_000_003.0 < F.col("rate")).select("label", "dim", "rep", F.col("v").cast("array<float>").alias("v")).toArrow()
+    if drawn.num_rows == 0:
+        return {}
+    label, dim, rep = (drawn[c].to_numpy() for c in ("label", "dim", "rep"))
+    lists = drawn["v"].combine_chunks()
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    order = np.lexsort((rep, dim, label))
+    cuts = np.flatnonzero((np.diff(label[order]) != 0) | (np.diff(dim[order]) != 0)) + 1
     found = {}
-    for k, rows in by.items():
-        found[k] = _cluster(_unit(np.array([v for _, v in sorted(rows)], np.float64)), wanted[k])
+    for rows in np.split(order, cuts):
+        k = (int(label[rows[0]]), int(dim[rows[0]]))
+        found[k] = _cluster(_unit(np.stack([values[at[i] : at[i + 1]] for i in rows]).astype(np.float64)), wanted[k])
     return found
 
 
