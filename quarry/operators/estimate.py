@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.scalars import triangular_inverse
 from quarry.operators.aggregates import at_ranks, least_median_greatest
+from quarry.session import written
 
 
 def finding_hours(occurrences: Column, fixed: Column, per: Column, cap: Column) -> Column:
@@ -63,7 +64,7 @@ def simulate(items: DataFrame, package: str, iterations: int = 4000, rho: float
 def rollup(simulated: DataFrame, package: str) -> DataFrame:
     """(package, p10, p50, p80, p90) by nearest rank, from one pass over the simulation."""
     share = lambda p: lambda n: F.bround(p * (n - 1))
-    return at_ranks(simulated, [package], "hours", {f"p{round(p * 100)}": share(p) for p in (0.1, 0.5, 0.8, 0.9)}).drop("n")
+    return at_ranks(written(simulated), [package], "hours", {f"p{round(p * 100)}": share(p) for p in (0.1, 0.5, 0.8, 0.9)}).drop("n")
 
 
 def priced(counts: DataFrame, key: str, drivers: list[str], rates: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Graph operators as loops of joins. Rounds are cut by checkpoints, so lost executors cost one round."""
+"""Graph operators as loops of joins. Rounds are cut by written tables, so lost executors cost one round."""
 
 from __future__ import annotations
 
@@ -7,13 +7,7 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints")
-    return df.checkpoint()
+from quarry.session import written
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, hub: int | None = None) -> DataFrame:
@@ -24,14 +18,14 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, hub: int
     e = edges.select("src", "dst").distinct()
     if hub is not None:
         busy = e.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > hub).select("src")
-    frontier = _cut(seeds.select("seed").distinct().join(e, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct())
+    frontier = written(seeds.select("seed").distinct().join(e, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct())
     seen, step = frontier.withColumn("depth", F.lit(1)), 1
     while not frontier.isEmpty() and (depth is None or step < depth):
         step += 1
         grow = frontier if hub is None else frontier.join(busy, frontier["node"] == busy["src"], "left_anti")
         new = grow.join(e, grow["node"] == e["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = _cut(new.join(seen, ["seed", "node"], "left_anti"))
-        seen = _cut(seen.union(frontier.withColumn("depth", F.lit(step))))
+        frontier = written(new.join(seen, ["seed", "node"], "left_anti"))
+        seen = written(seen.union(frontier.withColumn("depth", F.lit(step))))
     return seen
 
 
@@ -44,51 +38,59 @@ def shortest_path(edges: DataFrame, source, target, depth: int | None = None) ->
     """(path, hops) of a shortest path, the first in order of nodes; with ``depth``, of at most so many hops."""
     e = edges.select("src", "dst").distinct()
     frontier = e.where(F.col("src") == source).groupBy("dst").agg(F.min(F.array("src", "dst")).alias("path")).select(F.col("dst").alias("node"), "path")
-    seen = _cut(frontier)
+    seen = written(frontier)
     for _ in count() if depth is None else range(depth - 1):
         if not seen.where(F.col("node") == target).isEmpty() or frontier.isEmpty():
             break
         step = frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        frontier = _cut(step.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti"))
-        seen = _cut(seen.union(frontier))
+        frontier = written(step.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti"))
+        seen = written(seen.union(frontier))
     return seen.where(F.col("node") == target).select("path", (F.size("path") - 1).alias("hops"))
 
 
 def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, color): the smallest color that reaches each node along the edges, from (node, color)."""
+    before = None
     while True:
-        pushed = start.join(edges, start["node"] == edges["src"]).select(F.col("dst").alias("node"), "color")
-        new = _cut(start.union(pushed).groupBy("node").agg(F.min("color").alias("color")))
-        if new.join(start.withColumnRenamed("color", "was"), "node", "left").where("was is null or color < was").isEmpty():
-            return new
-        start = new
+        for _ in range(2):  # two steps for each table written
+            pushed = start.join(edges, start["node"] == edges["src"]).select(F.col("dst").alias("node"), "color")
+            start = start.union(pushed).groupBy("node").agg(F.min("color").alias("color"))
+        start = written(start)
+        state = start.agg(F.count("*"), F.sum(F.xxhash64("node", "color").cast("decimal(38,0)"))).first()
+        if state == before:
+            return start
+        before = state
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components, named by their smallest node.
 
-    Forward-backward colouring: every node takes the smallest node that reaches it as its color; what reaches a color's
-    root from within the color is one component. Nodes without edges in or out of what is left are components
+    Forward-backward colouring: every node takes the first node, in the order of a hash, that reaches it as its color;
+    what reaches a color's root from within the color is one component, and edges between colors go. So parts of a
+    chain of components are worked on at once. Nodes without edges in or out of what is left are components
     of their own and trimmed before. Rows never exceed the edges.
     """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
-    left = _cut(edges.select("src", "dst").where("src <> dst").distinct())
+    left = written(edges.select("src", "dst").where("src <> dst").distinct())
     found = None
     while True:
         ends = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
-        kept = _cut(left.join(ends.select(F.col("node").alias("src")), "src", "left_semi").join(ends.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        kept = written(left.join(ends.select(F.col("node").alias("src")), "src", "left_semi").join(ends.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
         if kept.count() < left.count():
             left = kept
             continue
         if left.isEmpty():
             break
-        color = _spread(left.select(F.col("src").alias("node")).distinct().withColumn("color", F.col("node")), left)
+        first = F.struct(F.xxhash64("node").alias("p"), F.col("node").alias("root"))
+        color = _spread(left.select(F.col("src").alias("node")).distinct().withColumn("color", first), left)
         a, b = color.toDF("src", "a"), color.toDF("dst", "b")
-        inner = _cut(left.join(a, "src").join(b, "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        back = _cut(_spread(color.where("node = color"), inner).select("node", F.col("color").alias("component")))
-        found = back if found is None else _cut(found.union(back))
+        inner = written(left.join(a, "src").join(b, "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        back = _spread(color.where("node = color.root"), inner).select("node", F.col("color.root").alias("component"))
+        names = back.groupBy("component").agg(F.min("node").alias("least"))
+        back = back.join(names, "component").select("node", F.col("least").alias("component"))
+        found = back if found is None else found.union(back)
         gone = back.select("node")
-        left = _cut(left.join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
+        left = written(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
     if found is None:
         return nodes.select("node", F.col("node").alias("component"))
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
@@ -96,7 +98,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def cycles(edges: DataFrame) -> DataFrame:
     """(component, node) of the nodes on cycles: those of components of several nodes, and those with an edge to themselves."""
-    scc = _cut(components(edges))
+    scc = written(components(edges))
     own = edges.where("src = dst").select(F.col("src").alias("node")).distinct().withColumn("own", F.lit(True))
     size = scc.groupBy("component").agg(F.count("*").alias("n"))
     return scc.join(size, "component").join(own, "node", "left").where("n > 1 or own").select("component", "node")
@@ -107,13 +109,13 @@ def layers(edges: DataFrame, scc: DataFrame | None = None) -> DataFrame:
 
     ``src`` depends on ``dst``.
     """
-    scc = _cut(scc if scc is not None else components(edges))
+    scc = written(scc if scc is not None else components(edges))
     a, b = scc.toDF("src", "a"), scc.toDF("dst", "b")
-    dag = _cut(edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("a <> b").select("a", "b").distinct())
+    dag = written(edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("a <> b").select("a", "b").distinct())
     level = scc.select(F.col("component").alias("b")).distinct().withColumn("layer", F.lit(0))
     while True:
         raised = dag.join(level, "b").groupBy("a").agg((F.max("layer") + 1).alias("up"))
-        new = _cut(level.join(raised, F.col("b") == F.col("a"), "left").select("b", F.coalesce("up", F.lit(0)).alias("layer")))
+        new = written(level.join(raised, F.col("b") == F.col("a"), "left").select("b", F.coalesce("up", F.lit(0)).alias("layer")))
         if new.exceptAll(level).isEmpty():
             break
         level = new
@@ -136,13 +138,13 @@ def blast_radius(edges: DataFrame, high: int = 3, busy: int = 20, exact: bool =
     if exact:
         every = closure(edges).where("src <> dst").groupBy("dst").agg(F.count("*").alias("transitive"))
     else:
-        e = _cut(edges.select("src", "dst").where("src <> dst").distinct())
+        e = written(edges.select("src", "dst").where("src <> dst").distinct())
         own = e.groupBy("dst").agg(F.hll_sketch_agg("src").alias("s"))
-        sketch, before = _cut(own), None
+        sketch, before = written(own), None
         while (state := sketch.agg(F.sum(F.hll_sketch_estimate("s"))).first()[0]) != before:
             before = state
             passed = e.join(sketch.toDF("src", "s"), "src").select("dst", "s")
-            sketch = _cut(passed.union(sketch).groupBy("dst").agg(F.hll_union_agg("s").alias("s")))
+            sketch = written(passed.union(sketch).groupBy("dst").agg(F.hll_union_agg("s").alias("s")))
         member = cycles(edges.where("src <> dst")).select(F.col("node").alias("dst"), F.lit(1).alias("self"))
         every = sketch.join(member, "dst", "left").select("dst", (F.hll_sketch_estimate("s") - F.coalesce("self", F.lit(0))).alias("transitive"))
     out = nodes.join(direct, nodes["node"] == direct["dst"], "left").drop("dst").join(every, nodes["node"] == every["dst"], "left").drop("dst").na.fill(0)

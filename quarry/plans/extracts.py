@@ -11,18 +11,29 @@ from quarry.operators import extract as X
 from quarry.plans.registry import query
 
 FILES = [
-    ("a/Orders.cs", '[HttpGet("orders/{id}")]\npublic Order Get(int id) => _context.Orders.Find(id);\napp.MapPost("/orders", h);\nvar u = configuration["Api:Url"];\nthrow new OrderException("no such order");\nservices.AddScoped<IRepo, Repo>();\nRecurringJob.AddOrUpdate("nightly", () => Run(), Cron.Daily);\nvar c = new SqlCommand("x");'),
-    ("web/app.js", "app.get('/home', f);\nfetch('/orders/1');\nconst k = process.env.API_KEY;"),
+    ("a/Orders.cs", '[HttpGet("orders/@K/{id}")]\npublic Order Get(int id) => _context.Orders@K.Find(id);\napp.MapPost("/orders", h);\nvar u = configuration["Api@K:Url"];\nthrow new OrderException("no such order @K");\nservices.AddScoped<IRepo@K, Repo>();\nRecurringJob.AddOrUpdate("nightly@K", () => Run(), Cron.Daily);\nvar c = new SqlCommand("x");'),
+    ("web/app.js", "app.get('/home', f);\nfetch('/orders/@K');\nconst k = process.env.API_KEY_@K;"),
     ("svc/main.py", '@app.get("/ping")\nraise ValueError("bad input")\nos.environ["HOME_DIR"]'),
     ("svc/Api.java", '@GetMapping("/pets")\n@Scheduled(cron = "0 0 * * * *")'),
-    ("Dockerfile", "FROM base/image:8.0\nEXPOSE 8080"),
+    ("Dockerfile", "FROM base/image:@K\nEXPOSE 8080"),
     ("ci.yml", "image: node:20\n  - cron: '0 5 * * 1'"),
-    ("links.txt", "see https://api.example.com:8443/v1 and http://10.0.0.5/x\nxmlns=http://www.w3.org/2000/svg ftp://files.corp/in"),
+    ("links.txt", "see https://api@K.example.com:8443/v1 and http://10.0.0.5/x\nxmlns=http://www.w3.org/2000/svg ftp://files.corp/in"),
 ]
 
 
 def _files(t):
-    return t.spark.createDataFrame(FILES, "path string, text string")
+    """Each file once for every supplier, who is named in its path and, where @K stands, in its text."""
+    each = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(x).alias("text")) for p, x in FILES])).alias("f")
+    key = F.col("s_suppkey").cast("string")
+    rows = t.supplier.select("s_suppkey", each)
+    return rows.select(F.concat(F.lit("s"), key, F.lit("/"), F.col("f.path")).alias("path"), F.replace("f.text", F.lit("@K"), key).alias("text"))
+
+
+def _per_supplier(columns, rows, number="line"):
+    """The rows expected of FILES, for every supplier."""
+    names = [c.strip() for c in columns.split(",")]
+    shown = [f"'s' || s_suppkey || '/' || {c} AS {c}" if c == "path" else c if c in (number, "port") else f"replace({c}, '@K', CAST(s_suppkey AS VARCHAR)) AS {c}" for c in names]
+    return f"SELECT {', '.join(shown)} FROM supplier, ({_values(columns, rows)})"
 
 
 def _values(columns, rows):
@@ -39,54 +50,58 @@ def _facts(catalogue):
     return lambda t: X.extract(_files(t), catalogue, "path", "text").select("path", "line", "kind", "value", "extra")
 
 
-@query(_values("path, line, kind, value, extra", [("a/Orders.cs", 1, "attribute", "orders/{id}", "Get"), ("a/Orders.cs", 3, "minimal", "/orders", "Post"), ("web/app.js", 1, "express", "/home", "get"), ("svc/main.py", 1, "decorator", "/ping", "get"), ("svc/Api.java", 1, "spring", "/pets", "Get")]))
+@query(_per_supplier("path, line, kind, value, extra", [("a/Orders.cs", 1, "attribute", "orders/@K/{id}", "Get"), ("a/Orders.cs", 3, "minimal", "/orders", "Post"), ("web/app.js", 1, "express", "/home", "get"), ("svc/main.py", 1, "decorator", "/ping", "get"), ("svc/Api.java", 1, "spring", "/pets", "Get")]))
 def ext_api(t):
     return _facts(X.API)(t)
 
 
-@query(_values("path, line, kind, value, extra", [("a/Orders.cs", 7, "recurring", "nightly", "Cron.Daily"), ("svc/Api.java", 2, "scheduled", "0 0 * * * *", ""), ("ci.yml", 2, "workflow", "0 5 * * 1", "")]))
+@query(_per_supplier("path, line, kind, value, extra", [("a/Orders.cs", 7, "recurring", "nightly@K", "Cron.Daily"), ("svc/Api.java", 2, "scheduled", "0 0 * * * *", ""), ("ci.yml", 2, "workflow", "0 5 * * 1", "")]))
 def ext_jobs(t):
     return _facts(X.JOBS)(t)
 
 
-@query(_values("path, line, kind, value, extra", [("a/Orders.cs", 5, "throw", "no such order", "OrderException"), ("svc/main.py", 2, "raise", "bad input", "ValueError")]))
+@query(_per_supplier("path, line, kind, value, extra", [("a/Orders.cs", 5, "throw", "no such order @K", "OrderException"), ("svc/main.py", 2, "raise", "bad input", "ValueError")]))
 def ext_errors(t):
     return _facts(X.ERRORS)(t)
 
 
-@query(_values("path, line, kind, value, extra", [("a/Orders.cs", 4, "indexer", "Api:Url", ""), ("web/app.js", 3, "environment", "API_KEY", ""), ("svc/main.py", 3, "environment", "HOME_DIR", "")]))
+@query(_per_supplier("path, line, kind, value, extra", [("a/Orders.cs", 4, "indexer", "Api@K:Url", ""), ("web/app.js", 3, "environment", "API_KEY_@K", ""), ("svc/main.py", 3, "environment", "HOME_DIR", "")]))
 def ext_config_reads(t):
     return _facts(X.CONFIG_READS)(t)
 
 
-@query(_values("path, line, kind, value, extra", [("a/Orders.cs", 6, "service", "IRepo", "Scoped"), ("a/Orders.cs", 6, "implementation", "IRepo", "Repo")]))
+@query(_per_supplier("path, line, kind, value, extra", [("a/Orders.cs", 6, "service", "IRepo@K", "Scoped"), ("a/Orders.cs", 6, "implementation", "IRepo@K", "Repo")]))
 def ext_registrations(t):
     return _facts(X.REGISTRATIONS)(t)
 
 
-@query(_values("path, line, kind, value, extra", [("web/app.js", 2, "fetch", "/orders/1", "")]))
+@query(_per_supplier("path, line, kind, value, extra", [("web/app.js", 2, "fetch", "/orders/@K", "")]))
 def ext_ui_triggers(t):
     return _facts(X.UI_TRIGGERS)(t)
 
 
-@query(_values("path, line, kind, value, extra", [("Dockerfile", 1, "base_image", "base/image:8.0", ""), ("Dockerfile", 2, "port", "8080", ""), ("ci.yml", 1, "pipeline_image", "node:20", "")]))
+@query(_per_supplier("path, line, kind, value, extra", [("Dockerfile", 1, "base_image", "base/image:@K", ""), ("Dockerfile", 2, "port", "8080", ""), ("ci.yml", 1, "pipeline_image", "node:20", "")]))
 def ext_build_facts(t):
     return _facts(X.BUILD_FACTS)(t)
 
 
-@query(_values("path, line, kind, value", [("a/Orders.cs", 2, "orm", "Orders"), ("a/Orders.cs", 8, "raw_command", "")]))
+@query(_per_supplier("path, line, kind, value", [("a/Orders.cs", 2, "orm", "Orders@K"), ("a/Orders.cs", 8, "raw_command", "")]))
 def ext_data_access(t):
     return _facts(X.DATA_ACCESS)(t).drop("extra")
 
 
-@query(_values("path, line, host, port, scheme, kind", [("links.txt", 1, "api.example.com", 8443, "https", "external"), ("links.txt", 1, "10.0.0.5", 80, "http", "internal"), ("links.txt", 2, "files.corp", "@", "ftp", "internal")]).replace("'@'", "NULL"))
+@query(_per_supplier("path, line, host, port, scheme, kind", [("links.txt", 1, "api@K.example.com", 8443, "https", "external"), ("links.txt", 1, "10.0.0.5", 80, "http", "internal"), ("links.txt", 2, "files.corp", "@", "ftp", "internal")]).replace("'@'", "NULL"))
 def ext_endpoints(t):
     return X.endpoints(_files(t), "path", "text").drop("url")
 
 
-@query("SELECT page_id, len(regexp_extract_all(html, '<li>')) AS links FROM pages")
+_TAG = r"<(a|form|input|button|img|script|table)[ >]"
+
+
+@query(rf"SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(lower(html), '{_TAG}', 1)) AS tag FROM pages) GROUP BY ALL")
 def ext_views(t):
-    return t.pages.select("page_id", F.regexp_count("html", F.lit("<li>")).cast("long").alias("links"))
+    tags = F.explode(F.regexp_extract_all(F.lower("html"), F.lit(_TAG), 1)).alias("tag")
+    return t.pages.select("page_id", tags).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
 PROJECTS = [("a", "Library", ["xunit"], ["A.cs"]), ("b", "Exe", [], ["Program.cs"]), ("c", "Library", ["Microsoft.AspNetCore.App"], ["Startup.cs"]), ("d", "Library", [], ["Default.aspx"]), ("e", "Library", [], ["x.cs"])]
