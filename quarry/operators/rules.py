@@ -1,7 +1,7 @@
 """Rule scanning: files x rules x lines in one pass.
 
-Rules are a small catalogue written by hand, so they are literals of the plan: one combined pattern
-picks the lines that any of them can match, and only those become rows. Patterns see one line each,
+Rules are a small catalogue written by hand, so they are literals of the plan: a file's rules are those
+that its text can match at all, and only lines that one of these matches become hits. Patterns see one line each,
 so anchors mean the line's ends.
 """
 
@@ -40,18 +40,21 @@ def line_explode(files: DataFrame, text: str = "text") -> DataFrame:
     return files.select("*", F.posexplode(lines_of(text)).alias("pos", "line")).withColumn("line_no", F.col("pos") + 1).drop("pos")
 
 
+#: What a line can match though its whole text does not: ends of the text, looks around, possessive parts, both ends of an empty line.
+_LINE_ONLY = re.compile(r"\\[AzZG]|\(\?[=!<>]|[+*?}]\+|\^.*\$")
+
+
 def any_of(patterns: list[str]):
-    """A condition on a column: whether any pattern matches. One alternation, unless groups are referred to by number."""
-    if any(re.search(r"\\[1-9]", p) for p in patterns):
-        return lambda c: reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns])
-    return lambda c: c.rlike("|".join(f"(?:{p})" for p in patterns))
+    """A condition on a column: whether any pattern matches. Tried one by one: each has its own fast search, which an alternation has not."""
+    return lambda c: reduce(lambda a, b: a | b, [c.rlike(p) for p in patterns])
 
 
 def _file_level(rule: Rule, kind: str | None, text: str) -> Column | None:
-    """Whether a rule is for the file at all; None if it is for every file."""
-    ok = None
+    """Whether a rule can match in the file at all; None if that is not known before its lines."""
+    ok = None if _LINE_ONLY.search(rule.pattern) else F.col(text).rlike("(?m)" + rule.pattern)
     if rule.types and kind:
-        ok = F.coalesce(F.col(kind).isin(*rule.types), F.lit(False))
+        kinds = F.coalesce(F.col(kind).isin(*rule.types), F.lit(False))
+        ok = kinds if ok is None else kinds & ok
     for pattern, wanted in ((rule.requires, True), (rule.unless_in_file, False)):
         if pattern:
             one = F.col(text).rlike(pattern) if wanted else ~F.col(text).rlike(pattern)
@@ -73,13 +76,17 @@ def rule_scan(files: DataFrame, rules: list[Rule], key: str, kind: str | None =
         near = F.when(any_of(contexts)(line), around(at)) if contexts else F.lit(None).cast("string")
         return F.struct((at + 1).alias("line_no"), line.alias("line"), near.alias("around"))
 
-    split = files.select(*columns, *[c.alias(n) for n, c in flags.items()], lines.alias("__lines"))
+    held = files.select(*columns, text, *[c.alias(n) for n, c in flags.items()])
+    if len(flags) == len(rules):
+        held = held.where(reduce(lambda a, b: a | b, [F.col(n) for n in flags]))
+    can = [(F.col(f"__f{k}") if f"__f{k}" in flags else F.lit(True), r) for k, r in enumerate(rules)]
+    some = lambda line: reduce(lambda a, b: a | b, [flag & line.rlike(r.pattern) for flag, r in can])
+    split = held.select(*columns, *flags, lines.alias("__lines"))
     numbered = F.transform("__lines", one)
     if contexts:  # the array outlives the filter only where lines around are looked at
-        can = F.filter(numbered, lambda x: any_of([r.pattern for r in rules])(x["line"]))
-        found = split.select(*columns, *flags, F.explode(can).alias("x")).select(*columns, *flags, "x.*")
+        found = split.select(*columns, *flags, F.explode(F.filter(numbered, lambda x: some(x["line"]))).alias("x")).select(*columns, *flags, "x.*")
     else:
-        found = split.select(*columns, *flags, F.posexplode("__lines").alias("line_no", "line")).where(any_of([r.pattern for r in rules])(F.col("line"))).withColumn("line_no", F.col("line_no") + 1)
+        found = split.select(*columns, *flags, F.posexplode("__lines").alias("line_no", "line")).where(some(F.col("line"))).withColumn("line_no", F.col("line_no") + 1)
     hits = []
     for k, r in enumerate(rules):
         hit = F.col("line").rlike(r.pattern)
