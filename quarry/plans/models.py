@@ -20,7 +20,7 @@ from quarry.streaming import events as V
 
 #: Nodes are customers' and orders' keys by remainders; edges lead a few nodes on, or lie within blocks of three.
 _NEAR = "(dst > src AND dst - src < 4 AND dst % 3 = 0) OR floor(src / 3) = floor(dst / 3)"
-_EDGES = f"e(src, dst) AS (SELECT DISTINCT src, dst FROM (SELECT o_custkey % 24 AS src, o_orderkey % 24 AS dst FROM orders WHERE o_orderpriority = '1-URGENT') WHERE {_NEAR})"
+_EDGES = f"e(src, dst) AS (SELECT DISTINCT src, dst FROM (SELECT o_custkey % 12 AS src, o_orderkey % 12 AS dst FROM orders WHERE o_orderpriority = '1-URGENT') WHERE {_NEAR})"
 _CLOSURE = f"WITH RECURSIVE {_EDGES}, c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)"
 _NODES = "n(node) AS (SELECT src FROM e UNION SELECT dst FROM e)"
 _SCC = f"{_CLOSURE}, {_NODES}, scc AS (SELECT node, least(node, coalesce((SELECT min(a.dst) FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node), node)) AS component FROM n)"
@@ -28,7 +28,7 @@ _LAYERS = f"{_SCC}, dag AS (SELECT DISTINCT a.component AS a, b.component AS b F
 
 
 def _edges(t):
-    pairs = t.orders.where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") % 24).alias("src"), (F.col("o_orderkey") % 24).alias("dst"))
+    pairs = t.orders.where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") % 12).alias("src"), (F.col("o_orderkey") % 12).alias("dst"))
     return pairs.where(_NEAR).distinct()
 
 
@@ -42,9 +42,9 @@ def graph_reach(t):
     return N.reach(_edges(t), t.spark.createDataFrame([(11,), (8,)], "seed long"), depth=3)
 
 
-@query(f"WITH RECURSIVE {_EDGES}, w(node, depth) AS (SELECT dst, 1 FROM e WHERE src = 0 UNION SELECT e.dst, depth + 1 FROM w JOIN e ON node = e.src WHERE depth < 24) SELECT CAST(min(depth) AS INT) AS hops, 0 AS first, 20 AS last FROM w WHERE node = 20 HAVING count(*) > 0")
+@query(f"WITH RECURSIVE {_EDGES}, w(node, depth) AS (SELECT dst, 1 FROM e WHERE src = 0 UNION SELECT e.dst, depth + 1 FROM w JOIN e ON node = e.src WHERE depth < 24) SELECT CAST(min(depth) AS INT) AS hops, 0 AS first, 10 AS last FROM w WHERE node = 10 HAVING count(*) > 0")
 def shortest_path(t):
-    return N.shortest_path(_edges(t), 0, 20).select("hops", F.col("path")[0].cast("int").alias("first"), F.element_at("path", -1).cast("int").alias("last"))
+    return N.shortest_path(_edges(t), 0, 10).select("hops", F.col("path")[0].cast("int").alias("first"), F.element_at("path", -1).cast("int").alias("last"))
 
 
 @query(f"{_SCC} SELECT CAST(node AS BIGINT) AS node, CAST(component AS BIGINT) AS component FROM scc")
