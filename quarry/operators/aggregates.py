@@ -21,6 +21,10 @@ def findings(hits: DataFrame, key: list[str], file: str, line: str, confidence:
     return totals.join(capped(hits, key, [file, line], [file, line], most).withColumnRenamed("items", "evidence"), key)
 
 
+#: Parts into which a sketch divides the values of a key.
+STEPS = 200
+
+
 def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """(by, n, one column per rank): the values at places (from 0, as functions of n) of each key's sorted numbers.
 
@@ -30,10 +34,11 @@ def at_ranks(rows: DataFrame, by: list[str], value: str, ranks: dict[str, Callab
     own = [F.col(c).alias(f"__b{k}") for k, c in enumerate(by)]
     names = [f"__b{k}" for k in range(len(by))]
     v = rows.select(*own, F.col(value).alias("__v")).where("__v is not null")
-    n, slack = F.count("*"), 0.002
-    bounds = v.groupBy(*names).agg(n.alias("n"), F.percentile_approx("__v", [k / 1000 for k in range(1001)], F.lit(10_000)).alias("__q"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    n, slack = F.count("*"), 2 / STEPS
+    cuts = "array(" + ", ".join(f"{k / STEPS}D" for k in range(STEPS + 1)) + ")"
+    bounds = v.groupBy(*names).agg(n.alias("n"), F.percentile_approx("__v", F.expr(cuts), F.lit(10_000)).alias("__q"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
     place = {name: rank(F.col("n")).cast("long") for name, rank in ranks.items()}
-    share = lambda p, d: F.col("__q")[F.greatest(F.lit(0), F.least(F.lit(1000), F.floor(p / F.greatest(F.col("n") - 1, F.lit(1)) * 1000 + d))).cast("int")]
+    share = lambda p, d: F.col("__q")[F.greatest(F.lit(0), F.least(F.lit(STEPS), F.floor(p / F.greatest(F.col("n") - 1, F.lit(1)) * STEPS + d))).cast("int")]
     sides = [F.struct(F.lit(name).alias("name"), p.alias("at"), F.when(p <= F.col("n") * slack, F.col("__lo")).otherwise(share(p, -2)).alias("lo"), F.when(p >= F.col("n") * (1 - slack), F.col("__hi")).otherwise(share(p, 3)).alias("hi")) for name, p in place.items()]
     asked = bounds.select(*names, "n", F.array(*sides).alias("asked"))
     met = v.join(asked, names) if by else v.crossJoin(F.broadcast(asked))  # one row
