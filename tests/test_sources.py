@@ -79,3 +79,36 @@ def test_tables_come_back(spark, tmp_path):
     (tmp_path / "b.xlsx").write_bytes(xlsx.workbook(["id", "txt"], [[1, "a<b"], [2, None]]))
     assert [tuple(r) for r in xlsx.read(spark, str(tmp_path / "b.xlsx")).collect()] == [("1", "a<b"), ("2", "")]
     assert "| a,b |" in files.markdown(df)
+
+
+def shared_workbook() -> bytes:
+    """Two sheets in an order of their own, shared and rich strings, gaps and a blank row."""
+    import io
+    import zipfile
+
+    main, rel = xlsx.MAIN, xlsx.OFFICE
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Second &amp; last" sheetId="2" r:id="b"/><sheet name="First" sheetId="1" r:id="a"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{xlsx.PACKAGE}/relationships"><Relationship Id="a" Target="worksheets/one.xml"/><Relationship Id="b" Target="/xl/worksheets/two.xml"/></Relationships>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{main}"><si><t>name</t></si><si><r><t>a</t></r><r><t xml:space="preserve"> b</t></r><rPh><t>no</t></rPh></si></sst>',
+        "xl/worksheets/one.xml": f'<worksheet xmlns="{main}"><sheetData><row r="2"><c r="B2" t="s"><v>0</v></c><c r="AA2"><v>1.5</v></c></row><row r="3"/><row r="5"><c r="B5" t="s"><v>1</v></c><c t="b"><v>1</v></c></row></sheetData></worksheet>',
+        "xl/worksheets/two.xml": f'<worksheet xmlns="{main}"><sheetData/></worksheet>',
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def test_workbooks(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(shared_workbook())
+    (tmp_path / "broken.xlsx").write_bytes(b"no workbook")
+    (tmp_path / "b.xlsx").write_bytes(xlsx.workbook(["id", "ok", "x"], [[1, True, None], [], [2.5, False, "<&>"]], sheet='T "1"'))
+    got = xlsx.cells(spark, str(tmp_path)).where("col is not null").collect()
+    assert sorted((r["sheet"], r["row"], r["col"], r["kind"], r["value"]) for r in got if r["path"].endswith("a.xlsx")) == [("First", 2, 2, "text", "name"), ("First", 2, 27, "number", "1.5"), ("First", 5, 2, "text", "a b"), ("First", 5, 3, "bool", "1")]
+    assert sorted((r["row"], r["col"], r["kind"], r["value"]) for r in got if r["sheet"] == 'T "1"' and r["row"] > 1) == [(2, 1, "number", "1"), (2, 2, "bool", "1"), (4, 1, "number", "2.5"), (4, 2, "bool", "0"), (4, 3, "text", "<&>")]
+    assert [tuple(r) for r in xlsx.read(spark, str(tmp_path / "b.xlsx")).collect()] == [("1", "1", ""), ("", "", ""), ("2.5", "0", "<&>")]
+    table = xlsx.read(spark, str(tmp_path / "a.xlsx"), "First")
+    assert len(table.columns) == 27 and table.columns[1] == "name" and [r["name"] for r in table.collect()] == ["", "a b"]
+    assert xlsx.read(spark, str(tmp_path / "broken.xlsx")).collect() == []
