@@ -8,6 +8,8 @@ from quarry.functions import scalars as S
 from quarry.operators import rules as R
 from quarry.operators.aggregates import capped, complexity, contingency, findings
 from quarry.plans.registry import query
+from quarry.session import shared_path
+from quarry.sources import files
 
 RULES = [
     R.Rule("shout", "warn", "[A-Z]{4,}!!"),
@@ -274,3 +276,17 @@ def route_match(t):
     calls = t.pages.select("page_id", S.route_segments(S.url_path(F.col("url"))).alias("segs"))
     routes = F.broadcast(t.spark.createDataFrame(ROUTES, "route int, verb string, template string").withColumn("tmpl", S.route_segments(F.col("template"))))
     return match(calls, routes, "segs", "tmpl").select("page_id", "route")
+
+
+@query("SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
+def csv_round_trip(t):
+    path = shared_path(t.spark)
+    files.write_csv(t.conversations.select("conv_id", "turn", "role", "text"), path)
+    return files.read_csv(t.spark, path, "conv_id long, turn long, role string, text string").select("conv_id", "turn", "role", F.md5("text").alias("digest"))
+
+
+@query("SELECT doc_id, source, md5(text) AS digest FROM documents")
+def json_round_trip(t):
+    path = shared_path(t.spark)
+    files.write_json(t.documents.select("doc_id", "source", "text"), path)
+    return files.read_json(t.spark, path, "doc_id long, source string, text string").select("doc_id", "source", F.md5("text").alias("digest"))

@@ -164,7 +164,8 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Values keep their outer blanks and line ends."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: str, lines: bool = True) -> DataFrame:
