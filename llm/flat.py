@@ -124,3 +124,20 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndar
             folded[more] = mix(folded[more] ^ (h[position[more] + k] + np.uint64(k)))
     out[:] = folded
     return out, bounds
+
+
+def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first run of each row and after the last) of the longest stretches of a row whose bytes are ``inside``."""
+    n = len(inside)
+    if n == 0:
+        z = np.zeros(0, np.int64)
+        return z, z, np.zeros(len(offsets), np.int64)
+    edge = np.empty(n + 1, bool)
+    edge[0] = edge[n] = True
+    np.not_equal(inside[1:], inside[:-1], out=edge[1:n])
+    edge[offsets] = True
+    cut = np.flatnonzero(edge)
+    starts, ends = cut[:-1], cut[1:]
+    keep = inside[starts]
+    starts, ends = starts[keep], ends[keep]
+    return starts, ends, np.searchsorted(starts, offsets)

@@ -9,13 +9,14 @@ from llm.langid import op5_language_id
 from llm.minhash import op1_minhash_dedup
 from llm.packing import op4_packing
 from llm.quality import op10_kneser_ney_quality
+from llm.resample import op13_importance_resampling
 from llm.sharding import op9_sampled_splitters
 from llm.simple8b import op3_simple8b_ids
 from llm.vectors import op2_robust_graph
 
 
 def queries():
-    found = [op1_minhash_dedup, op3_simple8b_ids, op4_packing, op5_language_id, op7_merge_replay_bpe, op8_html_extraction, op9_sampled_splitters, op10_kneser_ney_quality, op6_audio_features, op2_robust_graph]
+    found = [op1_minhash_dedup, op3_simple8b_ids, op4_packing, op5_language_id, op7_merge_replay_bpe, op8_html_extraction, op9_sampled_splitters, op10_kneser_ney_quality, op6_audio_features, op2_robust_graph, op13_importance_resampling]
     return {f.__name__: f for f in found}
 
 
@@ -37,7 +38,21 @@ p AS (SELECT a.id AS a, b.id AS b FROM good a JOIN good b ON a.label = b.label A
 lk AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), {_REACHED}
 SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept FROM (SELECT id, min(c) AS component_id FROM r GROUP BY 1) LEFT JOIN (SELECT a AS id, count(*) AS n FROM lk GROUP BY 1) USING (id)"""
 
+#: CRC-32 byte by byte from its table, over distinct features; features, gains, weights and ranks in plain SQL.
+OP13 = f"""WITH tab AS (SELECT list(list_reduce([CAST(i AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+w AS (SELECT 0 AS side, doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS ws FROM documents
+  UNION ALL SELECT 1, 0, list_filter(string_split_regex(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') FROM benchmark),
+e AS (SELECT side, id, unnest(list_concat(ws, list_concat(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]), list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])))) AS f FROM w),
+u AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM e)),
+c AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(f)), lambda i: CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))), lambda x, y: xor(t[1 + (xor(x, y) & 255)], x >> 8)), 4294967295) % 10000 AS b FROM u, tab),
+n AS (SELECT b, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM e JOIN c USING (f) GROUP BY b),
+g AS (SELECT b, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * ((SELECT sum(s) FROM n)::DOUBLE + 10000) / ((s + 1.0::DOUBLE) * ((SELECT sum(t) FROM n)::DOUBLE + 10000)))) AS BIGINT) AS gain FROM n),
+d AS (SELECT id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM e JOIN c USING (f) JOIN g USING (b) WHERE side = 0 GROUP BY id),
+p AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, len(ws) >= 20 AS fit, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('42:' || doc_id)[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM documents JOIN w ON w.id = doc_id AND side = 0 LEFT JOIN d ON d.id = doc_id),
+o AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place FROM p)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * (SELECT count(*) FROM p WHERE fit) // 100 THEN place END AS rank FROM o"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The operators whose rows SQL can express; tests hold the others against brute force."""
-    return {"op1_minhash_dedup": OP1, "op2_robust_graph": OP2}
+    return {"op1_minhash_dedup": OP1, "op2_robust_graph": OP2, "op13_importance_resampling": OP13}
