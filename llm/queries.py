@@ -8,6 +8,7 @@ from llm.html import op8_html_extraction
 from llm.langid import op5_language_id
 from llm.minhash import op1_minhash_dedup
 from llm.packing import op4_packing
+from llm.phrases import op11_phrase_collocations
 from llm.quality import op10_kneser_ney_quality
 from llm.resample import op13_importance_resampling
 from llm.sharding import op9_sampled_splitters
@@ -16,7 +17,7 @@ from llm.vectors import op2_robust_graph
 
 
 def queries():
-    found = [op1_minhash_dedup, op3_simple8b_ids, op4_packing, op5_language_id, op7_merge_replay_bpe, op8_html_extraction, op9_sampled_splitters, op10_kneser_ney_quality, op6_audio_features, op2_robust_graph, op13_importance_resampling]
+    found = [op1_minhash_dedup, op3_simple8b_ids, op4_packing, op5_language_id, op7_merge_replay_bpe, op8_html_extraction, op9_sampled_splitters, op10_kneser_ney_quality, op6_audio_features, op2_robust_graph, op11_phrase_collocations, op13_importance_resampling]
     return {f.__name__: f for f in found}
 
 
@@ -52,7 +53,20 @@ p AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0)
 o AS (SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place FROM p)
 SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * (SELECT count(*) FROM p WHERE fit) // 100 THEN place END AS rank FROM o"""
 
+#: All runs of one to five words; cuts, the one-word extensions and ranks in 128-bit integers.
+OP11 = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+e AS (SELECT lang, k AS words, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) r(k)),
+f AS (SELECT lang, words, phrase, count(*) AS f FROM e GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE words = 1 GROUP BY 1),
+c AS (SELECT lang, phrase, words, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE words > 1 AND f >= 100),
+k AS (SELECT c.lang, c.phrase, a, n, k, l.f AS l, r.f AS r, CAST(1000::HUGEINT * a * n // (l.f::HUGEINT * r.f) AS BIGINT) AS score FROM c, range(1, 5) x(k), n, f l, f r
+  WHERE k < c.words AND n.lang = c.lang AND l.lang = c.lang AND r.lang = c.lang AND l.phrase = array_to_string(ws[1:k], ' ') AND r.phrase = array_to_string(ws[k + 1:], ' ')),
+m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM k),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m WHERE cut = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.lang = m.lang AND c.words > len(string_split(m.phrase, ' ')) AND contains(' ' || c.phrase || ' ', ' ' || m.phrase || ' ') AND 100 * c.a >= 100 * m.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The operators whose rows SQL can express; tests hold the others against brute force."""
-    return {"op1_minhash_dedup": OP1, "op2_robust_graph": OP2, "op13_importance_resampling": OP13}
+    return {"op1_minhash_dedup": OP1, "op2_robust_graph": OP2, "op11_phrase_collocations": OP11, "op13_importance_resampling": OP13}
