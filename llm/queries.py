@@ -9,6 +9,7 @@ from llm.langid import op5_language_id
 from llm.minhash import op1_minhash_dedup
 from llm.packing import op4_packing
 from llm.phrases import op11_phrase_collocations
+from llm.pii import op12_information_sanitisation
 from llm.quality import op10_kneser_ney_quality
 from llm.resample import op13_importance_resampling
 from llm.sharding import op9_sampled_splitters
@@ -17,7 +18,7 @@ from llm.vectors import op2_robust_graph
 
 
 def queries():
-    found = [op1_minhash_dedup, op3_simple8b_ids, op4_packing, op5_language_id, op7_merge_replay_bpe, op8_html_extraction, op9_sampled_splitters, op10_kneser_ney_quality, op6_audio_features, op2_robust_graph, op11_phrase_collocations, op13_importance_resampling]
+    found = [op1_minhash_dedup, op3_simple8b_ids, op4_packing, op5_language_id, op7_merge_replay_bpe, op8_html_extraction, op9_sampled_splitters, op10_kneser_ney_quality, op6_audio_features, op2_robust_graph, op11_phrase_collocations, op12_information_sanitisation, op13_importance_resampling]
     return {f.__name__: f for f in found}
 
 
@@ -66,7 +67,33 @@ m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k)
 o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM m WHERE cut = 1 AND NOT EXISTS (SELECT 1 FROM c WHERE c.lang = m.lang AND c.words > len(string_split(m.phrase, ' ')) AND contains(' ' || c.phrase || ' ', ' ' || m.phrase || ' ') AND 100 * c.a >= 100 * m.a))
 SELECT lang, rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000"""
 
+_KINDS = r"(VALUES (1, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', '[0-9]+(?:\.[0-9]+){3}'), (3, 'card', '[0-9](?:[ -]?[0-9])+'), (4, 'phone', '\+[0-9][ ().0-9-]+[0-9]')) k(kind, name, p)"
+_NO_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+#: Matches and the text between them give the places; pairs of entities and near words, their documents, and every place of a disclosing term.
+OP12 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, text, kind, name, string_split_regex(text, p) AS gaps, regexp_extract_all(text, p) AS ms FROM d, {_KINDS}),
+i AS (SELECT doc_id, text, kind, name, gaps, ms, unnest(range(1, len(ms) + 1)) AS i FROM m WHERE len(ms) > 0),
+v AS (SELECT doc_id, text, kind, name, ms[i] AS value, list_sum(list_transform(gaps[:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda g: length(g))), 0) AS b, regexp_replace(ms[i], '[^0-9]', '', 'g') AS digits,
+  list_concat(list_filter(string_split_regex(lower(gaps[i]), '{_NO_WORD}'), lambda w: w <> '')[-10:], list_filter(string_split_regex(lower(gaps[i + 1]), '{_NO_WORD}'), lambda w: w <> '')[:10]) AS near FROM i),
+s AS (SELECT *, b + length(value) AS e FROM v WHERE CASE kind WHEN 1 THEN true WHEN 2 THEN len(list_filter(string_split(value, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0
+  WHEN 3 THEN length(digits) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda j: CASE WHEN j % 2 = 1 THEN CAST(digits[-j] AS INT) ELSE CAST(digits[-j] AS INT) * 2 - CASE WHEN digits[-j] > '4' THEN 9 ELSE 0 END END)) % 10 = 0
+  ELSE length(digits) BETWEEN 9 AND 15 END),
+near AS (SELECT DISTINCT doc_id, text, kind, lower(value) AS value, unnest(near) AS term FROM s),
+pair AS (SELECT kind, value, term, count(*) AS both_df FROM near WHERE length(term) >= 3 AND regexp_matches(term, '[^0-9]') GROUP BY ALL HAVING count(DISTINCT text) >= 3),
+ent AS (SELECT kind, value, count(*) AS df FROM (SELECT DISTINCT doc_id, kind, lower(value) AS value FROM s) GROUP BY ALL),
+said AS (SELECT term, count(*) AS df_term FROM (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '{_NO_WORD}'), lambda w: w <> ''))) AS term FROM d) GROUP BY 1),
+rated AS (SELECT term, max(ln(both_df::DOUBLE * n / (df::DOUBLE * df_term)) / -ln(df::DOUBLE / n)) AS disclosure FROM pair JOIN ent USING (kind, value) JOIN said USING (term), (SELECT count(*) AS n FROM d) WHERE df < n GROUP BY 1 HAVING disclosure >= 0.95),
+w AS (SELECT DISTINCT doc_id, text FROM d JOIN (SELECT doc_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '{_NO_WORD}'), lambda w: w <> ''))) AS term FROM d) USING (doc_id) JOIN rated USING (term)),
+g AS (SELECT doc_id, string_split_regex(text, '[^{_NO_WORD[1:]}') AS gaps, list_filter(string_split_regex(text, '{_NO_WORD}'), lambda w: w <> '') AS ws FROM w),
+o AS (SELECT doc_id, i, ws[i] AS word, sum(length(gaps[i]) + length(ws[i])) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS i FROM g)),
+t AS (SELECT doc_id, CASE WHEN disclosure >= 0.99 THEN 5 ELSE 6 END AS kind, CASE WHEN disclosure >= 0.99 THEN 'remove' ELSE 'generalise' END AS name, e - length(word) AS b, e FROM o JOIN rated ON term = lower(word)),
+a AS (SELECT doc_id, kind, name, b, e FROM s UNION ALL SELECT * FROM t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = t.doc_id AND s.b < t.e AND t.b < s.e)),
+f AS (SELECT doc_id, count(*) FILTER (kind = 1) AS n_email, count(*) FILTER (kind = 2) AS n_ip, count(*) FILTER (kind = 3) AS n_card, count(*) FILTER (kind = 4) AS n_phone,
+  string_agg(concat(name, ':', b, ':', e), ',' ORDER BY b, kind) FILTER (kind <= 4) AS base, string_agg(concat(name, ':', b, ':', e), ',' ORDER BY b, kind) AS spans FROM a GROUP BY 1)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN f USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The operators whose rows SQL can express; tests hold the others against brute force."""
-    return {"op1_minhash_dedup": OP1, "op2_robust_graph": OP2, "op11_phrase_collocations": OP11, "op13_importance_resampling": OP13}
+    return {"op1_minhash_dedup": OP1, "op2_robust_graph": OP2, "op11_phrase_collocations": OP11, "op12_information_sanitisation": OP12, "op13_importance_resampling": OP13}
