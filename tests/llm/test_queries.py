@@ -33,7 +33,7 @@ def crc(ids):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         c.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     found = c.execute(SQL[name])
     columns = [d[0] for d in found.description]
