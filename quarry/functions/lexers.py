@@ -6,11 +6,12 @@ import re
 import pandas as pd
 from pyspark.sql import functions as F
 
+from quarry.functions.csharp import scan
+
 # One alternative per token, strings first so that comment marks inside them do not count.
-_CS = re.compile(r'(@"(?:[^"]|"")*"|\$?"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])\')|(//[^\n]*|/\*.*?(?:\*/|$))', re.S)
 _VB = re.compile(r'("(?:[^"\n]|"")*")|(\'[^\n]*|\bREM\b[^\n]*)', re.I)
 _WEB = re.compile(r'("(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`)|(<!--.*?(?:-->|$)|@\*.*?(?:\*@|$)|/\*.*?(?:\*/|$)|(?<!:)//[^\n]*)', re.S)
-_RULES = {"cs": _CS, "vb": _VB, "web": _WEB}
+_RULES = {"vb": _VB, "web": _WEB}
 
 
 def _blank(text: str) -> str:
@@ -18,22 +19,37 @@ def _blank(text: str) -> str:
     return re.sub(r"[^\n]", " ", text)
 
 
+def _stretches(text: str, language: str):
+    """(begin, end, is comment) of the literals and comments of a text."""
+    if language == "cs":  # raw strings and holes of interpolated ones nest, which no pattern follows
+        for kind, begin, end, *_ in scan(text):
+            if kind in ("str", "char", "note"):
+                yield begin, end, kind == "note"
+    else:
+        for m in _RULES[language].finditer(text):
+            yield *m.span(), m[1] is None
+
+
 def strip_text(text: str | None, language: str = "cs", strings: bool = False) -> str | None:
     """The text with comments (and string contents) blanked, every character in its place."""
     if text is None:
         return None
 
-    def one(m):
-        if m[1] is not None:
-            return m[1][0] + _blank(m[1][1:-1]) + m[1][-1] if strings and len(m[1]) > 1 else m[1]
-        return _blank(m[2])
-
-    return _RULES[language].sub(one, text)
+    out, at = [], 0
+    for begin, end, comment in _stretches(text, language):
+        found = text[begin:end]
+        if comment:
+            found = _blank(found)
+        elif strings and len(found) > 1:
+            found = found[0] + _blank(found[1:-1]) + found[-1]
+        out += [text[at:begin], found]
+        at = end
+    return "".join(out) + text[at:]
 
 
 def spans_of(line: str | None, language: str = "cs") -> list[tuple[int, int]]:
     """(start, end) of the string literals of a line."""
-    return [m.span() for m in _RULES[language].finditer(line or "") if m[1] is not None]
+    return [(begin, end) for begin, end, comment in _stretches(line or "", language) if not comment]
 
 
 def strip_comments(language: str = "cs", strings: bool = False):

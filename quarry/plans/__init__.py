@@ -1,4 +1,4 @@
 """Registered queries."""
 
-from quarry.plans import estate, extracts, models, relations, scans  # noqa: F401
+from quarry.plans import estate, extracts, models, relations, scans, scripts  # noqa: F401
 from quarry.plans.registry import QUERIES, SQL  # noqa: F401

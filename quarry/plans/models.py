@@ -7,14 +7,13 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.functions import diffs, lexers
+from quarry.functions import diffs
 from quarry.functions import scalars as S
 from quarry.operators import decide as D
 from quarry.operators import estimate as E
 from quarry.operators import gates as G
 from quarry.operators import graph as N
 from quarry.operators import search as Q
-from quarry.operators import sqltext as X
 from quarry.plans.registry import query
 from quarry.streaming import events as V
 
@@ -186,44 +185,6 @@ def question_when(t):
     return D.applicable(t.spark.createDataFrame(rows, "id string, when map<string,array<string>>"), {"db": ["sql"], "os": ["windows"]}).select("id")
 
 
-SCRIPT = "CREATE TABLE [dbo].[Orders] (id int)\nGO\nSELECT TOP 10 * FROM dbo.Orders (NOLOCK) o\n  JOIN #tmp t ON t.id = o.id\ngo 5\n\nGO\nINSERT INTO Audit SELECT * FROM \"dbo\".Items -- FROM Ghost\nEXEC dbo.Refresh"
-
-
-def _batches(t):
-    return X.batches(t.spark.createDataFrame([(1, SCRIPT), (2, "GO\n"), (3, "select 1")], "id int, body string"), "id", "body")
-
-
-@query("SELECT * FROM (VALUES (1, 1, 1), (1, 2, 3), (1, 3, 8), (3, 1, 1)) v(id, batch, line_no)")
-def sql_batches(t):
-    return _batches(t).select("id", "batch", "line_no")
-
-
-@query("SELECT * FROM (VALUES (1, 1, 0, 0, 0), (1, 2, 1, 1, 1), (1, 3, 0, 0, 0), (3, 1, 0, 0, 0)) v(id, batch, top, nolock, temp_table)")
-def sql_census(t):
-    return X.census(_batches(t), "body", "id", "batch").select("id", "batch", "top", "nolock", "temp_table")
-
-
-@query("SELECT * FROM (VALUES (1, 'dbo.orders', 'create'), (1, 'dbo.orders', 'read'), (1, '#tmp', 'read'), (1, 'audit', 'write'), (1, 'dbo.items', 'read'), (1, 'dbo.refresh', 'call')) v(id, object, op)")
-def sql_lineage(t):
-    return X.lineage(_batches(t), "body", "id").distinct()
-
-
-@query("SELECT * FROM (VALUES ('SELECT a FROM t', 'statement'), (' where x = 1', 'fragment'), ('select a seat', 'none'), ('update t set x = 1', 'statement'), ('Update available', 'none')) v(text, kind)")
-def sql_is_sql(t):
-    rows = [("SELECT a FROM t",), (" where x = 1",), ("select a seat",), ("update t set x = 1",), ("Update available",)]
-    return t.spark.createDataFrame(rows, "text string").select("text", X.kind_of(F.col("text")).alias("kind"))
-
-
-CODE = 'int a = 1; // one\nvar s = "http://x"; /* two\n lines */ b();\nvar v = @"c:\\";\n\n// only'
-
-
-@query("SELECT 4 AS loc, false AS in_string, true AS outside, 1 AS starts")
-def code_lexers(t):
-    rows = t.spark.createDataFrame([(CODE,)], "code string")
-    line = F.split("code", "\n")[1]
-    return rows.select(lexers.lines_of_code()("code").alias("loc"), lexers.code_match("http")(line).alias("in_string"), lexers.code_match("var")(line).alias("outside"), F.size(lexers.multiline(r"/\*.*?\*/")("code")).alias("starts"))
-
-
 @query("SELECT * FROM (VALUES (1, NULL), (2, '$.a[1]: value'), (3, '$.b: missing'), (4, '$.a: length'), (5, '$: type')) v(id, diff)")
 def json_diff(t):
     rows = [(1, '{"a": [1, 2], "b": 1}', '{"b": 1.0, "a": [1, 2]}'), (2, '{"a": [1, 2]}', '{"a": [1, 3]}'), (3, '{"a": 1, "b": 2}', '{"a": 1}'), (4, '{"a": [1]}', '{"a": [1, 2]}'), (5, "[]", "{}")]
