@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.session import written
+from quarry.session import Rounds, discard, written
+
+#: Steps of a loop that one written table takes.
+LEVELS = 3
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, hub: int | None = None) -> DataFrame:
@@ -18,15 +22,15 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, hub: int
     e = edges.select("src", "dst").distinct()
     if hub is not None:
         busy = e.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > hub).select("src")
-    frontier = written(seeds.select("seed").distinct().join(e, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct())
-    seen, step = frontier.withColumn("depth", F.lit(1)), 1
-    while not frontier.isEmpty() and (depth is None or step < depth):
+    rounds, step = Rounds(edges.sparkSession), 1
+    first = seeds.select("seed").distinct().join(e, F.col("seed") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
+    frontier = rounds.add(first.withColumn("depth", F.lit(step)))
+    while (depth is None or step < depth) and not frontier.isEmpty():
         step += 1
         grow = frontier if hub is None else frontier.join(busy, frontier["node"] == busy["src"], "left_anti")
         new = grow.join(e, grow["node"] == e["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        frontier = written(new.join(seen, ["seed", "node"], "left_anti"))
-        seen = written(seen.union(frontier.withColumn("depth", F.lit(step))))
-    return seen
+        frontier = rounds.add(new.join(rounds.table(), ["seed", "node"], "left_anti").withColumn("depth", F.lit(step)))
+    return rounds.table()
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -37,25 +41,26 @@ def closure(edges: DataFrame) -> DataFrame:
 def shortest_path(edges: DataFrame, source, target, depth: int | None = None) -> DataFrame:
     """(path, hops) of a shortest path, the first in order of nodes; with ``depth``, of at most so many hops."""
     e = edges.select("src", "dst").distinct()
-    frontier = e.where(F.col("src") == source).groupBy("dst").agg(F.min(F.array("src", "dst")).alias("path")).select(F.col("dst").alias("node"), "path")
-    seen = written(frontier)
+    rounds = Rounds(edges.sparkSession)
+    frontier = rounds.add(e.where(F.col("src") == source).groupBy("dst").agg(F.min(F.array("src", "dst")).alias("path")).select(F.col("dst").alias("node"), "path"))
     for _ in count() if depth is None else range(depth - 1):
-        if not seen.where(F.col("node") == target).isEmpty() or frontier.isEmpty():
+        if frontier.isEmpty() or not frontier.where(F.col("node") == target).isEmpty():
             break
         step = frontier.join(e, frontier["node"] == e["src"]).select(F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        frontier = written(step.groupBy("node").agg(F.min("path").alias("path")).join(seen, "node", "left_anti"))
-        seen = written(seen.union(frontier))
-    return seen.where(F.col("node") == target).select("path", (F.size("path") - 1).alias("hops"))
+        frontier = rounds.add(step.groupBy("node").agg(F.min("path").alias("path")).join(rounds.table(), "node", "left_anti"))
+    return rounds.table().where(F.col("node") == target).select("path", (F.size("path") - 1).alias("hops"))
 
 
 def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, color): the smallest color that reaches each node along the edges, from (node, color)."""
-    before = None
+    before = start_table = None
     while True:
-        for _ in range(2):  # two steps for each table written
+        for _ in range(LEVELS):
             pushed = start.join(edges, start["node"] == edges["src"]).select(F.col("dst").alias("node"), "color")
             start = start.union(pushed).groupBy("node").agg(F.min("color").alias("color"))
-        start = written(start)
+        old, start = start_table, written(start)
+        start_table = start
+        discard(*[x for x in [old] if x is not None])
         state = start.agg(F.count("*"), F.sum(F.xxhash64("node", "color").cast("decimal(38,0)"))).first()
         if state == before:
             return start
@@ -65,32 +70,34 @@ def _spread(start: DataFrame, edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): strongly connected components, named by their smallest node.
 
-    Forward-backward colouring: every node takes the first node, in the order of a hash, that reaches it as its color;
-    what reaches a color's root from within the color is one component, and edges between colors go. So parts of a
-    chain of components are worked on at once. Nodes without edges in or out of what is left are components
-    of their own and trimmed before. Rows never exceed the edges.
+    Colouring in both directions: every node takes the first node, in the order of a hash, that reaches it, and the first that it
+    reaches. Where both are one node, that node's component is found; edges between nodes that differ in either go, since no
+    component holds both ends. So parts of a chain of components are worked on at once. Nodes without edges in or out of what is left are components
+    of their own and trimmed, two layers a round. Rows never exceed twice the edges and nodes.
     """
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
     left = written(edges.select("src", "dst").where("src <> dst").distinct())
     found = None
     while True:
-        ends = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
-        kept = written(left.join(ends.select(F.col("node").alias("src")), "src", "left_semi").join(ends.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
-        if kept.count() < left.count():
-            left = kept
-            continue
+        old = left
+        for _ in range(2):
+            ends = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
+            left = left.join(ends.select(F.col("node").alias("src")), "src", "left_semi").join(ends.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+        left = written(left)
+        discard(old)
         if left.isEmpty():
             break
-        first = F.struct(F.xxhash64("node").alias("p"), F.col("node").alias("root"))
-        color = _spread(left.select(F.col("src").alias("node")).distinct().withColumn("color", first), left)
-        a, b = color.toDF("src", "a"), color.toDF("dst", "b")
-        inner = written(left.join(a, "src").join(b, "dst").where("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        back = _spread(color.where("node = color.root"), inner).select("node", F.col("color.root").alias("component"))
-        names = back.groupBy("component").agg(F.min("node").alias("least"))
-        back = back.join(names, "component").select("node", F.col("least").alias("component"))
-        found = back if found is None else found.union(back)
-        gone = back.select("node")
-        left = written(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")).join(gone.toDF("src"), "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti"))
+        way = lambda node, back: F.struct(F.col(node).alias("node"), F.lit(back).alias("back"))
+        both = left.select(way("src", False).alias("src"), way("dst", False).alias("dst")).union(left.select(way("dst", True).alias("src"), way("src", True).alias("dst")))
+        first = F.struct(F.xxhash64("src.node").alias("p"), F.col("src.node").alias("root"))
+        color = _spread(both.select(F.col("src").alias("node"), first.alias("color")).distinct(), both)
+        pair = color.groupBy("node.node").agg(F.max(F.when(F.col("node.back"), F.col("color.root"))).alias("to"), F.max(F.when(~F.col("node.back"), F.col("color.root"))).alias("from"))
+        pair = written(pair)
+        same = pair.where("from = to")
+        done = same.join(same.groupBy("to").agg(F.min("node").alias("component")), "to").select("node", "component")
+        found = done if found is None else found.union(done)
+        open_ = pair.where("from <> to").select("node", F.struct("from", "to").alias("pair"))
+        left = written(left.join(open_.toDF("src", "a"), "src").join(open_.toDF("dst", "b"), "dst").where("a = b").select("src", "dst"))
     if found is None:
         return nodes.select("node", F.col("node").alias("component"))
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
@@ -112,14 +119,16 @@ def layers(edges: DataFrame, scc: DataFrame | None = None) -> DataFrame:
     scc = written(scc if scc is not None else components(edges))
     a, b = scc.toDF("src", "a"), scc.toDF("dst", "b")
     dag = written(edges.select("src", "dst").distinct().join(a, "src").join(b, "dst").where("a <> b").select("a", "b").distinct())
-    level = scc.select(F.col("component").alias("b")).distinct().withColumn("layer", F.lit(0))
-    while True:
-        raised = dag.join(level, "b").groupBy("a").agg((F.max("layer") + 1).alias("up"))
-        new = written(level.join(raised, F.col("b") == F.col("a"), "left").select("b", F.coalesce("up", F.lit(0)).alias("layer")))
-        if new.exceptAll(level).isEmpty():
-            break
-        level = new
-    return scc.join(level, scc["component"] == level["b"]).select("node", "component", "layer")
+    rounds, top = Rounds(edges.sparkSession), 0
+    frontier = rounds.add(scc.select("component", F.lit(0).alias("layer")).distinct())
+    while not frontier.isEmpty():
+        steps = [frontier]
+        for _ in range(LEVELS):  # who depends on a component of a path's length is on a path one longer
+            steps.append(dag.join(steps[-1], dag["b"] == steps[-1]["component"]).select(F.col("a").alias("component"), (F.col("layer") + 1).alias("layer")).distinct())
+        top += LEVELS
+        frontier = rounds.add(reduce(DataFrame.union, steps[1:])).where(F.col("layer") == top)
+    level = rounds.table().groupBy("component").agg(F.max("layer").alias("layer"))
+    return scc.join(level, "component").select("node", "component", "layer")
 
 
 def waves(edges: DataFrame) -> DataFrame:

@@ -17,18 +17,18 @@ from quarry.operators import search as Q
 from quarry.plans.registry import query
 from quarry.streaming import events as V
 
-#: Nodes are customers' and orders' keys by remainders; edges lead a few nodes on, or lie within blocks of three.
-_NEAR = "(dst > src AND dst - src < 4 AND dst % 3 = 0) OR floor(src / 3) = floor(dst / 3)"
-_EDGES = f"e(src, dst) AS (SELECT DISTINCT src, dst FROM (SELECT o_custkey % 12 AS src, o_orderkey % 12 AS dst FROM orders WHERE o_orderpriority = '1-URGENT') WHERE {_NEAR})"
+#: Each line item is an edge: its part leads one to three parts on within sixteen, and lines of number 7 of every fourth supplier lead back within four.
+_EDGES = "e(src, dst) AS (SELECT DISTINCT l_partkey, CASE WHEN l_linenumber = 7 AND l_suppkey % 4 = 0 THEN l_partkey - l_partkey % 4 + CAST(l_quantity AS BIGINT) % 4 ELSE least(l_partkey + 1 + l_suppkey % 3, l_partkey - l_partkey % 16 + 15) END FROM lineitem)"
 _CLOSURE = f"WITH RECURSIVE {_EDGES}, c(src, dst) AS (SELECT src, dst FROM e UNION SELECT c.src, e.dst FROM c JOIN e ON c.dst = e.src)"
 _NODES = "n(node) AS (SELECT src FROM e UNION SELECT dst FROM e)"
-_SCC = f"{_CLOSURE}, {_NODES}, scc AS (SELECT node, least(node, coalesce((SELECT min(a.dst) FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src WHERE a.src = node), node)) AS component FROM n)"
+_SCC = f"{_CLOSURE}, {_NODES}, mutual AS (SELECT a.src AS node, min(a.dst) AS least FROM c a JOIN c b ON a.src = b.dst AND a.dst = b.src GROUP BY 1), scc AS (SELECT node, least(node, coalesce(least, node)) AS component FROM n LEFT JOIN mutual USING (node))"
 _LAYERS = f"{_SCC}, dag AS (SELECT DISTINCT a.component AS a, b.component AS b FROM e JOIN scc a ON e.src = a.node JOIN scc b ON e.dst = b.node WHERE a.component <> b.component), walk(node, depth) AS (SELECT DISTINCT component, 0 FROM scc UNION SELECT dag.a, walk.depth + 1 FROM walk JOIN dag ON dag.b = walk.node), lay AS (SELECT node AS component, max(depth) AS layer FROM walk GROUP BY 1)"
 
 
 def _edges(t):
-    pairs = t.orders.where("o_orderpriority = '1-URGENT'").select((F.col("o_custkey") % 12).alias("src"), (F.col("o_orderkey") % 12).alias("dst"))
-    return pairs.where(_NEAR).distinct()
+    back = F.col("l_partkey") - F.col("l_partkey") % 4 + F.col("l_quantity").cast("long") % 4
+    on = F.least(F.col("l_partkey") + 1 + F.col("l_suppkey") % 3, F.col("l_partkey") - F.col("l_partkey") % 16 + 15)
+    return t.lineitem.select(F.col("l_partkey").alias("src"), F.when((F.col("l_linenumber") == 7) & (F.col("l_suppkey") % 4 == 0), back).otherwise(on).alias("dst")).distinct()
 
 
 @query(f"{_CLOSURE} SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM c")
@@ -36,14 +36,15 @@ def graph_closure(t):
     return N.closure(_edges(t))
 
 
-@query(f"WITH RECURSIVE {_EDGES}, w(seed, node, depth) AS (SELECT src, dst, 1 FROM e WHERE src IN (11, 8) UNION SELECT seed, e.dst, depth + 1 FROM w JOIN e ON node = e.src WHERE depth < 3) SELECT CAST(seed AS BIGINT) AS seed, CAST(node AS BIGINT) AS node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {_EDGES}, w(seed, node, depth) AS (SELECT src, dst, 1 FROM e WHERE src % 5 = 1 UNION SELECT seed, e.dst, depth + 1 FROM w JOIN e ON node = e.src WHERE depth < 3) SELECT seed, node, CAST(min(depth) AS INT) AS depth FROM w GROUP BY 1, 2")
 def graph_reach(t):
-    return N.reach(_edges(t), t.spark.createDataFrame([(11,), (8,)], "seed long"), depth=3)
+    e = _edges(t)
+    return N.reach(e, e.where("src % 5 = 1").select(F.col("src").alias("seed")), depth=3)
 
 
-@query(f"WITH RECURSIVE {_EDGES}, w(node, depth) AS (SELECT dst, 1 FROM e WHERE src = 0 UNION SELECT e.dst, depth + 1 FROM w JOIN e ON node = e.src WHERE depth < 24) SELECT CAST(min(depth) AS INT) AS hops, 0 AS first, 10 AS last FROM w WHERE node = 10 HAVING count(*) > 0")
+@query(f"WITH RECURSIVE {_EDGES}, w(node, path) AS (SELECT 16, [16::BIGINT] UNION SELECT e.dst, list_append(path, e.dst) FROM w JOIN e ON node = e.src WHERE len(path) < 17 AND NOT list_contains(path, e.dst)) SELECT CAST(len(path) - 1 AS INT) AS hops, path FROM w WHERE node = 31 ORDER BY len(path), path LIMIT 1")
 def shortest_path(t):
-    return N.shortest_path(_edges(t), 0, 10).select("hops", F.col("path")[0].cast("int").alias("first"), F.element_at("path", -1).cast("int").alias("last"))
+    return N.shortest_path(_edges(t), 16, 31).select("hops", "path")
 
 
 @query(f"{_SCC} SELECT CAST(node AS BIGINT) AS node, CAST(component AS BIGINT) AS component FROM scc")
@@ -66,11 +67,17 @@ def graph_waves(t):
     return N.waves(_edges(t))
 
 
-@query(f"{_CLOSURE}, {_NODES}, b AS (SELECT node, (SELECT count(DISTINCT src) FROM e WHERE dst = node AND src <> node) AS direct, (SELECT count(*) FROM c WHERE dst = node AND src <> node) AS transitive FROM n) SELECT CAST(node AS BIGINT) AS node, direct, transitive, CASE WHEN transitive >= 3 THEN 'High' WHEN transitive > 0 OR direct >= 20 THEN 'Medium' ELSE 'Low' END AS level FROM b")
+@query(f"{_CLOSURE}, {_NODES}, d AS (SELECT dst AS node, count(*) AS direct FROM e WHERE src <> dst GROUP BY 1), r AS (SELECT dst AS node, count(*) AS transitive FROM c WHERE src <> dst GROUP BY 1), b AS (SELECT node, coalesce(direct, 0) AS direct, coalesce(transitive, 0) AS transitive FROM n LEFT JOIN d USING (node) LEFT JOIN r USING (node)) SELECT node, direct, transitive, CASE WHEN transitive >= 3 THEN 'High' WHEN transitive > 0 OR direct >= 20 THEN 'Medium' ELSE 'Low' END AS level FROM b")
 def blast_radius(t):
     return N.blast_radius(_edges(t))
 
 
+@query(f"{_CLOSURE}, {_NODES}, r AS (SELECT dst AS node, count(*) AS transitive FROM c WHERE src <> dst GROUP BY 1) SELECT node, CAST(coalesce(transitive, 0) AS BIGINT) AS transitive FROM n LEFT JOIN r USING (node)")
+def blast_radius_sketch(t):
+    """Sketches are exact for so few dependents."""
+    return N.blast_radius(_edges(t), exact=False).select("node", "transitive")
+
+
 def _trade(t):
     a = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     return a.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey").cast("long")).select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst"))
