@@ -8,6 +8,8 @@ smallest hashes) that stand in an article or in boilerplate by their elements; w
 What they say counts for STRUCTURE at most, the containers around a block for a bounded weight on top.
 A form or a container named like boilerplate is only vetoed for now: the veto falls if no article stands outside of
 vetoed containers and this one holds most of the page's text, or an article inside it; a main inside always counts.
+Inside an article only names that consist of nothing but such words and words of layout veto; other names with such a word
+take a bounded weight from the score, and the cut decides.
 Blocks next to each other, and the next blocks of the same container, are tied
 by smoothness edges. The blocks on the source's side of the minimum cut are the text.
 
@@ -27,22 +29,27 @@ from pyspark.sql import functions as F
 # Element names of HTML, and words that sites use in class, id and role.
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul video audio canvas object svg".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg".split())
+RAW = set("script style textarea title template iframe".split())
 OUTSIDE = set("nav footer aside form button select menu dialog search head label input optgroup".split())
 INSIDE = set("article main".split())
 NOT_TEXT = set("ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright disqus dropdown feedback footer form gdpr header hidden login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted recommend recommended related reply replies respond rss search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets alert complementary contentinfo responses discussion".split())
+#: Words of NOT_TEXT that also name parts of articles, and words that only say how something is laid out.
+DOUBTFUL = set("alert feedback social tags skip search header copyright reply responses respond discussion recommend recommended related banner form contentinfo complementary".split())
+LAYOUT = set("area bar block bottom box button buttons container group inline inner item items label left link links list outer panel right row section slot text top unit wrap wrapper".split())
 #: Words of lists of other texts, whose articles are not the page's.
 OTHERS = set("comment comments commentlist disqus discussion reply replies respond responses related recommend recommended".split())
 TEXT = set("article content story post entry main".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_MARK = re.compile(r"<!--|<!\[CDATA\[|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+_NOTE = re.compile(r"(<!--|<!\[CDATA\[)()")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
-#: Weights of containers: of navigation and the like, of an article. Bound of what structure says.
-OUT, IN, STRUCTURE = -6.0, 4.0, 3.0
+#: Weights of containers: of navigation and the like, of an article, of a doubtful name inside an article. Bound of what structure says.
+OUT, IN, NAMED, STRUCTURE = -6.0, 4.0, -2.5, 3.0
 #: Default weights of structure: constant, log of words, links (and that in an article), sentence end, list item, heading, rights notice, distance from the page's middle.
 DEFAULT = (-1.6, 0.7, -4.0, 3.0, 0.8, -0.6, 0.4, -3.0, 0.0)
 #: Pages whose blocks the classifier is fitted on at most, blocks of each, steps of the fit, ridge.
@@ -52,98 +59,164 @@ NEXT, SIBLING = 0.4, 0.6
 
 
 class Block:
-    __slots__ = ("text", "linked", "tag", "parent", "side", "vetoes")
+    __slots__ = ("text", "linked", "tag", "parent", "side", "veto", "article", "named")
 
-    def __init__(self, text, linked, tag, parent, side, vetoes=()):
-        self.text, self.linked, self.tag, self.parent, self.side, self.vetoes = text, linked, tag, parent, side, vetoes
+    def __init__(self, text, linked, tag, parent, side, veto=None, article=0, named=False):
+        self.text, self.linked, self.tag, self.parent, self.side, self.veto, self.article, self.named = text, linked, tag, parent, side, veto, article, named
 
 
-def _side(tag: str, attrs: str, above: int) -> tuple[int, bool]:
-    """(-1 in boilerplate, 1 in an article, 0 in neither; whether the element is vetoed until all blocks are known)."""
+class Veto:
+    """A container that is vetoed for now: its number, the vetoed container around it, and the text below it."""
+
+    __slots__ = ("number", "above", "held")
+
+    def __init__(self, number, above):
+        self.number, self.above, self.held = number, above, 0
+
+
+class Element:
+    __slots__ = ("tag", "number", "side", "veto", "article", "named")
+
+    def __init__(self, tag, number, side, veto, article, named):
+        self.tag, self.number, self.side, self.veto, self.article, self.named = tag, number, side, veto, article, named
+
+
+def _names(tokens: set[str]) -> bool:
+    """Whether one of these names says nothing but that something is no text."""
+    for token in tokens:
+        words = set(_WORD.findall(token))
+        if words & (NOT_TEXT - DOUBTFUL) and words <= NOT_TEXT | LAYOUT or words & {"comment", "comments", "commentlist", "disqus"}:
+            return True
+    return False
+
+
+def _side(tag: str, attrs: str, above: int) -> tuple[int, bool, bool]:
+    """(-1 in boilerplate, 1 in an article, 0 in neither; whether the element is vetoed until all blocks are known; whether an element of an article has a doubtful name)."""
     if above < 0:
-        return above, False
+        return above, False, False
     words: set[str] = set()
     role: set[str] = set()
+    tokens: set[str] = set()
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return -1, False
+            return -1, False, False
         if name in ("class", "id", "role"):
             (role if name == "role" else words).update(_WORD.findall(value))
+            if name != "role":
+                tokens.update(value.split())
     every = words | role
-    if tag in OUTSIDE - {"form"} or tag == "header" and above == 0:
-        return -1, False
+    if tag in OUTSIDE - {"form"} or tag in ("header", "noscript") and above == 0:
+        return -1, False, False
+    if above == 1:
+        if role & (NOT_TEXT - DOUBTFUL) or _names(tokens):
+            return -1, False, False
+        return 1, tag == "form", bool(every & NOT_TEXT) and tag not in INSIDE
     veto = tag == "form"
-    if tag not in ("html", "body") and every & NOT_TEXT and tag not in INSIDE and not (above == 1 and every & {"header"} and not every & (NOT_TEXT - {"header"})):
+    if tag not in ("html", "body") and every & NOT_TEXT and tag not in INSIDE:
         if role & (NOT_TEXT - {"form"}) or every & OTHERS:
-            return -1, False
+            return -1, False, False
         veto = True
     if veto:
-        return above, True
+        return above, True, False
     if tag in INSIDE or every & TEXT and tag != "body":
-        return 1, False
-    return above, False
+        return 1, False, False
+    return above, False, False
 
 
-def _settle(found: list[Block]) -> None:
-    """Side -1 for blocks below a veto that stands; a veto is (container, whether an article is inside it around the block)."""
-    if not any(b.vetoes for b in found):
+def _settle(found: list[Block], vetoes: list[Veto]) -> None:
+    """Side -1 for blocks below a veto that stands. A container around others holds what they hold, so the innermost veto without an article below it decides."""
+    if not vetoes:
         return
-    real = not any(b.side == 1 and not b.vetoes for b in found)
+    real = not any(b.side == 1 and b.veto is None for b in found)
     total = sum(len(b.text) for b in found if b.side >= 0)
-    held: dict[int, int] = {}
     for b in found:
-        for number, _ in b.vetoes if b.side >= 0 else ():
-            held[number] = held.get(number, 0) + len(b.text)
+        if b.veto is not None and b.side >= 0:
+            b.veto.held += len(b.text)
+    for v in reversed(vetoes):  # those inside come later
+        if v.above is not None:
+            v.above.held += v.held
     for b in found:
-        if not all(real and (inside or 2 * held.get(number, 0) > total) for number, inside in b.vetoes):
+        if b.veto is not None and not (real and (b.article > b.veto.number or 2 * b.veto.held > total)):
             b.side = -1
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks of text, scripts, styles and comments left out."""
+    """The page's blocks of text, scripts, styles and comments left out, in time linear in the page.
+
+    A tag whose quote never ends is text, and from then on quotes do not count in the page's tags.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, int, int, tuple]] = [("", 0, 0, ())]  # element, its number, its side, the vetoes on it
+    stack = [Element("", 0, 0, None, 0, False)]
+    opened: dict[str, int] = {}  # how many of each element are open
+    places: dict[str, list[int]] = {tag: [] for tag in CLOSES}  # of the open elements that matter to what this tag closes by itself
+    vetoes: list[Veto] = []
     text: list[str] = []
     number, links, linked, at, end = 0, 0, 0, 0, len(page)
+    last, quotes = page.rfind(">"), True
 
     def flush():
         nonlocal linked
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                tag, parent, side, vetoes = stack[-1]
-                found.append(Block(joined, min(linked, len(joined)), tag, stack[-2][1] if len(stack) > 1 and tag in ("p", "li", "dd", "dt", "td", "th") else parent, side, vetoes))
+                e = stack[-1]
+                parent = stack[-2].number if len(stack) > 1 and e.tag in ("p", "li", "dd", "dt", "td", "th") else e.number
+                found.append(Block(joined, min(linked, len(joined)), e.tag, parent, e.side, e.veto, e.article, e.named))
             text.clear()
         linked = 0
 
+    def cut(size):
+        for e in stack[size:]:
+            opened[e.tag] -= 1
+        del stack[size:]
+        for kept in places.values():
+            while kept and kept[-1] >= size:
+                kept.pop()
+
+    def say(piece):
+        nonlocal linked
+        text.append(piece)
+        if links:
+            linked += len(piece)
+
     while at < end:
-        m = _TOKEN.search(page, at)
+        m = _MARK.search(page, at) if at <= last else _NOTE.search(page, at)
         stop = m.start() if m else end
         if stop > at:
-            text.append(page[at:stop])
-            if links:
-                linked += stop - at
+            say(page[at:stop])
         if not m:
             break
         at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
+        if m[0] == "<!--" or m[0] == "<![CDATA[":
+            closing = page.find("-->" if m[0] == "<!--" else "]]>", at)
+            at = closing + 3 if closing >= 0 else end
+            if m[0] == "<![CDATA[":
                 text.append(" ")
             continue
+        if m[2] is None:
+            at = page.find(">", at) + 1 or end
+            continue
+        rest = _REST.match(page, at).end() if quotes else page.find(">", at)
+        if rest >= end or rest < 0 or page[rest] != ">":
+            quotes = False
+            say("<")
+            at = stop + 1
+            continue
+        attrs, at, tag = page[at:rest], rest + 1, m[2].lower()
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
             elif tag in BLOCKS:
                 flush()
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        links = 0
-                        break
+                if opened.get(tag):
+                    k = len(stack) - 1
+                    while stack[k].tag != tag:
+                        k -= 1
+                    cut(k)
+                    links = 0
             continue
-        if tag in RAW and not m[3].endswith("/"):
+        if tag in RAW and not attrs.endswith("/"):
             if tag in BLOCKS:
                 flush()
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -156,23 +229,34 @@ def blocks_of(page: str) -> list[Block]:
         elif tag in BLOCKS:
             flush()
             links = 0
-            for k in range(len(stack) - 1, 0, -1):  # what this tag closes by itself
-                name = stack[k][0]
-                if name == "p" or name in CLOSES.get(tag, ()):
-                    del stack[k:]
+            if tag in CLOSES:
+                near = places[tag]
+                while near:
+                    name = stack[near[-1]].tag
+                    if name != "p" and name not in CLOSES[tag]:
+                        break
+                    cut(near[-1])
                     if name != "p":
                         break
-                elif name in SCOPES.get(tag, ()) or tag not in CLOSES:
-                    break
+            else:
+                while stack[-1].tag == "p":
+                    cut(len(stack) - 1)
             if tag not in VOID:
                 number += 1
-                side, veto = _side(tag, m[3], stack[-1][2])
-                vetoes = stack[-1][3]
-                if tag in INSIDE and side == 1:
-                    vetoes = () if tag == "main" else tuple((k, True) for k, _ in vetoes)
-                stack.append((tag, number, side, (*vetoes, (number, False)) if veto else vetoes))
+                above = stack[-1]
+                side, veto, named = _side(tag, attrs, above.side)
+                inside = tag in INSIDE and side == 1
+                around = None if inside and tag == "main" else above.veto
+                if veto:
+                    around = Veto(number, around)
+                    vetoes.append(around)
+                for other, kept in places.items():
+                    if tag == "p" or tag in CLOSES[other] or tag in SCOPES[other]:
+                        kept.append(len(stack))
+                opened[tag] = opened.get(tag, 0) + 1
+                stack.append(Element(tag, number, side, around, number if inside else above.article, side == 1 and (named or above.named)))
     flush()
-    _settle(found)
+    _settle(found, vetoes)
     return found
 
 
@@ -198,7 +282,7 @@ def scores_of(found: list[Block], weights=DEFAULT) -> list[float]:
     out, n = [], max(1, len(found) - 1)
     for k, b in enumerate(found):
         s = sum(w * x for w, x in zip(weights, structure(b, k / n), strict=True))
-        out.append(max(-STRUCTURE, min(STRUCTURE, s)) + (OUT if b.side < 0 else IN if b.side > 0 else 0.0))
+        out.append(max(-STRUCTURE, min(STRUCTURE, s)) + (OUT if b.side < 0 else IN + NAMED * b.named if b.side > 0 else 0.0))
     return out
 
 
