@@ -203,6 +203,65 @@ def test_very_long_pages_take_linear_time():
     assert time.process_time() - began < 30
 
 
+BROKEN = {
+    "closed but not opened": "<div>" * 100_000 + "</section>" * 100_000,
+    "vetoes in vetoes": "<div class=ad>x " * 100_000,
+    "articles in vetoes": "<div class=ad><article>x " * 50_000,
+    "open quotes": '<a "' * 100_000,
+    "odd quotes": '<a ">' * 100_001,
+    "no end": "<a" * 100_000 + "<!",
+    "declarations": "<!" * 100_000,
+    "notes": "<!-- " * 100_000,
+    "items far from their list": "<ul><li>" + "<div>" * 50_000 + "<li></li>" * 50_000,
+    "items in other lists": "<dl><dt>" * 50_000 + "<li></li>" * 50_000,
+    "names": '<div class="' + "ad " * 100_000 + '">x',
+}
+
+
+@pytest.mark.parametrize("kind", sorted(BROKEN))
+def test_broken_pages_take_linear_time(kind):
+    began = time.perf_counter()
+    html.main_text(BROKEN[kind])
+    assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize(
+    ("extra", "kept"),
+    [
+        ('<div class="alert"><p>Keep this alert, it is of the article.</p></div>', True),
+        ('<div class="feedback-loop"><p>Keep the loop, it is of the article.</p></div>', True),
+        ('<p id="social-contract">The social contract is a text of the article.</p>', True),
+        ("<svg><text>Label in a drawing</text></svg>", True),
+        ("<noscript><p>For readers without scripts.</p></noscript>", True),
+        ('<div class="ad">Buy this now</div>', False),
+        ('<div class="ad-slot"><p>Buy this now, it is good.</p></div>', False),
+        ('<section class="comment-list"><p>First! I like this article.</p></section>', False),
+        ("<nav><p>Read this next, it is good.</p></nav>", False),
+    ],
+)
+def test_names_inside_an_article(extra, kept):
+    body = "Some words of the article here, which are long enough to count. " * 3
+    page = f"<html><body><noscript>Enable scripts.</noscript><article><p>{body}</p>{extra}<p>{body}</p></article></body></html>"
+    assert (html.main_text(page).count("\n") == 2) == kept and "Enable" not in html.main_text(page)
+
+
+def test_text_is_that_of_the_least_energy():
+    """Blocks of small pages against every labelling."""
+    draw = random.Random(4)
+    parts = ["<p>Yes</p>", "<p>A longer text, which ends as a sentence does.</p>", "<div class=ad>Buy</div>", "<article><p>In it.</p>", "</article>", "<nav>Home</nav>", "<li><a>link only</a></li>", "<h2>Head</h2>", "<div>", "</div>", "<div class=alert>Doubtful</div>"]
+    for _ in range(60):
+        page = "".join(draw.choices(parts, k=10))
+        found = html.blocks_of(page)
+        scores, last, ties = html.scores_of(found), {}, []
+        for k, b in enumerate(found):
+            ties += [(k - 1, k, html.NEXT)] if k else []
+            ties += [(last[b.parent], k, html.SIBLING)] if b.parent in last else []
+            last[b.parent] = k
+        energy = lambda keep: sum(-s if k else s for s, k in zip(scores, keep, strict=True)) / 2 + sum(c for i, j, c in ties if keep[i] != keep[j])  # noqa: B023, E731
+        least = min(itertools.product([False, True], repeat=len(found)), key=energy, default=())
+        assert html.main_text(page) in ("\n".join(b.text for b, k in zip(found, keep, strict=True) if k) for keep in itertools.product([False, True], repeat=len(found)) if energy(keep) <= energy(least) + 1e-9)
+
+
 def test_classifier_is_fitted_on_marked_pages(spark):
     rows = [(k, "u", f"<nav><a href=x>Link number {k}</a></nav><article><p>Paragraph {k} tells a story of some length, and it ends.</p></article>") for k in range(40)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
