@@ -113,17 +113,21 @@ def greedy_range_search(x: np.ndarray, flat: np.ndarray, first: np.ndarray, q: n
     every = np.arange(m)
     look(every, np.full(m, medoid))
     look(every[own >= 0], own[own >= 0])
+    active = every
     for _ in range(n):
-        open_ = np.where(expanded, -np.inf, cosine)
+        known = cosine[active]
+        open_ = np.where(expanded[active], -np.inf, known)
+        here = np.arange(len(active))
         best = open_.argmax(axis=1)
-        go = open_[every, best] > -np.inf
+        go = open_[here, best] > -np.inf
         if n > BEAM:  # a query goes on while its best open candidate is among its BEAM best
-            go &= open_[every, best] >= np.partition(cosine, n - BEAM, axis=1)[:, n - BEAM]
+            go &= open_[here, best] >= np.partition(known, n - BEAM, axis=1)[:, n - BEAM]
         inside = open_ >= least - 1e-6
-        inside[every[go], best[go]] = True
+        inside[here[go], best[go]] = True
         rows, cols = np.nonzero(inside)
         if len(rows) == 0:
             break
+        rows, active = active[rows], active[inside.any(axis=1)]  # a query that expands nothing sees nothing new
         expanded[rows, cols] = True
         size = first[cols + 1] - first[cols]
         step = max(1, 2_000_000 // max(1, int(size.max())))
