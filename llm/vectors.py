@@ -98,45 +98,57 @@ def greedy_range_search(x: np.ndarray, flat: np.ndarray, first: np.ndarray, q: n
     flat[first[i] : first[i + 1]] are the neighbours of vector i; own is a query's own place or -1.
     """
     m, n = len(q), len(x)
-    cosine = np.full((m, n), -np.inf)
-    expanded = np.zeros((m, n), bool)
+    seen, hit = np.zeros((m, n), bool), np.zeros((m, n), bool)
+    # the BEAM best vectors that each query has seen, and which of them need no expansion any more
+    ids, best, done = np.zeros((m, BEAM), np.int64), np.full((m, BEAM), -np.inf), np.ones((m, BEAM), bool)
 
     def look(rows, cols):
+        """New pairs, in order of queries, with their cosines."""
         key = np.unique(rows * n + cols)
+        key = key[~seen.ravel()[key]]
+        seen.ravel()[key] = True
         rows, cols = key // n, key % n
-        new = cosine[rows, cols] == -np.inf
-        rows, cols = rows[new], cols[new]
-        for s in range(0, len(rows), 50_000):
-            r, c = rows[s : s + 50_000], cols[s : s + 50_000]
-            cosine[r, c] = np.einsum("ij,ij->i", q[r], x[c])
+        cosine = np.empty(len(key))
+        for s in range(0, len(key), 50_000):
+            cosine[s : s + 50_000] = np.einsum("ij,ij->i", q[rows[s : s + 50_000]], x[cols[s : s + 50_000]])
+        hit[rows, cols] = cosine >= least
+        return rows, cols, cosine
+
+    def take(rows, cols, cosine):
+        """Put new pairs on the lists of their queries; those in range are returned, and expanded whatever the lists hold."""
+        inside = cosine >= least - 1e-6
+        some, counts = np.unique(rows, return_counts=True)
+        if len(some):
+            place = np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+            at = np.repeat(np.arange(len(some)), counts)
+            wide = BEAM + int(counts.max())
+            i, c, d = np.zeros((len(some), wide), np.int64), np.full((len(some), wide), -np.inf), np.ones((len(some), wide), bool)
+            i[:, :BEAM], c[:, :BEAM], d[:, :BEAM] = ids[some], best[some], done[some]
+            i[at, BEAM + place], c[at, BEAM + place], d[at, BEAM + place] = cols, cosine, inside
+            top = np.argpartition(-c, BEAM - 1, axis=1)[:, :BEAM]
+            ids[some], best[some], done[some] = (np.take_along_axis(z, top, axis=1) for z in (i, c, d))
+        return rows[inside], cols[inside]
 
     every = np.arange(m)
-    look(every, np.full(m, medoid))
-    look(every[own >= 0], own[own >= 0])
-    active = every
-    for _ in range(n):
-        known = cosine[active]
-        open_ = np.where(expanded[active], -np.inf, known)
-        here = np.arange(len(active))
-        best = open_.argmax(axis=1)
-        go = open_[here, best] > -np.inf
-        if n > BEAM:  # a query goes on while its best open candidate is among its BEAM best
-            go &= open_[here, best] >= np.partition(known, n - BEAM, axis=1)[:, n - BEAM]
-        inside = open_ >= least - 1e-6
-        inside[here[go], best[go]] = True
-        rows, cols = np.nonzero(inside)
+    known = own >= 0
+    rows, cols = take(*look(np.concatenate([every, every[known]]), np.concatenate([np.full(m, medoid), own[known]])))
+    while True:
+        waiting = np.where(done, -np.inf, best)
+        k = waiting.argmax(axis=1)
+        go = np.flatnonzero(waiting[every, k] > -np.inf)  # a query goes on while one of its BEAM best is open
+        done[go, k[go]] = True
+        rows, cols = np.concatenate([rows, go]), np.concatenate([cols, ids[go, k[go]]])
         if len(rows) == 0:
-            break
-        rows, active = active[rows], active[inside.any(axis=1)]  # a query that expands nothing sees nothing new
-        expanded[rows, cols] = True
+            return hit
         size = first[cols + 1] - first[cols]
         step = max(1, 2_000_000 // max(1, int(size.max())))
+        inside = []
         for s in range(0, len(rows), step):
             z = size[s : s + step]
             ends = np.cumsum(z)
             at = np.arange(ends[-1]) + np.repeat(first[cols[s : s + step]] - ends + z, z)
-            look(np.repeat(rows[s : s + step], z), flat[at])
-    return cosine >= least
+            inside.append(take(*look(np.repeat(rows[s : s + step], z), flat[at])))
+        rows, cols = (np.concatenate(c) for c in zip(*inside, strict=True))
 
 
 def _cluster(x: np.ndarray, k: int) -> np.ndarray:
