@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.aggregates import capped
-from quarry.operators.graph import layers, reach
+from quarry.operators.graph import cycles, layers, reach
+from quarry.session import written
 
 
 def first_crlf(files: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -49,13 +50,23 @@ def totals_map(rows: DataFrame, group: str, kind: str) -> DataFrame:
     return counts.groupBy(group).agg(F.sum("n").alias("total"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(kind).isNotNull(), F.struct(kind, "n"))))).alias("kinds"))
 
 
-def role_vote(evidence: DataFrame, key: str, strength: str, role: str, order: list[str], mixed: str = "MIXED") -> DataFrame:
-    """(key, role, confidence): the role that the strongest class of evidence names; several of the strongest class are ``mixed``."""
-    each = evidence.where(F.col(strength).isin(*order)).groupBy(key, strength).agg(F.countDistinct(role).alias("n"), F.min(role).alias("r"))
+def role_vote(evidence: DataFrame, key: str, strength: str, role: str, order: list[str], mixed: str = "MIXED", against: tuple[str, str] | None = None) -> DataFrame:
+    """(key, role, confidence, roles): the role that the strongest class of evidence names, and all roles that any evidence names, in order.
+
+    Several roles of the strongest class are ``mixed``, and so are different roles of the two classes in ``against`` (what is said and
+    what a port shows, say), whatever else there is. A key with evidence of none of the classes in ``order`` has no row.
+    """
+    known = evidence.where(F.col(strength).isin(*order) & F.col(role).isNotNull())
+    each = known.groupBy(key, strength).agg(F.countDistinct(role).alias("n"), F.min(role).alias("r"))
     rank = F.coalesce(*[F.when(F.col(strength) == x, F.lit(k)) for k, x in enumerate(order)])
-    best = each.groupBy(key).agg(F.min_by(F.struct(strength, "n", "r"), rank).alias("b"))
-    name = F.when((F.col(f"b.{strength}") == order[0]) & (F.col("b.n") > 1), mixed).otherwise(F.col("b.r"))
-    return best.select(key, name.alias("role"), F.col(f"b.{strength}").alias("confidence"))
+    clash = F.lit(False)
+    if against:
+        sides = [F.min(F.when(F.col(strength) == x, F.col("r"))) for x in against]
+        clash = F.coalesce(sides[0] != sides[1], F.lit(False))
+    best = each.groupBy(key).agg(F.min_by(F.struct(strength, "n", "r"), rank).alias("b"), clash.alias("clash"))
+    named = known.groupBy(key).agg(F.array_sort(F.collect_set(role)).alias("roles"))
+    name = F.when(F.col("clash") | ((F.col(f"b.{strength}") == order[0]) & (F.col("b.n") > 1)), mixed).otherwise(F.col("b.r"))
+    return best.join(named, key).select(key, name.alias("role"), F.when(F.col("clash"), F.concat_ws(" against ", F.lit(against[0]), F.lit(against[1])) if against else None).otherwise(F.col(f"b.{strength}")).alias("confidence"), "roles")
 
 
 def registrable(host: Column) -> Column:
@@ -134,9 +145,20 @@ def flow_problems(steps: DataFrame, flow: str, seq: str, step: str, following: s
     return twice.union(lost)
 
 
+#: Rows of needles, grouped by key, that may be broadcast; beyond it they are joined by shuffle.
+BROADCAST_NEEDLES = 100_000
+
+
 def where_found(needles: DataFrame, files: DataFrame, key: str, needle: str, path: str, text: str, most: int = 3) -> DataFrame:
-    """(key, needle, path, k): the first ``most`` files of the key that hold the needle; none if it is not found."""
-    hits = needles.join(files.select(key, path, text), key).where(F.contains(text, needle)).select(key, needle, path)
+    """(key, needle, path, k): the first ``most`` files of the key that hold the needle; none if it is not found.
+
+    A file meets the needles of its key as one array, so its text is read once, where it is, and goes nowhere.
+    """
+    asked = needles.where(F.col(needle).isNotNull()).groupBy(key).agg(F.collect_set(needle).alias("__needles"))
+    total = asked.agg(F.coalesce(F.sum(F.size("__needles")), F.lit(0))).first()[0]
+    asked = F.broadcast(asked) if total <= BROADCAST_NEEDLES else asked
+    held = F.filter("__needles", lambda n: F.contains(F.col(text), n))
+    hits = files.select(key, path, text).join(asked, key).select(key, F.explode(held).alias(needle), path)
     return hits.withColumn("k", F.row_number().over(Window.partitionBy(key, needle).orderBy(path))).where(F.col("k") <= most)
 
 
@@ -160,8 +182,13 @@ def test_map(edges: DataFrame, tests: DataFrame, depth: int = 8) -> DataFrame:
 
 
 def build_order(edges: DataFrame) -> DataFrame:
-    """(node, level) from 1: what depends on nothing first; a cycle shares its level."""
-    return layers(edges).select("node", (F.col("layer") + 1).alias("level"))
+    """(node, level) from 1: what depends on nothing first. Nodes on a cycle have level 1, since none of them can wait for the others."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
+    looped = written(cycles(edges).select("node").distinct())
+    free = written(edges.select("src", "dst").distinct().join(looped.withColumnRenamed("node", "src"), "src", "left_anti"))
+    each = free.select(F.col("src").alias("node")).union(free.select("dst")).distinct()
+    level = layers(free, each.select("node", F.col("node").alias("component"))).select("node", "layer")
+    return nodes.join(level, "node", "left").select("node", (F.coalesce("layer", F.lit(0)) + 1).alias("level"))
 
 
 def reverse_index(uses: DataFrame, user: str, used: str) -> DataFrame:

@@ -86,3 +86,17 @@ def lookup(entities: DataFrame, name: str, asked: str) -> DataFrame:
     low, want = F.lower(name), asked.lower()
     rank = F.when(low == want, 0).when(low.endswith(want), 1).when(low.contains(want), 2)
     return entities.withColumn("rank", rank).where("rank is not null").orderBy("rank", F.length(name), name)
+
+
+#: Words of asked texts that may be broadcast; beyond it they are joined by shuffle.
+BROADCAST_WORDS = 1_000_000
+
+
+def spec_candidates(asked: DataFrame, have: DataFrame, ask: str, key: str, text: str, least: int = 7, most: int = 10) -> DataFrame:
+    """(ask, key, overlap, k): for each asked text, the ``most`` texts that share most of its words of ``least`` letters or more; ties go to the shorter text, then the smaller key."""
+    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: F.length(x) >= least))).alias("w")
+    wanted = asked.select(ask, words(text))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_WORDS else wanted
+    met = have.select(key, F.length(text).alias("n"), words(text)).join(wanted, "w").groupBy(ask, key).agg(F.count("*").alias("overlap"), F.first("n").alias("n"))
+    k = F.row_number().over(Window.partitionBy(ask).orderBy(F.desc("overlap"), "n", key))
+    return met.withColumn("k", k).where(F.col("k") <= most).select(ask, key, "overlap", "k")

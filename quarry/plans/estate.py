@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
 from quarry.operators import estate as O
+from quarry.operators import search as Q
+from quarry.plans.models import _CLOSURE, _NODES, _edges
 from quarry.plans.registry import query
 from quarry.plans.scans import _HITS, _hits
 
@@ -44,10 +46,13 @@ def repo_totals(t):
 _STRENGTH = "CASE event_type WHEN 'purchase' THEN 'explicit' WHEN 'signup' THEN 'port' WHEN 'click' THEN 'weak' ELSE 'context' END"
 
 
-@query(f"WITH e AS (SELECT user_id, {_STRENGTH} AS strength, CAST(floor(value / 40) AS VARCHAR) AS r FROM events WHERE value IS NOT NULL), g AS (SELECT user_id, strength, count(DISTINCT r) AS n, min(r) AS r, CASE strength WHEN 'explicit' THEN 0 WHEN 'port' THEN 1 WHEN 'weak' THEN 2 ELSE 3 END AS k FROM e GROUP BY ALL) SELECT user_id, CASE WHEN strength = 'explicit' AND n > 1 THEN 'MIXED' ELSE r END AS role, strength AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) AS first FROM g) WHERE first = 1")
+@query(f"""WITH e AS (SELECT user_id, {_STRENGTH} AS strength, CAST(CAST(floor(value / 40) AS BIGINT) AS VARCHAR) AS r FROM events WHERE value IS NOT NULL),
+g AS (SELECT user_id, strength, count(DISTINCT r) AS n, min(r) AS r, CASE strength WHEN 'explicit' THEN 0 WHEN 'port' THEN 1 WHEN 'weak' THEN 2 ELSE 3 END AS k FROM e GROUP BY ALL),
+x AS (SELECT user_id, coalesce(min(r) FILTER (strength = 'explicit') <> min(r) FILTER (strength = 'port'), false) AS clash FROM g GROUP BY 1), a AS (SELECT user_id, list_sort(list(DISTINCT r)) AS roles FROM e GROUP BY 1)
+SELECT user_id, CASE WHEN clash OR strength = 'explicit' AND n > 1 THEN 'MIXED' ELSE r END AS role, CASE WHEN clash THEN 'explicit against port' ELSE strength END AS confidence, roles FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k) AS rn FROM g) JOIN x USING (user_id) JOIN a USING (user_id) WHERE rn = 1""")
 def code_owner(t):
     rows = t.events.where("value is not null").select("user_id", F.expr(_STRENGTH).alias("strength"), F.floor(F.col("value") / 40).cast("string").alias("r"))
-    return O.role_vote(rows, "user_id", "strength", "r", ["explicit", "port", "weak", "context"])
+    return O.role_vote(rows, "user_id", "strength", "r", ["explicit", "port", "weak", "context"], against=("explicit", "port"))
 
 
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1))"
@@ -178,9 +183,9 @@ def test_map(t):
     return O.test_map(_steps(t), t.spark.createDataFrame([("click",), ("error",)], "seed string"))
 
 
-@query(f"WITH RECURSIVE {_STEPS}, w(node, depth) AS (SELECT src, 1 FROM e UNION SELECT dst, 1 FROM e UNION SELECT e.src, depth + 1 FROM w JOIN e ON e.dst = node) SELECT node, CAST(max(depth) AS INT) AS level FROM w GROUP BY 1")
+@query(f"{_CLOSURE}, {_NODES}, loop AS (SELECT DISTINCT src AS node FROM c WHERE src = dst), free AS (SELECT * FROM e WHERE src NOT IN (SELECT node FROM loop)), w(node, depth) AS (SELECT node, 1 FROM n UNION SELECT free.src, depth + 1 FROM w JOIN free ON free.dst = w.node) SELECT node, CAST(max(depth) AS INT) AS level FROM w GROUP BY 1")
 def repo_order(t):
-    return O.build_order(_steps(t))
+    return O.build_order(_edges(t))
 
 
 @query("SELECT l_partkey, count(DISTINCT l_suppkey) AS users, min(l_suppkey) AS first FROM lineitem GROUP BY 1")
@@ -211,10 +216,4 @@ def check_summary(t):
 
 @query("SELECT item_id, doc_id, overlap, CAST(k AS INT) AS k FROM (SELECT item_id, doc_id, overlap, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, n, doc_id) AS k FROM (SELECT b.item_id, d.doc_id, count(*) AS overlap, any_value(n) AS n FROM (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 6))) AS w FROM benchmark) b JOIN (SELECT doc_id, length(text) AS n, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 6))) AS w FROM documents) d USING (w) GROUP BY 1, 2)) WHERE k <= 10")
 def spec_candidates(t):
-    from pyspark.sql import Window
-
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: F.length(x) > 6))).alias("w")
-    asked, have = t.benchmark.select("item_id", words("text")), t.documents.select("doc_id", F.length("text").alias("n"), words("text"))
-    met = have.join(F.broadcast(asked), "w").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"), F.first("n").alias("n"))
-    k = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("overlap"), "n", "doc_id"))
-    return met.withColumn("k", k).where("k <= 10").select("item_id", "doc_id", "overlap", "k")
+    return Q.spec_candidates(t.benchmark, t.documents, "item_id", "doc_id", "text")

@@ -232,6 +232,29 @@ def log_stream(t):
     return V.drain(report, f"{folder}/out", f"{folder}/state").select("step", "runs", "failed")
 
 
+_LATE = """WITH a AS (SELECT event_id, user_id, ts AS arrived, CASE WHEN event_id % 11 = 0 THEN ts - INTERVAL 9 HOUR ELSE ts END AS t FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+b AS (SELECT *, coalesce(t < max(t) OVER (PARTITION BY user_id ORDER BY arrived, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 4 HOUR, false) AS late FROM a),
+c AS (SELECT user_id, t, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS starts FROM b WHERE NOT late),
+d AS (SELECT user_id, t, sum(starts) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM c), e AS (SELECT user_id, min(t) AS start, max(t) AS stop, count(*) AS n FROM d GROUP BY user_id, s)
+SELECT user_id, 'session' AS kind, start, stop, n FROM e WHERE epoch_ms(stop + INTERVAL 6 HOUR) <= (SELECT epoch_ms(max(arrived)) FROM a) UNION ALL SELECT user_id, 'late', t, t, 1 FROM b WHERE late"""
+
+
+@query(_LATE)
+def late_sessions(t):
+    """Events as they arrive in two runs of one stream; every eleventh tells of a time nine hours before."""
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{base}/late-{t.spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    arrived = F.col("ts").cast("timestamp")
+    rows = t.events.select("user_id", arrived.alias("arrived"), F.when(F.col("event_id") % 11 == 0, arrived - F.expr("INTERVAL 9 HOURS")).otherwise(arrived).alias("at"))
+    half = t.events.agg(F.expr("percentile_approx(ts, 0.5)")).first()[0]
+    V.state_store(t.spark)
+    for part in (F.col("arrived") <= F.lit(half).cast("timestamp"), F.col("arrived") > F.lit(half).cast("timestamp")):
+        rows.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        out = V.drain(V.late_sessions(stream, "user_id", "at", "arrived", "2 hours", "4 hours"), f"{folder}/out", f"{folder}/state", "append")
+    return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "stop": F.col("stop").cast("timestamp_ntz")})
+
+
 @query("SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, CAST(max(turn) - min(turn) + 1 AS BIGINT) AS span FROM conversations GROUP BY 1")
 def conversation_turns(t):
     return t.conversations.groupBy("conv_id").agg(F.count("*").alias("turns"), F.countDistinct("role").alias("roles"), (F.max("turn") - F.min("turn") + 1).alias("span"))

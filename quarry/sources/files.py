@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Folders that a walk leaves out.
-SKIP = ("bin", "obj", "node_modules", "packages", "target", "dist", "build", "__pycache__", "vendor")
+SKIP = ("bin", "obj", "node_modules", "target", "dist", "build", "__pycache__", "vendor")
 
 
 def walk(spark: SparkSession, root: str, skip: tuple[str, ...] = SKIP, glob: str | None = None, max_bytes: int = 2_000_000) -> DataFrame:
     """(path, size, content, rejected): files below root without skipped and hidden folders (.github stays).
 
     Content is read only for files within the size cap; others are rows with ``rejected``. Spark's file sources pass over
-    hidden folders, so .github is named to them.
+    hidden folders, so .github is named to them. A folder ``packages`` is left out if it holds a .nupkg file. Paths are those below the root, whatever its name.
     """
     jvm = spark.sparkContext._jvm
     ci = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") + "/.github")
@@ -24,11 +24,15 @@ def walk(spark: SparkSession, root: str, skip: tuple[str, ...] = SKIP, glob: str
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    rel = F.regexp_replace(F.col("path"), "^.*?" + root.rstrip("/").split("/")[-1] + "/", "")
+    whole = ci.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(jvm.org.apache.hadoop.fs.Path(root)).toString().rstrip("/")
+    rel = F.substring("path", len(whole) + 2, 1 << 30)
     parts = F.split(rel, "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
     pruned = F.exists(folders, lambda x: x.isin(*skip) | (x.startswith(".") & (x != ".github")))
     rows = reader.load(roots).where(~pruned)
+    store = lambda c: F.regexp_extract(c, r"^((?:.*?/)?packages)/", 1)
+    packed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.nupkg").load(root).select(store(rel).alias("__store")).where("__store <> ''").distinct()
+    rows = rows.withColumn("__store", store(rel)).join(packed, "__store", "left_anti").drop("__store")
     fits, size = F.col("length") <= max_bytes, F.col("length").alias("size")
     small = rows.where(fits).select(rel.alias("path"), size, "content", F.lit(False).alias("rejected"))  # the scan gets the condition
     return small.union(rows.where(~fits).select(rel, size, F.lit(None).cast("binary"), F.lit(True)))

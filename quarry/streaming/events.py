@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LOG_SCHEMA = "at timestamp, step string, engine string, status string, note string, branch string, commit string"
 
@@ -50,3 +52,74 @@ def drain(stream: DataFrame, folder: str, checkpoint: str, mode: str = "complete
 def replace_origin(rows: DataFrame, new: DataFrame, origin: str) -> DataFrame:
     """All rows but those of one origin, and the new ones: running it again changes nothing."""
     return rows.where(~F.col("origin").eqNullSafe(F.lit(origin))).unionByName(new.withColumn("origin", F.lit(origin)))
+
+
+class _Sessions(StatefulProcessor):
+    """Sessions of one key that are still open, and the latest time seen; see ``late_sessions``."""
+
+    def __init__(self, gap: int, late: int):
+        self.gap, self.late = gap, late
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", "start long, stop long, n long")
+        self.latest = handle.getValueState("latest", "at long")
+
+    def _out(self, key, kind, rows):
+        return pd.DataFrame([(key[0], kind, *r) for r in rows], columns=["key", "kind", "start", "stop", "n"])
+
+    def _keep(self, sessions):
+        if sessions:
+            self.open.put(sessions)
+        else:
+            self.open.clear()
+
+    def handleInputRows(self, key, rows, timerValues):
+        latest = self.latest.get()[0] if self.latest.exists() else None
+        sessions = [list(x) for x in self.open.get()] if self.open.exists() else []
+        late = []
+        events = pd.concat(list(rows)).sort_values(["arrived", "at"], kind="stable")
+        for at in events["at"].tolist():
+            if latest is not None and at < latest - self.late:
+                late.append((at, at, 1))
+                continue
+            latest = at if latest is None else max(latest, at)
+            joined = [s for s in sessions if s[0] - self.gap <= at <= s[1] + self.gap]
+            sessions = [s for s in sessions if s not in joined]
+            sessions.append([min([at, *(s[0] for s in joined)]), max([at, *(s[1] for s in joined)]), 1 + sum(s[2] for s in joined)])
+        self.latest.update((latest,)) if latest is not None else None
+        self._keep([tuple(s) for s in sessions])
+        for s in sessions:
+            self.handle.registerTimer((s[1] + self.gap + self.late) // 1000)
+        yield self._out(key, "late", late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        sessions = [tuple(x) for x in self.open.get()] if self.open.exists() else []
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        done = [s for s in sessions if (s[1] + self.gap + self.late) // 1000 <= now]
+        if done:
+            self._keep([s for s in sessions if s not in done])
+        yield self._out(key, "session", done)
+
+    def close(self) -> None:
+        pass
+
+
+def late_sessions(events: DataFrame, key: str, at: str, arrived: str, gap: str, late: str) -> DataFrame:
+    """A stream of (key, kind, start, stop, n): sessions once they can no longer grow, and late events as rows of kind ``late``.
+
+    An event is late if it lies more than ``late`` before the latest event of its key that arrived before it; no
+    event is dropped. A session (events of a key with at most ``gap`` between neighbours) is kept in state with an event-time timer and given out when the watermark, which follows
+    ``arrived`` (the time of arrival, which does not go back), passes its end by ``gap`` and ``late``. Rows without key or time are left out. State holds the open sessions of a key and one time.
+    """
+    micros = lambda text: events.sparkSession.sql(f"SELECT CAST(unix_micros(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {text}) AS BIGINT)").first()[0]
+    rows = events.where(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(arrived).isNotNull())
+    rows = rows.select(F.col(key).alias("key"), F.unix_micros(at).alias("at"), F.col(arrived).alias("arrived")).withWatermark("arrived", "0 seconds")
+    kind = dict(rows.dtypes)["key"]
+    out = rows.groupBy("key").transformWithStateInPandas(_Sessions(micros(gap), micros(late)), f"key {kind}, kind string, start long, stop long, n long", "append", "EventTime")
+    return out.select(F.col("key").alias(key), "kind", F.timestamp_micros("start").alias("start"), F.timestamp_micros("stop").alias("stop"), "n")
+
+
+def state_store(spark: SparkSession) -> None:
+    """Keep states of streams in RocksDB, as timers need it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
