@@ -66,6 +66,10 @@ def _letter_vectors(letters: np.ndarray) -> np.ndarray:
     return bits.astype(np.int8) * 2 - 1
 
 
+#: Counts of rows and trigrams that are held at once (8 bytes each, and 4 more for the product).
+COUNTS = 3_000_000
+
+
 class Vectors:
     """Vectors of trigrams; the most recent blocks' are kept."""
 
@@ -106,7 +110,7 @@ def profiles(data: np.ndarray, offsets: np.ndarray, vectors: Vectors, group: np.
     if group is not None:
         row = group[row]
     distinct, back = np.unique(codes, return_inverse=True)
-    step = max(1, 16_000_000 // max(1, n))  # trigrams whose counts are held at once
+    step = max(1, COUNTS // max(1, n))  # trigrams whose counts are held at once
     order = None
     for first in range(0, len(distinct), min(step, 8192)):
         last = min(first + min(step, 8192), len(distinct))
