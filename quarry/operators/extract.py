@@ -131,7 +131,7 @@ def project_type(rows: DataFrame) -> DataFrame:
 def build_failure(text: Column) -> Column:
     """A plain reason for a build's error text."""
     out = F.lit("see the log")
-    for pattern, why in reversed([(r"NU1[0-9]{3}|unable to (find|resolve) package", "a package cannot be restored"), (r"MSB3644|reference assemblies .* were not found", "the targeting pack is missing"), (r"MSB4019|imported project .* was not found", "a build tool's targets are missing"), (r"NETSDK1045|does not support targeting", "the SDK is too old"), (r"CS0246|CS0234|could not be found", "a reference is missing"), (r"CS[0-9]{4}|error TS[0-9]+", "the code does not compile"), (r"(?i)timed? ?out", "it took too long"), (r"(?i)out of memory", "memory ran out")]):
+    for pattern, why in reversed([(r"NU1[0-9]{3}|unable to (find|resolve) package", "a package cannot be restored"), (r"MSB3644|reference assemblies .* were not found", "the targeting pack is missing"), (r"MSB4019|imported project .* was not found", "a build tool's targets are missing"), (r"NETSDK1045|does not support targeting", "the SDK is too old"), (r"CS0246|CS0234|could not be found", "a reference is missing"), (r"CS[0-9]{4}|error TS[0-9]+", "the sources have compile errors"), (r"(?i)timed? ?out", "it took too long"), (r"(?i)out of memory", "memory ran out")]):
         out = F.when(text.rlike(pattern), why).otherwise(out)
     return out
 

@@ -10,30 +10,46 @@ from quarry.operators import estimate as E
 from quarry.operators import extract as X
 from quarry.plans.registry import query
 
-FILES = [
-    ("a/Orders.cs", '[HttpGet("orders/@K/{id}")]\npublic Order Get(int id) => _context.Orders@K.Find(id);\napp.MapPost("/orders", h);\nvar u = configuration["Api@K:Url"];\nthrow new OrderException("no such order @K");\nservices.AddScoped<IRepo@K, Repo>();\nRecurringJob.AddOrUpdate("nightly@K", () => Run(), Cron.Daily);\nvar c = new SqlCommand("x");'),
-    ("web/app.js", "app.get('/home', f);\nfetch('/orders/@K');\nconst k = process.env.API_KEY_@K;"),
-    ("svc/main.py", '@app.get("/ping")\nraise ValueError("bad input")\nos.environ["HOME_DIR"]'),
-    ("svc/Api.java", '@GetMapping("/pets")\n@Scheduled(cron = "0 0 * * * *")'),
-    ("Dockerfile", "FROM base/image:@K\nEXPOSE 8080"),
-    ("ci.yml", "image: node:20\n  - cron: '0 5 * * 1'"),
-    ("links.txt", "see https://api@K.example.com:8443/v1 and http://10.0.0.5/x\nxmlns=http://www.w3.org/2000/svg ftp://files.corp/in"),
+#: A line of source for each line item, by its supplier: the kind of file, the line, where {v} is the part and {q} the quantity, and what each catalogue finds there: kind, value, extra.
+LINES = [
+    ("cs", '[HttpGet("orders/{v}/{id}")] public Order Get{q}(int id) => null;', {"API": [("attribute", "orders/{v}/{id}", "Get")]}),
+    ("cs", 'app.MapPost("/p{v}", h);', {"API": [("minimal", "/p{v}", "Post")]}),
+    ("js", "app.get('/h{v}', f);", {"API": [("express", "/h{v}", "get")]}),
+    ("cs", 'throw new Order{q}Exception("no such order {v}");', {"ERRORS": [("throw", "no such order {v}", "Order{q}Exception")]}),
+    ("cs", 'var u = configuration["Api{v}:Url{q}"];', {"CONFIG_READS": [("indexer", "Api{v}:Url{q}", "")]}),
+    ("js", "const k = process.env.API_KEY_{v};", {"CONFIG_READS": [("environment", "API_KEY_{v}", "")]}),
+    ("cs", "services.AddScoped<IRepo{v}, Repo{q}>();", {"REGISTRATIONS": [("service", "IRepo{v}", "Scoped"), ("implementation", "IRepo{v}", "Repo{q}")]}),
+    ("cs", 'RecurringJob.AddOrUpdate("nightly{v}", () => Run(), Cron.Daily);', {"JOBS": [("recurring", "nightly{v}", "Cron.Daily")]}),
+    ("js", "fetch('/orders/{v}');", {"UI_TRIGGERS": [("fetch", "/orders/{v}", "")]}),
+    ("cs", 'var c = new SqlCommand("x{v}");', {"DATA_ACCESS": [("raw_command", "", "")]}),
+    ("cs", "var o = _context.Orders{v}.Find({q});", {"DATA_ACCESS": [("orm", "Orders{v}", "")]}),
+    ("txt", "// see https://api{v}.example.com:8443/v1 and http://10.0.0.{q}/x", {}),
+    ("Dockerfile", "FROM base/image:{v}", {"BUILD_FACTS": [("base_image", "base/image:{v}", "")]}),
+    ("py", 'raise ValueError("bad input {q}")', {"ERRORS": [("raise", "bad input {q}", "ValueError")]}),
+    ("java", '@Scheduled(cron = "0 0 {q} * * *")', {"JOBS": [("scheduled", "0 0 {q} * * *", "")]}),
+    ("txt", "xmlns=http://www.w3.org/2000/svg ftp://files{v}.corp/in plain text", {}),
 ]
+_FILE = "CASE l_suppkey % " + str(len(LINES)) + " " + " ".join(f"WHEN {m} THEN '/{ext}'" if ext == "Dockerfile" else f"WHEN {m} THEN '.{ext}'" for m, (ext, *_) in enumerate(LINES)) + " END"
+_LINE = f"l AS (SELECT 'o' || l_orderkey || file AS path, CAST(row_number() OVER (PARTITION BY l_orderkey, file ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS line, m, v, q FROM (SELECT *, {_FILE} AS file, l_suppkey % {len(LINES)} AS m, CAST(l_partkey AS VARCHAR) AS v, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q FROM lineitem))"
 
 
 def _files(t):
-    """Each file once for every supplier, who is named in its path and, where @K stands, in its text."""
-    each = F.explode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(x).alias("text")) for p, x in FILES])).alias("f")
-    key = F.col("s_suppkey").cast("string")
-    rows = t.supplier.select("s_suppkey", each)
-    return rows.select(F.concat(F.lit("s"), key, F.lit("/"), F.col("f.path")).alias("path"), F.replace("f.text", F.lit("@K"), key).alias("text"))
+    """A file for each order and kind of source: a line for each of its line items, in their order."""
+    snippet = F.lit("")
+    for m, (_, text, _) in enumerate(LINES):
+        snippet = F.when(F.col("l_suppkey") % len(LINES) == m, text).otherwise(snippet)
+    snippet = F.replace(F.replace(snippet, F.lit("{v}"), F.col("l_partkey").cast("string")), F.lit("{q}"), F.col("l_quantity").cast("int").cast("string"))
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
+    each = F.array_sort(F.collect_list(F.struct(*order, snippet.alias("line"))))
+    rows = t.lineitem.groupBy("l_orderkey", F.expr(_FILE).alias("file")).agg(F.array_join(F.transform(each, lambda x: x["line"]), "\n").alias("text"))
+    return rows.select(F.concat(F.lit("o"), "l_orderkey", "file").alias("path"), "text")
 
 
-def _per_supplier(columns, rows, number="line"):
-    """The rows expected of FILES, for every supplier."""
-    names = [c.strip() for c in columns.split(",")]
-    shown = [f"'s' || s_suppkey || '/' || {c} AS {c}" if c == "path" else c if c in (number, "port") else f"replace({c}, '@K', CAST(s_suppkey AS VARCHAR)) AS {c}" for c in names]
-    return f"SELECT {', '.join(shown)} FROM supplier, ({_values(columns, rows)})"
+def _found(catalogue):
+    """What LINES say that a catalogue finds, for every line."""
+    rows = [(m, *fact) for m, (*_, facts) in enumerate(LINES) for fact in facts.get(catalogue, [])]
+    shown = [f"replace(replace({c}, '{{v}}', v), '{{q}}', q) AS {c}" for c in ("value", "extra")]
+    return f"WITH {_LINE} SELECT path, line, kind, {', '.join(shown)} FROM l JOIN ({_values('m, kind, value, extra', rows)}) USING (m)"
 
 
 def _values(columns, rows):
@@ -50,47 +66,48 @@ def _facts(catalogue):
     return lambda t: X.extract(_files(t), catalogue, "path", "text").select("path", "line", "kind", "value", "extra")
 
 
-@query(_per_supplier("path, line, kind, value, extra", [("a/Orders.cs", 1, "attribute", "orders/@K/{id}", "Get"), ("a/Orders.cs", 3, "minimal", "/orders", "Post"), ("web/app.js", 1, "express", "/home", "get"), ("svc/main.py", 1, "decorator", "/ping", "get"), ("svc/Api.java", 1, "spring", "/pets", "Get")]))
+@query(_found("API"))
 def ext_api(t):
     return _facts(X.API)(t)
 
 
-@query(_per_supplier("path, line, kind, value, extra", [("a/Orders.cs", 7, "recurring", "nightly@K", "Cron.Daily"), ("svc/Api.java", 2, "scheduled", "0 0 * * * *", ""), ("ci.yml", 2, "workflow", "0 5 * * 1", "")]))
+@query(_found("JOBS"))
 def ext_jobs(t):
     return _facts(X.JOBS)(t)
 
 
-@query(_per_supplier("path, line, kind, value, extra", [("a/Orders.cs", 5, "throw", "no such order @K", "OrderException"), ("svc/main.py", 2, "raise", "bad input", "ValueError")]))
+@query(_found("ERRORS"))
 def ext_errors(t):
     return _facts(X.ERRORS)(t)
 
 
-@query(_per_supplier("path, line, kind, value, extra", [("a/Orders.cs", 4, "indexer", "Api@K:Url", ""), ("web/app.js", 3, "environment", "API_KEY_@K", ""), ("svc/main.py", 3, "environment", "HOME_DIR", "")]))
+@query(_found("CONFIG_READS"))
 def ext_config_reads(t):
     return _facts(X.CONFIG_READS)(t)
 
 
-@query(_per_supplier("path, line, kind, value, extra", [("a/Orders.cs", 6, "service", "IRepo@K", "Scoped"), ("a/Orders.cs", 6, "implementation", "IRepo@K", "Repo")]))
+@query(_found("REGISTRATIONS"))
 def ext_registrations(t):
     return _facts(X.REGISTRATIONS)(t)
 
 
-@query(_per_supplier("path, line, kind, value, extra", [("web/app.js", 2, "fetch", "/orders/@K", "")]))
+@query(_found("UI_TRIGGERS"))
 def ext_ui_triggers(t):
     return _facts(X.UI_TRIGGERS)(t)
 
 
-@query(_per_supplier("path, line, kind, value, extra", [("Dockerfile", 1, "base_image", "base/image:@K", ""), ("Dockerfile", 2, "port", "8080", ""), ("ci.yml", 1, "pipeline_image", "node:20", "")]))
+@query(_found("BUILD_FACTS"))
 def ext_build_facts(t):
     return _facts(X.BUILD_FACTS)(t)
 
 
-@query(_per_supplier("path, line, kind, value", [("a/Orders.cs", 2, "orm", "Orders@K"), ("a/Orders.cs", 8, "raw_command", "")]))
+@query(_found("DATA_ACCESS"))
 def ext_data_access(t):
-    return _facts(X.DATA_ACCESS)(t).drop("extra")
+    return _facts(X.DATA_ACCESS)(t)
 
 
-@query(_per_supplier("path, line, host, port, scheme, kind", [("links.txt", 1, "api@K.example.com", 8443, "https", "external"), ("links.txt", 1, "10.0.0.5", 80, "http", "internal"), ("links.txt", 2, "files.corp", "@", "ftp", "internal")]).replace("'@'", "NULL"))
+@query(f"""WITH {_LINE} SELECT path, line, 'api' || v || '.example.com' AS host, 8443 AS port, 'https' AS scheme, 'external' AS kind FROM l WHERE m = 11 UNION ALL SELECT path, line, '10.0.0.' || q, 80, 'http', 'internal' FROM l WHERE m = 11
+UNION ALL SELECT path, line, 'files' || v || '.corp', NULL, 'ftp', 'internal' FROM l WHERE m = 15""")
 def ext_endpoints(t):
     return X.endpoints(_files(t), "path", "text").drop("url")
 
@@ -104,30 +121,33 @@ def ext_views(t):
     return t.pages.select("page_id", tags).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
-PROJECTS = [("a", "Library", ["xunit"], ["A.cs"]), ("b", "Exe", [], ["Program.cs"]), ("c", "Library", ["Microsoft.AspNetCore.App"], ["Startup.cs"]), ("d", "Library", [], ["Default.aspx"]), ("e", "Library", [], ["x.cs"])]
-
-
-@query(_values("name, type", [("a", "test"), ("b", "console"), ("c", "web application"), ("d", "Web Forms"), ("e", "library")]))
+@query("SELECT p_partkey AS name, CASE p_size % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'console' WHEN 2 THEN 'web application' WHEN 3 THEN 'Web Forms' ELSE 'library' END AS type FROM part")
 def project_types(t):
-    return X.project_type(t.spark.createDataFrame(PROJECTS, "name string, output string, packages array<string>, files array<string>")).select("name", "type")
+    size = F.col("p_size") % 5
+    name = F.regexp_replace("p_name", " ", "_")
+    packages = F.when(size == 0, F.array(F.lit("xunit"), name)).when(size == 2, F.array(name, F.lit("Microsoft.AspNetCore.App"))).otherwise(F.array(name))
+    files = F.array(F.concat(name, F.lit(".cs")), F.when(size == 1, "Program.cs").when(size == 2, "Startup.cs").when(size == 3, F.concat(name, F.lit(".aspx"))).otherwise("x.cs"))
+    rows = t.part.select(F.col("p_partkey").alias("name"), F.when(size == 1, "Exe").otherwise("Library").alias("output"), packages.alias("packages"), files.alias("files"))
+    return X.project_type(rows).select("name", "type")
 
 
-@query(_values("text, why", [("error CS0246: type X could not be found", "a reference is missing"), ("NU1101 unable to find package", "a package cannot be restored"), ("error CS1002", "the code does not compile"), ("boom", "see the log")]))
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'a reference is missing' WHEN 1 THEN 'a package cannot be restored' WHEN 2 THEN 'the sources have compile errors' ELSE 'see the log' END AS why FROM part")
 def build_failures(t):
-    rows = [("error CS0246: type X could not be found",), ("NU1101 unable to find package",), ("error CS1002",), ("boom",)]
-    return t.spark.createDataFrame(rows, "text string").select("text", X.build_failure(F.col("text")).alias("why"))
+    size = F.col("p_size") % 4
+    text = F.when(size == 0, F.concat(F.lit("error CS0246: type "), "p_name", F.lit(" could not be found"))).when(size == 1, F.concat(F.lit("NU1101 unable to find package "), "p_brand")).when(size == 2, F.concat(F.lit("line "), "p_partkey", F.lit(": error CS1002"))).otherwise(F.col("p_name"))
+    return t.part.select("p_partkey", X.build_failure(text).alias("why"))
 
 
-@query(_values("id, issue", [(1, "#12"), (1, "ABC-7"), (2, "X2-99")]))
+@query("SELECT o_orderkey AS id, unnest(list_distinct(['#' || o_custkey, 'ABC-' || o_orderkey % 9, 'X2-' || o_custkey % 3])) AS issue FROM orders")
 def linked_issues(t):
-    rows = [(1, "fixes #12 and ABC-7, not UTF-8"), (2, "(X2-99) again X2-99")]
-    return X.linked_issues(t.spark.createDataFrame(rows, "id int, text string"), "id", "text")
+    text = F.concat(F.lit("fixes #"), "o_custkey", F.lit(" and ABC-"), F.col("o_orderkey") % 9, F.lit(", not UTF-8 (X2-"), F.col("o_custkey") % 3, F.lit(") again ABC-"), F.col("o_orderkey") % 9)
+    return X.linked_issues(t.orders.select(F.col("o_orderkey").alias("id"), text.alias("text")), "id", "text")
 
 
-@query(_values('id, "table", "values"', [(1, "dbo.roles", "1|it's"), (1, "dbo.roles", "2|b, c"), (1, "t", "3")]))
+@query("""SELECT p_partkey AS id, 'dbo.roles' || p_size AS "table", p_partkey || '|' || p_name || '''s' AS "values" FROM part UNION ALL SELECT p_partkey, 'dbo.roles' || p_size, '2|b, ' || p_brand FROM part UNION ALL SELECT p_partkey, 't', CAST(p_size AS VARCHAR) FROM part""")
 def seed_rows(t):
-    text = "INSERT INTO [dbo].[Roles] (id, n) VALUES (1, N'it''s'), (2, 'b, c');\ninsert into t values (3)"
-    out = X.insert_rows(t.spark.createDataFrame([(1, text)], "id int, text string"), "id", "text")
+    text = F.concat(F.lit("INSERT INTO [dbo].[Roles"), "p_size", F.lit("] (id, n) VALUES ("), "p_partkey", F.lit(", N'"), "p_name", F.lit("''s'), (2, 'b, "), "p_brand", F.lit("');\ninsert into t values ("), "p_size", F.lit(")"))
+    out = X.insert_rows(t.part.select(F.col("p_partkey").alias("id"), text.alias("text")), "id", "text")
     return out.withColumn("values", F.array_join("values", "|"))
 
 
