@@ -195,8 +195,8 @@ def _packed(tagged: DataFrame) -> DataFrame:
     return tagged.select("id", "lang", "text", "role", "v", F.spark_partition_id()).mapInArrow(run, "block int, id long, lang string, role int, v int, z binary")
 
 
-def _scored(asked: DataFrame, packed: DataFrame) -> DataFrame:
-    """(id, lang, role, n, lp): symbols and log-probability of each document."""
+def _scored(asked: DataFrame, packed: DataFrame, blocks: int) -> DataFrame:
+    """(id, lang, role, n, lp): symbols and log-probability of each document; ``blocks`` is how many blocks there are."""
 
     def run(batches):
         unzip = zstandard.ZstdDecompressor()
@@ -208,15 +208,16 @@ def _scored(asked: DataFrame, packed: DataFrame) -> DataFrame:
                 if a == b:
                     continue
                 if block[a] != now:
-                    now, parts, codes = block[a], [], None
+                    now, parts, codes, values = block[a], [], None, None
                 own = batch.slice(a, b - a)
                 if not is_doc[a]:
-                    parts.append((own.column(2).to_numpy(), own.column(3).to_numpy()))
+                    parts.append((own.column(2).to_numpy().copy(), own.column(3).to_numpy().copy()))  # the batch can go
                     continue
                 if codes is None:
                     codes = np.concatenate([c for c, _ in parts]) if parts else np.zeros(0, np.int64)
                     order = np.argsort(codes)
                     codes, values = codes[order], np.concatenate([v for _, v in parts])[order] if parts else np.zeros(0)
+                    parts, order = [], None
                 texts = [unzip.decompress(z) if z else b"" for z in own.column(7).to_pylist()]
                 for start, stop, data, offsets in flat.blocks(pa.array(texts, pa.binary()), PART_BYTES):
                     found, bounds = grams(data, offsets)
@@ -231,7 +232,8 @@ def _scored(asked: DataFrame, packed: DataFrame) -> DataFrame:
     none = lambda kind: F.lit(None).cast(kind)
     left = asked.select("block", F.lit(False).alias("is_doc"), "code", "lp", none("long").alias("id"), none("string").alias("lang"), none("int").alias("role"), none("binary").alias("z"), none("int").alias("v"))
     right = packed.select("block", F.lit(True), none("long"), none("double"), "id", "lang", "role", "z", "v")
-    rows = left.union(right).repartition("block").sortWithinPartitions("block", "is_doc")
+    # with so many partitions few blocks meet in one task
+    rows = left.union(right).repartition(4 * max(1, blocks), "block").sortWithinPartitions("block", "is_doc")
     return rows.mapInArrow(run, "id long, lang string, role int, n long, lp double")
 
 
@@ -253,7 +255,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     counted = stored(_counted(tagged), "grams")
     asked = counted.select("block", "code", "v").join(probabilities(counted, list(range(FOLDS + 1)) if rotate else [0]), ["code", "v"])
     asked = asked.select("block", F.col("code").bitwiseOR(F.shiftleft(F.col("v").cast("long"), CODE_BITS)).alias("code"), "lp")
-    scored = _scored(asked, _packed(tagged))
+    last = counted.agg(F.max("block")).first()[0]
+    scored = _scored(asked, _packed(tagged), 0 if last is None else last + 1)
     return scored
 
 
