@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import scalars as S
+
 
 def first_per_key(rows: DataFrame, key: list[str], order: list) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
@@ -47,6 +49,8 @@ def running_slots(rows: DataFrame, by: list[str], order: list, size: str, capaci
 
 
 def last_version(used: DataFrame, releases: DataFrame, on: str, version: str, release: str) -> DataFrame:
-    """Each used version with the latest release that is not above it; both are arrays of numbers. Releases of one package are few."""
-    joined = used.join(releases, on, "left").where(F.col(release).isNull() | (F.col(release) <= F.col(version)))
-    return joined.groupBy(on, version).agg(F.max(release).alias(release))
+    """(on, version, latest): each used version with the latest release of its package that is not above it, or null; versions are texts. Releases of one package are few."""
+    rows = used.join(releases, on, "left").withColumn("__ok", S.version(F.col(release)) <= S.version(F.col(version)))
+    best = F.max_by(F.when(F.col("__ok"), F.col(release)), F.when(F.col("__ok"), S.version(F.col(release))))
+    return rows.groupBy(on, version).agg(best.alias("latest"))
+

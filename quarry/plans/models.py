@@ -192,10 +192,13 @@ def question_when(t):
     return D.applicable(t.spark.createDataFrame(rows, "id string, when map<string,array<string>>"), {"db": ["sql"], "os": ["windows"]}).select("id")
 
 
-@query("SELECT * FROM (VALUES (1, NULL), (2, '$.a[1]: value'), (3, '$.b: missing'), (4, '$.a: length'), (5, '$: type')) v(id, diff)")
+@query("SELECT p_partkey AS id, CASE p_size % 5 WHEN 0 THEN NULL WHEN 1 THEN '$.a[1]: value' WHEN 2 THEN '$.b: missing' WHEN 3 THEN '$.a: length' ELSE '$: type' END AS diff FROM part")
 def json_diff(t):
-    rows = [(1, '{"a": [1, 2], "b": 1}', '{"b": 1.0, "a": [1, 2]}'), (2, '{"a": [1, 2]}', '{"a": [1, 3]}'), (3, '{"a": 1, "b": 2}', '{"a": 1}'), (4, '{"a": [1]}', '{"a": [1, 2]}'), (5, "[]", "{}")]
-    return t.spark.createDataFrame(rows, "id int, a string, b string").select("id", diffs.first_diff("a", "b").alias("diff"))
+    size, k, s = F.col("p_size") % 5, F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    first = F.concat(F.lit('{"a": ['), k, F.lit(", "), s, F.lit('], "b": "'), F.col("p_name"), F.lit('"}'))
+    second = F.when(size == 0, F.concat(F.lit('{"b": "'), F.col("p_name"), F.lit('", "a": ['), k, F.lit(".0, "), s, F.lit("]}"))).when(size == 1, F.concat(F.lit('{"a": ['), k, F.lit(", "), F.col("p_size") + 1, F.lit('], "b": "'), F.col("p_name"), F.lit('"}')))
+    second = second.when(size == 2, F.concat(F.lit('{"a": ['), k, F.lit(", "), s, F.lit("]}"))).when(size == 3, F.concat(F.lit('{"a": ['), k, F.lit('], "b": "'), F.col("p_name"), F.lit('"}'))).otherwise(F.concat(F.lit("["), k, F.lit("]")))
+    return t.part.select(F.col("p_partkey").alias("id"), diffs.first_diff(first, second).alias("diff"))
 
 
 @query("""SELECT 'orders have customers' AS gate, count(*) = 0 AS passed, count(*) AS offenders FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)

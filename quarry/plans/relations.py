@@ -203,13 +203,12 @@ def first_per_key(t):
     return W.first_per_key(t.conversations, ["conv_id"], ["turn"]).select("conv_id", "role", "text")
 
 
-@query("SELECT * FROM (VALUES ('a', '1.5.0', '1.4.2'), ('a', '2.0', '2.0'), ('b', '0.1', NULL), ('b', '10.0.1', '9.3')) v(pkg, used, latest)")
+@query("""WITH u AS (SELECT DISTINCT p_brand AS pkg, p_size % 5 AS a, p_partkey % 12 AS b FROM part), r AS (SELECT DISTINCT p_brand AS pkg, p_size % 4 AS a, p_partkey % 15 AS b, p_size AS c FROM part)
+SELECT pkg, u.a || '.' || u.b || '.0' AS used, arg_max(r.a || '.' || r.b || '.' || r.c, [r.a, r.b, r.c]) FILTER ([r.a, r.b, r.c] <= [u.a, u.b, 0]) AS latest FROM u LEFT JOIN r USING (pkg) GROUP BY pkg, u.a, u.b""")
 def last_version(t):
-    used = t.spark.createDataFrame([("a", "1.5.0"), ("a", "2.0"), ("b", "0.1"), ("b", "10.0.1")], "pkg string, used string")
-    releases = t.spark.createDataFrame([("a", "1.4.2"), ("a", "1.10.0"), ("a", "2.0"), ("b", "9.3"), ("b", "0.2")], "pkg string, release string")
-    rows = used.join(releases, "pkg", "left").withColumn("ok", S.version(F.col("release")) <= S.version(F.col("used")))
-    best = F.max_by(F.when(F.col("ok"), F.col("release")), F.when(F.col("ok"), S.version(F.col("release"))))
-    return rows.groupBy("pkg", "used").agg(best.alias("latest"))
+    used = t.part.select(F.col("p_brand").alias("pkg"), F.concat_ws(".", F.col("p_size") % 5, F.col("p_partkey") % 12, F.lit(0)).alias("used")).distinct()
+    releases = t.part.select(F.col("p_brand").alias("pkg"), F.concat_ws(".", F.col("p_size") % 4, F.col("p_partkey") % 15, "p_size").alias("release")).distinct()
+    return W.last_version(used, releases, "pkg", "used", "release")
 
 
 @query("SELECT o_custkey, first_status, last_status FROM (SELECT o_custkey, arg_min(o_orderstatus, (o_orderdate, o_orderkey)) AS first_status, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS last_status FROM orders GROUP BY 1) WHERE first_status <> last_status")

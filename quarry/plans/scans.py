@@ -80,10 +80,11 @@ def waivers_first(t):
     return _waived(t).select("doc_id", "source", "rule", "line_no", "waiver")
 
 
-@query("SELECT * FROM (VALUES (1, true, NULL), (2, false, 'no reason'), (3, true, NULL), (4, false, 'expired'), (5, true, NULL)) v(waiver, valid, why_not)")
+@query("SELECT o_orderkey AS waiver, why_not IS NULL AS valid, why_not FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'no reason' WHEN o_orderkey % 7 <> 0 AND strftime(o_orderdate, '%Y-%m-%d') < '1998-01-01' THEN 'expired' END AS why_not FROM orders)")
 def waiver_valid(t):
-    rows = t.spark.createDataFrame(WAIVERS, "waiver int, rule string, path string, reason string, expires string")
-    return R.valid_waivers(rows, "2026-01-01").select("waiver", "valid", "why_not")
+    key = F.col("o_orderkey")
+    rows = t.orders.select(key.alias("waiver"), F.lit("r").alias("rule"), F.lit("**").alias("path"), F.when(key % 5 == 0, " ").otherwise(F.concat(F.lit("for "), "o_orderpriority")).alias("reason"), F.when(key % 7 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("expires"))
+    return R.valid_waivers(rows, "1998-01-01").select("waiver", "valid", "why_not")
 
 
 @query(_WAIVED + """ SELECT lang, CAST(count(*) AS BIGINT) AS hits, CAST(count(DISTINCT rule) AS BIGINT) AS rules, CAST(count(*) FILTER (WHERE waiver IS NOT NULL) AS BIGINT) AS waived,
@@ -199,13 +200,17 @@ def risk_matrix(t):
     return t.orders.select("o_orderkey", S.risk(impact, likely).alias("risk"))
 
 
-LICENCES = [("MIT", 0), ("GPL-3.0-only", 3), ("MIT OR GPL-2.0", 0), ("Apache-2.0 AND LGPL-2.1", 1), ("(MIT AND GPL-3.0) OR MPL-2.0", 1), ("Custom-EULA", 2), ("AGPL-3.0 OR Proprietary", 2)]
+#: Licences and the ranks of what they ask for.
+LICENCES = [("MIT", 0), ("LGPL-2.1", 1), ("Custom-EULA", 2), ("GPL-3.0-only", 3), ("MPL-2.0", 1), ("Apache-2.0", 0), ("AGPL-3.0", 3)]
+_RANK = lambda k: "CASE " + k + " " + " ".join(f"WHEN {m} THEN {r}" for m, (_, r) in enumerate(LICENCES)) + " END"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{e}', {r})" for e, r in LICENCES) + ") v(expression, rank)")
+@query(f"SELECT p_partkey, CAST(CASE WHEN p_partkey % 2 = 0 THEN least({_RANK('p_size % 7')}, greatest({_RANK('p_partkey % 7')}, {_RANK('p_partkey // 7 % 7')})) ELSE least(greatest({_RANK('p_size % 7')}, {_RANK('p_partkey % 7')}), {_RANK('p_partkey // 7 % 7')}) END AS INT) AS rank FROM part")
 def spdx(t):
-    rows = t.spark.createDataFrame([(e,) for e, _ in LICENCES], "expression string")
-    return rows.select("expression", S.spdx_rank(F.col("expression")).alias("rank"))
+    name = lambda k: F.element_at(F.array(*[F.lit(x) for x, _ in LICENCES]), (k % 7 + 1).cast("int"))
+    a, b, c = name(F.col("p_size")), name(F.col("p_partkey")), name(F.floor(F.col("p_partkey") / 7))
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(a, F.lit(" OR "), b, F.lit(" AND "), c)).otherwise(F.concat(F.lit("("), a, F.lit(" AND "), b, F.lit(") OR "), c))
+    return t.part.select("p_partkey", S.spdx_rank(text).cast("int").alias("rank"))
 
 
 @query("SELECT l_orderkey, l_linenumber, ceil(l_quantity / 7 * 2 - 1e-9) / 2 AS half, CASE WHEN l_quantity <= 10 THEN 'small' WHEN l_quantity <= 25 THEN 'medium' WHEN l_quantity <= 40 THEN 'large' ELSE 'huge' END AS size, round_even((CASE WHEN l_quantity <= 5 THEN 2.0 WHEN l_quantity <= 20 THEN 2 + (l_quantity - 5) * (8.0 - 2) / 15 WHEN l_quantity <= 45 THEN 8 + (l_quantity - 20) * (20.0 - 8) / 25 ELSE 20.0 END) * 2, 0) / 2 AS hours FROM lineitem")
@@ -223,42 +228,41 @@ def words_and_stems(t):
     return rows.select("name", F.array_join(F.transform(S.identifier_words(F.col("name")), S.stem), " ").alias("words"))
 
 
-CONNECTIONS = ["Server=db1;Database=Shop;User Id=sa;Password=x=y", "Host=pg.local;Port=5432;Database=shop", "Data Source=app.db", "Data Source=(DESCRIPTION=(SERVICE_NAME=orcl))"]
-
-
-@query("SELECT * FROM (VALUES (1, 'SQL Server', 'db1', 'x=y'), (2, 'PostgreSQL', 'pg.local', NULL), (3, 'file', 'app.db', NULL), (4, 'Oracle', '(DESCRIPTION=(SERVICE_NAME=orcl))', NULL)) v(id, engine, host, password)")
+@query("""SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'SQL Server' WHEN 1 THEN 'PostgreSQL' WHEN 2 THEN 'file' ELSE 'Oracle' END AS engine, CASE s_suppkey % 4 WHEN 0 THEN 'db' || s_nationkey WHEN 1 THEN 'pg' || s_nationkey || '.local' WHEN 2 THEN 'app' || s_suppkey || '.db' ELSE '(DESCRIPTION=(SERVICE_NAME=orcl' || s_nationkey || '))' END AS host, CASE WHEN s_suppkey % 4 = 0 THEN 'x=' || s_suppkey END AS password FROM supplier""")
 def connection_strings(t):
-    rows = t.spark.createDataFrame(list(enumerate(CONNECTIONS, 1)), "id int, cs string").withColumn("m", S.connection(F.col("cs")))
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    form = F.when(F.col("s_suppkey") % 4 == 0, F.concat(F.lit("Server=db"), n, F.lit("; Database=Shop"), k, F.lit(";User Id=sa;PASSWORD=x="), k)).when(F.col("s_suppkey") % 4 == 1, F.concat(F.lit("Host=pg"), n, F.lit(".local;Port=5432;Database=shop"), k))
+    text = form.when(F.col("s_suppkey") % 4 == 2, F.concat(F.lit("Data Source=app"), k, F.lit(".db"))).otherwise(F.concat(F.lit("Data Source=(DESCRIPTION=(SERVICE_NAME=orcl"), n, F.lit("))")))
+    rows = t.supplier.select(F.col("s_suppkey").alias("id"), text.alias("cs")).withColumn("m", S.connection(F.col("cs")))
     host = F.coalesce(F.element_at("m", "server"), F.element_at("m", "host"), F.element_at("m", "data source"))
     return rows.select("id", S.connection_engine(F.col("cs")).alias("engine"), host.alias("host"), F.element_at("m", "password").alias("password"))
 
 
-MONIKERS = [("net48", "legacy"), ("net8.0", "modern"), ("netstandard2.0", "standard"), ("netcoreapp3.1", "modern"), ("v4.7.2", "legacy"), ("net10.0", "modern"), ("uap10", "other")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{c}')" for m, c in MONIKERS) + ") v(tfm, class)")
+@query("SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'legacy' WHEN 1 THEN 'modern' WHEN 2 THEN 'standard' WHEN 3 THEN 'modern' WHEN 4 THEN 'legacy' ELSE 'other' END AS class FROM part")
 def framework_classes(t):
-    return t.spark.createDataFrame([(m,) for m, _ in MONIKERS], "tfm string").select("tfm", S.framework_class(F.col("tfm")).alias("class"))
-
-
-SCHEDULES = [("1.02:00:30", "1 d 2 h 30 s"), ("00:15:00", "15 min"), ("later", "later")]
-CRONS = [("*/5 * * * *", "every 5 minutes"), ("0 3 * * *", "daily at 03:00"), ("30 6 * * 1", "weekly on day 1 at 06:30"), ("15 * * * *", "hourly at minute 15"), ("0 0 1 * *", "monthly on day 1 at 00:00"), ("odd", "odd")]
+    size, k = F.col("p_size") % 6, F.col("p_partkey")
+    tfm = F.when(size == 0, F.concat(F.lit("net4"), k % 9)).when(size == 1, F.concat(F.lit("net"), k % 6 + 5, F.lit(".0"))).when(size == 2, F.concat(F.lit("netstandard2."), k % 2)).when(size == 3, F.concat(F.lit("netcoreapp3."), k % 2)).when(size == 4, F.concat(F.lit("v4."), k % 8, F.lit(".2"))).otherwise(F.concat(F.lit("uap"), k))
+    return t.part.select("p_partkey", S.framework_class(tfm).alias("class"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in SCHEDULES + CRONS) + ") v(schedule, words)")
+@query("""WITH p AS (SELECT p_partkey, p_size % 7 AS form, p_partkey % 60 AS m, p_partkey % 24 AS h, p_size % 7 AS d, lpad(CAST(p_partkey % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(p_partkey % 60 AS VARCHAR), 2, '0') AS clock FROM part)
+SELECT p_partkey, CASE form WHEN 0 THEN 'every ' || (m + 2) || ' minutes' WHEN 1 THEN 'daily at ' || clock WHEN 2 THEN 'weekly on day ' || d || ' at ' || clock WHEN 3 THEN 'hourly at minute ' || m WHEN 4 THEN 'monthly on day ' || (h + 1) || ' at ' || clock WHEN 5 THEN 'odd ' || m ELSE (h + 1) || ' d ' || (h % 23 + 1) || ' h ' || (m % 59 + 1) || ' s' END AS words FROM p""")
 def schedules(t):
-    spans = t.spark.createDataFrame([(a,) for a, _ in SCHEDULES], "schedule string").select("schedule", S.timespan(F.col("schedule")).alias("words"))
-    crons = t.spark.createDataFrame([(a,) for a, _ in CRONS], "schedule string").select("schedule", S.cron_text(F.col("schedule")).alias("words"))
-    return spans.union(crons)
+    form, m, h = F.col("p_size") % 7, F.col("p_partkey") % 60, F.col("p_partkey") % 24
+    text = F.when(form == 0, F.concat(F.lit("*/"), m + 2, F.lit(" * * * *"))).when(form == 1, F.concat(m, F.lit(" "), h, F.lit(" * * *"))).when(form == 2, F.concat(m, F.lit(" "), h, F.lit(" * * "), F.col("p_size") % 7)).when(form == 3, F.concat(m, F.lit(" * * * *")))
+    text = text.when(form == 4, F.concat(m, F.lit(" "), h, F.lit(" "), h + 1, F.lit(" * *"))).when(form == 5, F.concat(F.lit("odd "), m)).otherwise(F.format_string("%d.%02d:00:%02d", h + 1, h % 23 + 1, m % 59 + 1))
+    return t.part.select("p_partkey", F.when(form == 6, S.timespan(text)).otherwise(S.cron_text(text)).alias("words"))
 
 
-SETTINGS = [("DbPassword", "hunter2hunter2", "secret"), ("ApiUrl", "https://a.example.com", "address"), ("LogDir", "C:\\logs", "path"), ("Debug", "true", "keep"), ("Title", "Shop", "review"), ("ApiKey", "__KEY__", "review")]
+#: Settings of each supplier and what is to be done with them; {k} is the key.
+SETTINGS = [("S{k}DbPassword", "hunter{k}hunter2", "secret"), ("S{k}ApiUrl", "https://a{k}.example.com", "address"), ("S{k}LogDir", "C:\\logs\\{k}", "path"), ("S{k}Debug", "true", "keep"), ("S{k}Title", "Shop {k}", "review"), ("S{k}ApiKey", "__KEY{k}__", "review")]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{d}')" for k, _, d in SETTINGS) + ") v(key, decision)")
+@query("SELECT replace(key, '{k}', CAST(s_suppkey AS VARCHAR)) AS key, decision FROM supplier, (VALUES " + ", ".join(f"('{k}', '{d}')" for k, _, d in SETTINGS) + ") v(key, decision)")
 def config_decisions(t):
-    rows = t.spark.createDataFrame([(k, v) for k, v, _ in SETTINGS], "key string, value string")
-    return rows.select("key", S.config_decision(F.col("key"), F.col("value")).alias("decision"))
+    rows = t.supplier.select("s_suppkey", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v, _ in SETTINGS])).alias("s"))
+    key, value = (F.replace(f"s.{c}", F.lit("{k}"), F.col("s_suppkey").cast("string")) for c in ("key", "value"))
+    return rows.select(key.alias("key"), S.config_decision(key, value).alias("decision"))
 
 
 @query("SELECT conv_id, turn, left(regexp_extract(regexp_replace(text, '[ \t\r\n]+', ' ', 'g'), '^(.*?[.!?])( |$)', 1), 110) AS first FROM conversations")
