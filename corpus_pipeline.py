@@ -34,7 +34,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("quality", quality), ("near_dedup", near_dedup), ("packing", packing)]
 
-#: SQL can express neither the language profiles nor the perplexities; tests hold the rows against brute force.
+#: SQL can express neither the language profiles nor the perplexities. A test holds the rows of all stages against plain versions but for the
+#: verdicts of ``quality``, whose perplexities other tests hold against a plain model.
 ORACLE_SQL = None
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import flat
-from llm.store import BROADCAST_ROWS, stored
+from llm.store import BROADCAST_ROWS, stored, unused
 
 ORDER = 5
 #: Bits of a 5-gram; above them stand the asked variant and, in a block's counts, the fold.
@@ -286,10 +286,11 @@ def row_key(id_: Column | str, lang: Column | str, text: Column | str) -> Column
 
 def accepted(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with all columns as they were; each row goes by its own text and language, whatever its id."""
-    keep = classify(docs, trusted, id_col=id_col, text_col=text_col, lang_col=lang_col, by_row=True).where("kept").select(F.col(id_col).alias("__row")).distinct()
+    name = unused(docs, "__row")
+    keep = classify(docs, trusted, id_col=id_col, text_col=text_col, lang_col=lang_col, by_row=True).where("kept").select(F.col(id_col).alias(name)).distinct()
     keep = stored(keep, "kept")
     own = row_key(docs[id_col].cast("long"), F.coalesce(docs[lang_col].cast("string"), F.lit("und")), docs[text_col])
-    return docs.join(F.broadcast(keep) if keep.count() <= BROADCAST_ROWS else keep, own == F.col("__row"), "left_semi")
+    return docs.join(F.broadcast(keep) if keep.count() <= BROADCAST_ROWS else keep, own == F.col(name), "left_semi")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:

@@ -50,3 +50,11 @@ def keep_ids(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     if ids.count() <= BROADCAST_ROWS:
         ids = F.broadcast(ids)
     return df.join(ids, on, "left_semi")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -1,5 +1,13 @@
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import tokenizers
+
 import corpus_pipeline
-from llm import queries
+from llm import quality, queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -20,3 +28,56 @@ def test_stages_are_applied_to_what_the_one_before_kept(spark):
 def test_every_operator_has_a_query():
     names = queries.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
+
+
+def shingles(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def test_rows_against_plain_stages(spark, tmp_path):
+    """Letters, all pairs of sets, and token ids by plain code; the verdicts of quality are those of its operator."""
+    draw = random.Random(7)
+    words = ["the", "cat", "dog", "House", "runs", "to", "a", "tree", "and", "back", "again", "with", "its", "friend", "über", "été"]
+    prose = lambda n: " ".join(draw.choice(words) for _ in range(n)) + "."
+    rows = [(i, prose(draw.randint(20, 60)), "en") for i in range(60)]
+    for i in range(60, 75):  # near copies: one word in a long text
+        parts = rows[i - 60][1].split(" ")
+        parts[draw.randrange(len(parts))] = "x"
+        rows.append((i, " ".join(parts), "en"))
+    rows += [(80, rows[3][1], "en"), (81, rows[3][1], None), (82, None, "en"), (83, "", None), (84, "12 + 34 = 46 !?", "en"), (85, "cat", "en"), (86, "Cat", "en"), (87, prose(2000), "en")]
+    rows = [(*r, "s", 0, "row", "kept") for r in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __row string, __kept_id string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    lettered = {r[0]: r[1] for r in rows if r[1] and any(c.isalpha() for c in r[1])}
+    kept = docs.where(docs["doc_id"].isin(list(lettered)))
+    good = {r["doc_id"] for r in quality.classify(kept, quality.trusted_ids(labels)).where("kept").collect()}
+    sets = {i: shingles(lettered[i]) for i in good}
+    root = {i: i for i in good}
+    for _ in good:
+        for a in good:
+            for b in good:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) > 0:
+                    root[a] = root[b] = min(root[a], root[b])
+    want = {i for i in good if root[i] == i}
+    coder = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces, used = {}, {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"], r["ids_crc32"]))
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert set(pieces) == want and 20 < len(want) < len(good) < len(rows)
+    for i, own in pieces.items():
+        ids, at = [*coder.encode(lettered[i], add_special_tokens=False).ids, 2], 0
+        for start, length, crc in sorted(own):
+            assert start == at and crc == zlib.crc32(np.array(ids[at : at + length], "<u4").tobytes())
+            at += length
+        assert at == len(ids)
+    assert all(sum(n for _, n in x) <= 4096 and [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] for x in used.values())
+
+
+def test_no_documents(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
