@@ -46,6 +46,8 @@ QUANTILE, MARGIN = 0.995, 1.15
 FOLDS, PRIOR = 5, 200
 #: Text whose 5-grams are held at once.
 PART_BYTES = 1_000_000
+#: Documents that are unpacked at once.
+DOCS = 256
 #: Log-perplexities are counted in steps of this size for the quantiles.
 STEP = 1e-4
 
@@ -218,22 +220,28 @@ def _scored(asked: DataFrame, packed: DataFrame, blocks: int) -> DataFrame:
                     order = np.argsort(codes)
                     codes, values = codes[order], np.concatenate([v for _, v in parts])[order] if parts else np.zeros(0)
                     parts, order = [], None
-                texts = [unzip.decompress(z) if z else b"" for z in own.column(7).to_pylist()]
-                for start, stop, data, offsets in flat.blocks(pa.array(texts, pa.binary()), PART_BYTES):
-                    found, bounds = grams(data, offsets)
-                    found = found | np.repeat(own.column(8).to_numpy()[start:stop].astype(np.int64) << CODE_BITS, np.diff(bounds))
-                    at = np.minimum(np.searchsorted(codes, found), max(0, len(codes) - 1))
-                    if len(found) and (len(codes) == 0 or not (codes[at] == found).all()):
-                        raise RuntimeError("a block's documents are not those that it was counted on")
-                    total = np.concatenate([[0.0], np.cumsum(values[at])]) if len(found) else np.zeros(1)
-                    part = own.slice(start, stop - start)
-                    yield pa.RecordBatch.from_arrays([part.column(4), part.column(5), part.column(6), pa.array(np.diff(bounds)), pa.array(np.diff(total[bounds]))], names=["id", "lang", "role", "n", "lp"])
-
-    none = lambda kind: F.lit(None).cast(kind)
-    left = asked.select("block", F.lit(False).alias("is_doc"), "code", "lp", none("long").alias("id"), none("string").alias("lang"), none("int").alias("role"), none("binary").alias("z"), none("int").alias("v"))
-    right = packed.select("block", F.lit(True), none("long"), none("double"), "id", "lang", "role", "z", "v")
+                for at in range(0, len(own), DOCS):
+                    yield from scored(unzip, own.column(4).slice(at, DOCS).flatten(), codes, values)
+
+    def scored(unzip, docs, codes, values):
+        ids, lang, role, packed, variant = docs
+        texts = pa.array([unzip.decompress(z) if z else b"" for z in packed.to_pylist()], pa.binary())
+        for start, stop, data, offsets in flat.blocks(texts, PART_BYTES):
+            found, bounds = grams(data, offsets)
+            found = found | np.repeat(variant.to_numpy()[start:stop].astype(np.int64) << CODE_BITS, np.diff(bounds))
+            at = np.minimum(np.searchsorted(codes, found), max(0, len(codes) - 1))
+            if len(found) and (len(codes) == 0 or not (codes[at] == found).all()):
+                raise RuntimeError("a block's documents are not those that it was counted on")
+            total = np.concatenate([[0.0], np.cumsum(values[at])]) if len(found) else np.zeros(1)
+            part = slice(start, stop)
+            yield pa.RecordBatch.from_arrays([ids[part], lang[part], role[part], pa.array(np.diff(bounds)), pa.array(np.diff(total[bounds]))], names=["id", "lang", "role", "n", "lp"])
+
+    # documents are one column, so that the many rows of 5-grams carry one null and not five
+    kind = "struct<id:bigint,lang:string,role:int,z:binary,v:int>"
+    left = asked.select("block", F.lit(False).alias("is_doc"), "code", "lp", F.lit(None).cast(kind).alias("doc"))
+    right = packed.select("block", F.lit(True), F.lit(None).cast("long"), F.lit(None).cast("double"), F.struct("id", "lang", "role", "z", "v").cast(kind))
     # with so many partitions few blocks meet in one task
-    rows = left.union(right).repartition(4 * max(1, blocks), "block").sortWithinPartitions("block", "is_doc")
+    rows = left.union(right).repartition(2 * max(1, blocks), "block").sortWithinPartitions("block", "is_doc")
     return rows.mapInArrow(run, "id long, lang string, role int, n long, lp double")
 
 
