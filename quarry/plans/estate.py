@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import scalars as S
 from quarry.operators import estate as O
+from quarry.operators import rollups as U
 from quarry.operators import search as Q
 from quarry.plans.models import _CLOSURE, _NODES, _edges
 from quarry.plans.registry import query
@@ -65,10 +66,10 @@ def company_domains(t):
     return hosts.groupBy(O.registrable(F.col("h")).alias("domain")).agg(F.count("*").alias("n"))
 
 
-@query(r"SELECT ip, count(DISTINCT doc_id) AS docs, count(*) AS n, min(doc_id) AS first FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')) AS ip FROM documents) GROUP BY 1")
+@query(r"""WITH a AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+')) AS ip FROM documents), p AS (SELECT *, list_transform(string_split(ip, '.'), lambda x: CASE WHEN length(x) <= 3 THEN CAST(x AS INT) ELSE 999 END) AS x FROM a)
+SELECT ip, count(DISTINCT doc_id) AS docs, count(*) AS n, min(doc_id) AS first FROM p WHERE list_max(x) <= 255 AND NOT (x[1] IN (0, 10, 127) OR x[1] >= 224 OR x[1] = 172 AND x[2] BETWEEN 16 AND 31 OR x[1] = 192 AND x[2] = 168 OR x[1] = 169 AND x[2] = 254) GROUP BY 1""")
 def public_ips(t):
-    found = t.documents.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"), 0)).alias("ip"))
-    return found.groupBy("ip").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    return U.public_ips(t.documents, "doc_id", "text")
 
 
 @query("WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS k FROM c) SELECT c_nationkey, CAST(sum(n) AS BIGINT) AS size, string_agg(c_mktsegment || ' (' || n || ')', ', ' ORDER BY k) FILTER (WHERE k <= 3) AS top FROM r GROUP BY 1")
@@ -76,10 +77,13 @@ def community_profile(t):
     return O.profile(t.customer, "c_nationkey", "c_mktsegment")
 
 
-@query("SELECT l_partkey, count(*) AS callers, count(DISTINCT l_orderkey) AS files FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> l_partkey % 25 GROUP BY 1")
+@query("SELECT CAST(l_partkey % 50 AS VARCHAR) AS class, 'p' || l_partkey AS member, count(DISTINCT l_suppkey) AS callers, count(DISTINCT l_orderkey) AS files FROM lineitem WHERE l_suppkey % 3 = 0 OR l_suppkey % 50 <> l_partkey % 50 GROUP BY 1, 2")
 def class_usage(t):
-    calls = t.lineitem.join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey").cast("long")).where("s_nationkey <> l_partkey % 25")
-    return calls.groupBy("l_partkey").agg(F.count("*").alias("callers"), F.countDistinct("l_orderkey").alias("files"))
+    """Parts are called by suppliers; every third supplier has no class."""
+    calls = t.lineitem.select(F.concat(F.lit("s"), "l_suppkey").alias("caller"), F.concat(F.lit("p"), "l_partkey").alias("callee"), F.col("l_orderkey").alias("file"))
+    parts = t.part.select(F.concat(F.lit("p"), "p_partkey").alias("member"), (F.col("p_partkey") % 50).cast("string").alias("class"))
+    owners = parts.union(t.supplier.where("s_suppkey % 3 <> 0").select(F.concat(F.lit("s"), "s_suppkey"), (F.col("s_suppkey") % 50).cast("string")))
+    return U.class_usage(calls, owners)
 
 
 @query("SELECT p_brand, count(*) AS items, count(l_partkey) AS reached, CAST(floor(100 * count(l_partkey) / count(*)) AS BIGINT) AS percent FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45 AND l_discount > 0.08) ON p_partkey = l_partkey GROUP BY 1")
@@ -88,20 +92,20 @@ def test_reach(t):
     return O.reach_share(t.part, hit, "p_brand", "p_partkey")
 
 
-@query("SELECT l_partkey, count(*) AS sites, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS flags, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS states FROM lineitem GROUP BY 1")
+@query("SELECT l_partkey, count(*) AS sites, list_sort(list(DISTINCT l_returnflag)) AS l_returnflag, list_sort(list(DISTINCT l_linestatus)) AS l_linestatus FROM lineitem GROUP BY 1")
 def db_sites(t):
-    names = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return t.lineitem.groupBy("l_partkey").agg(F.count("*").alias("sites"), names("l_returnflag").alias("flags"), names("l_linestatus").alias("states"))
+    return U.call_sites(t.lineitem, "l_partkey", "l_returnflag", "l_linestatus")
 
 
 @query("SELECT event_type, count(*) AS n FROM (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day, event_type FROM events) GROUP BY 1")
 def build_codes(t):
-    return t.events.select("user_id", F.to_date("ts").alias("day"), "event_type").dropDuplicates().groupBy("event_type").agg(F.count("*").alias("n"))
+    return U.diagnostics(t.events.withColumn("day", F.to_date("ts")), "event_type", "user_id", "day")
 
 
-@query("SELECT lang, count(*) AS n, arg_min(doc_id, struct_pack(a := -n_chars, b := doc_id)) AS worst FROM documents GROUP BY 1")
+@query("SELECT o_orderstatus, count(*) AS n, count(*) FILTER (p = '1-URGENT') AS \"n_1-URGENT\", count(*) FILTER (p = '2-HIGH') AS \"n_2-HIGH\", arg_min(t, (k, t)) AS worst, arg_min(p, (k, t)) AS worst_level FROM (SELECT o_orderstatus, o_orderpriority AS p, CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END AS k, 'order ' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS t FROM orders) GROUP BY 1")
 def review_axis(t):
-    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.min_by("doc_id", F.struct(-F.col("n_chars"), "doc_id")).alias("worst"))
+    rows = t.orders.withColumn("title", F.concat(F.lit("order "), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")))
+    return U.review_axes(rows, "o_orderstatus", "o_orderpriority", "title", ["1-URGENT", "2-HIGH"])
 
 
 @query("WITH r AS (SELECT p_partkey, p_type AS name, p_brand || '/' || p_size || '/' || p_type AS path FROM part), n AS (SELECT name, count(DISTINCT path) AS n, count(DISTINCT split_part(path, '/', 1)) AS a FROM r GROUP BY 1) SELECT p_partkey, CASE WHEN n = 1 THEN name WHEN a > 1 THEN name || ' (' || split_part(path, '/', 1) || ')' ELSE name || ' (' || split_part(path, '/', 2) || ')' END AS label FROM r JOIN n USING (name)")
@@ -209,9 +213,9 @@ def draft_decisions(t):
     return t.documents.join(t.labels, "doc_id", "left_anti").select("doc_id")
 
 
-@query("SELECT o_orderstatus, count(*) AS checks, min(o_orderkey) AS first FROM orders GROUP BY 1")
+@query("WITH c AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'passed' ELSE 'other' END AS bucket, o_custkey AS name FROM orders), d AS (SELECT bucket, name, row_number() OVER (PARTITION BY bucket ORDER BY name) AS k FROM (SELECT DISTINCT * FROM c)) SELECT bucket, (SELECT count(*) FROM c WHERE c.bucket = d.bucket) AS checks, list_sort(list(name)) AS names FROM d WHERE k <= 20 GROUP BY bucket")
 def check_summary(t):
-    return t.orders.groupBy("o_orderstatus").agg(F.count("*").alias("checks"), F.min("o_orderkey").alias("first"))
+    return U.check_buckets(t.orders, "o_custkey", "o_orderstatus", {"passed": ["o"], "failed": ["f"]})
 
 
 @query("SELECT item_id, doc_id, overlap, CAST(k AS INT) AS k FROM (SELECT item_id, doc_id, overlap, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, n, doc_id) AS k FROM (SELECT b.item_id, d.doc_id, count(*) AS overlap, any_value(n) AS n FROM (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 6))) AS w FROM benchmark) b JOIN (SELECT doc_id, length(text) AS n, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: length(x) > 6))) AS w FROM documents) d USING (w) GROUP BY 1, 2)) WHERE k <= 10")
