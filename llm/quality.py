@@ -10,7 +10,8 @@ texts; a trusted text is scored without the counts of its own fold. Everything a
 2. counts, continuation counts, discounts and back-off weights are aggregates
    of these, order by order, and joins with the asked 5-grams, from order 1 to 5,
    give each its probability;
-3. these go back to their blocks, where the block's documents (compressed
+3. these go back to their blocks, packed: each task makes one row for a block of all that
+   it has for it, codes as differences; there the block's documents (compressed
    texts) meet them and are summed up.
 
 Trusted texts fall into FOLDS folds, and all of them calibrate: a language's threshold is a
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm import flat
-from llm.store import BROADCAST_ROWS, stored, unused
+from llm.store import BROADCAST_ROWS, discard, stored, unused
 
 ORDER = 5
 #: Bits of a 5-gram; above them stand the asked variant and, in a block's counts, the fold.
@@ -46,8 +47,8 @@ QUANTILE, MARGIN = 0.995, 1.15
 FOLDS, PRIOR = 5, 200
 #: Text whose 5-grams are held at once.
 PART_BYTES = 1_000_000
-#: Documents that are unpacked at once.
-DOCS = 256
+#: 5-grams that a task gathers before it packs them by blocks.
+GATHER = 1_000_000
 #: Log-perplexities are counted in steps of this size for the quantiles.
 STEP = 1e-4
 
@@ -178,23 +179,68 @@ def probabilities(counted: DataFrame, variants: list[int]) -> DataFrame:
             own = F.when(F.col("v") == v, F.greatest(F.col(f"c{v}") - off(F.col(f"c{v}"), v), F.lit(0.0))).otherwise(own)
         # an n-gram that does not occur has no own share
         p = F.coalesce((F.coalesce(own, F.lit(0.0)) + pick("saved") * F.col("q")) / pick("all"), F.col("q"))
-        lower = stored(rows.select(F.col("g").alias("s"), "v", p.alias("q")), "probabilities")
+        lower, last = stored(rows.select(F.col("g").alias("s"), "v", p.alias("q")), "probabilities"), lower
+        discard(levels[k], *[] if last is None else [last])
+    discard(asked[ORDER])
     return lower.select(F.col("s").alias("code"), "v", F.log("q").alias("lp"))
 
 
 def _packed(tagged: DataFrame) -> DataFrame:
-    """(block, id, lang, role, v, z): the documents by the same blocks, with compressed texts."""
+    """(block, id, lang, role, v, size, z): the documents by the same blocks, those of PART_BYTES in one row with their texts compressed together."""
 
     def run(batches):
         zip_ = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for start, stop, data, offsets in flat.blocks(flat.column(batch, "text")):
-                raw = data.tobytes()
-                z = [zip_.compress(raw[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            for start, stop, data, offsets in flat.blocks(flat.column(batch, "text"), PART_BYTES):
                 own = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([own.column(5), own.column(0), own.column(1), own.column(3), own.column(4), pa.array(z, pa.binary())], names=["block", "id", "lang", "role", "v", "z"])
+                ends = pa.array([0, len(own)], pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, x) for x in (own.column(0), own.column(1), own.column(3), own.column(4), pa.array(np.diff(offsets)))]
+                z = pa.array([zip_.compress(data.tobytes())], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column(5).slice(0, 1), *lists, z], names=["block", "id", "lang", "role", "v", "size", "z"])
+
+    plain = tagged.select("id", "lang", "text", "role", "v", F.spark_partition_id())
+    return plain.mapInArrow(run, "block int, id array<long>, lang array<string>, role array<int>, v array<int>, size array<long>, z binary")
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of 64-bit values by their place: all lowest ones first."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(data: bytes, kind) -> np.ndarray:
+    """The values that ``_planes`` got."""
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+
+
+def _by_block(asked: DataFrame) -> DataFrame:
+    """(block, codes, lps): the rows (block, code, lp) of each task, packed into one row for each block and GATHER of them."""
+
+    def run(batches):
+        zip_ = zstandard.ZstdCompressor(level=3)
+        held, waiting = [], 0
+
+        def handed():
+            block, code, lp = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            order = np.lexsort((code, block))
+            block, code, lp = block[order], code[order], lp[order]
+            cuts = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]])
+            parts = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            codes = [zip_.compress(_planes(np.diff(code[x], prepend=0))) for x in parts]
+            lps = [zip_.compress(_planes(lp[x])) for x in parts]
+            return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array(codes, pa.binary()), pa.array(lps, pa.binary())], names=["block", "codes", "lps"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([c.to_numpy().copy() for c in batch.columns])  # the batch can go
+                waiting += batch.num_rows
+            if waiting >= GATHER:
+                yield handed()
+                waiting = 0
+        if held:
+            yield handed()
 
-    return tagged.select("id", "lang", "text", "role", "v", F.spark_partition_id()).mapInArrow(run, "block int, id long, lang string, role int, v int, z binary")
+    return asked.select("block", "code", "lp").mapInArrow(run, "block int, codes binary, lps binary")
 
 
 def _scored(asked: DataFrame, packed: DataFrame, blocks: int) -> DataFrame:
@@ -213,33 +259,32 @@ def _scored(asked: DataFrame, packed: DataFrame, blocks: int) -> DataFrame:
                     now, parts, codes, values = block[a], [], None, None
                 own = batch.slice(a, b - a)
                 if not is_doc[a]:
-                    parts.append((own.column(2).to_numpy().copy(), own.column(3).to_numpy().copy()))  # the batch can go
+                    for c, lp in zip(own.column(2), own.column(3), strict=True):
+                        parts.append((np.cumsum(_unplaned(unzip.decompress(c.as_buffer()), np.int64)), _unplaned(unzip.decompress(lp.as_buffer()), np.float64)))
                     continue
                 if codes is None:
                     codes = np.concatenate([c for c, _ in parts]) if parts else np.zeros(0, np.int64)
-                    order = np.argsort(codes)
+                    order = np.argsort(codes, kind="stable")
                     codes, values = codes[order], np.concatenate([v for _, v in parts])[order] if parts else np.zeros(0)
                     parts, order = [], None
-                for at in range(0, len(own), DOCS):
-                    yield from scored(unzip, own.column(4).slice(at, DOCS).flatten(), codes, values)
+                lists = own.column(4).flatten()
+                for at in range(len(own)):
+                    yield scored(unzip, [x[at] for x in lists], codes, values)
 
     def scored(unzip, docs, codes, values):
-        ids, lang, role, packed, variant = docs
-        texts = pa.array([unzip.decompress(z) if z else b"" for z in packed.to_pylist()], pa.binary())
-        for start, stop, data, offsets in flat.blocks(texts, PART_BYTES):
-            found, bounds = grams(data, offsets)
-            found = found | np.repeat(variant.to_numpy()[start:stop].astype(np.int64) << CODE_BITS, np.diff(bounds))
-            at = np.minimum(np.searchsorted(codes, found), max(0, len(codes) - 1))
-            if len(found) and (len(codes) == 0 or not (codes[at] == found).all()):
-                raise RuntimeError("a block's documents are not those that it was counted on")
-            total = np.concatenate([[0.0], np.cumsum(values[at])]) if len(found) else np.zeros(1)
-            part = slice(start, stop)
-            yield pa.RecordBatch.from_arrays([ids[part], lang[part], role[part], pa.array(np.diff(bounds)), pa.array(np.diff(total[bounds]))], names=["id", "lang", "role", "n", "lp"])
-
-    # documents are one column, so that the many rows of 5-grams carry one null and not five
-    kind = "struct<id:bigint,lang:string,role:int,z:binary,v:int>"
-    left = asked.select("block", F.lit(False).alias("is_doc"), "code", "lp", F.lit(None).cast(kind).alias("doc"))
-    right = packed.select("block", F.lit(True), F.lit(None).cast("long"), F.lit(None).cast("double"), F.struct("id", "lang", "role", "z", "v").cast(kind))
+        ids, lang, role, variant, size = (x.values for x in docs[:-1])
+        raw, offsets = unzip.decompress(docs[-1].as_buffer()), np.append(0, np.cumsum(size.to_numpy()))
+        found, bounds = grams(np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8), offsets)
+        found = found | np.repeat(variant.to_numpy().astype(np.int64) << CODE_BITS, np.diff(bounds))
+        at = np.minimum(np.searchsorted(codes, found), max(0, len(codes) - 1))
+        if len(found) and (len(codes) == 0 or not (codes[at] == found).all()):
+            raise RuntimeError("a block's documents are not those that it was counted on")
+        total = np.concatenate([[0.0], np.cumsum(values[at])]) if len(found) else np.zeros(1)
+        return pa.RecordBatch.from_arrays([ids, lang, role, pa.array(np.diff(bounds)), pa.array(np.diff(total[bounds]))], names=["id", "lang", "role", "n", "lp"])
+
+    kind = "struct<id:array<bigint>,lang:array<string>,role:array<int>,v:array<int>,size:array<bigint>,z:binary>"
+    left = _by_block(asked).select("block", F.lit(False).alias("is_doc"), "codes", "lps", F.lit(None).cast(kind).alias("doc"))
+    right = packed.select("block", F.lit(True), F.lit(None).cast("binary"), F.lit(None).cast("binary"), F.struct("id", "lang", "role", "v", "size", "z").cast(kind))
     # with so many partitions few blocks meet in one task
     rows = left.union(right).repartition(2 * max(1, blocks), "block").sortWithinPartitions("block", "is_doc")
     return rows.mapInArrow(run, "id long, lang string, role int, n long, lp double")

@@ -4,6 +4,7 @@ import time
 
 import numpy as np
 import pytest
+import zstandard
 
 from llm import html, langid, quality, sharding
 
@@ -83,6 +84,21 @@ def kneser_ney(trusted, asked):
     return [(len(codes(t)), sum(np.log(p(g)) for g in codes(t))) for t in asked]
 
 
+def test_values_go_back_to_their_blocks_packed(spark, monkeypatch):
+    """One row for each block and task, from which the codes and the very same doubles are read."""
+    draw = np.random.default_rng(3)
+    rows = [(int(b), int(c), float(x)) for b, c, x in zip(draw.integers(0, 3, 900), draw.permutation(1 << 20)[:900] << 23, -draw.random(900), strict=True)]
+    asked = spark.createDataFrame(rows, "block int, code long, lp double").repartition(2)
+    packed = quality._by_block(asked).collect()
+    assert len(packed) <= 2 * 3
+    monkeypatch.setattr(quality, "GATHER", 100)
+    for got in (packed, quality._by_block(asked).collect()):
+        unzip = zstandard.ZstdDecompressor()
+        back = [(r["block"], int(c), float(x)) for r in got for c, x in zip(np.cumsum(quality._unplaned(unzip.decompress(r["codes"]), np.int64)), quality._unplaned(unzip.decompress(r["lps"]), np.float64), strict=True)]
+        assert sorted(back) == sorted(rows)
+    assert quality._by_block(asked.limit(0)).count() == 0
+
+
 def test_perplexities_match_a_plain_model(spark, docs_of):
     rng = random.Random(3)
     rows = [(i, " ".join(rng.choices(EN.split(), k=rng.randint(1, 25))), "en") for i in range(30)] + [(50, "the the the cat", "en"), (51, "*** $$$ é", "fr"), (52, "", "en"), (53, None, None), (54, "cat " * 4000, "en")]
