@@ -50,6 +50,13 @@ def test_against_a_plain_computation(spark, docs_of, percent):
     assert [t for _, t in got.dtypes] == ["bigint"] * 5
 
 
+def test_buckets_of_many_copies_are_as_many_rows_as_of_one(spark, docs_of):
+    """Rows of counts grow with tasks and buckets, never with a group's size."""
+    one, many = (resample.collapsed(docs_of([(i, "a b c d e") for i in range(n)])) for n in (1, 3000))
+    rows = [sorted(map(tuple, resample.bucket_counts(x, 3, 10_000).collect())) for x in (one, many)]
+    assert len(rows[0]) == len(rows[1]) == 12 and rows[1] == [(b, 3000 * n) for b, n in rows[0]]
+
+
 def test_empty_sides(spark, docs_of):
     some = [(i, t) for i, t in enumerate(texts(30))]
     assert resample.resample(docs_of([]), docs_of(some)).collect() == []
