@@ -5,7 +5,7 @@ symbol, and a text starts with four START symbols and ends with END. An
 interpolated modified Kneser-Ney model of order 5 is counted on all trusted
 texts; a trusted text is scored without the counts of its own fold. Everything about it stays in tables sharded by n-gram:
 
-1. one pass emits, for each block of documents (a partition of the scan), its
+1. one pass emits, for each block of documents (one or a few partitions of the scan), its
    distinct 5-grams and how often each occurs in trusted texts;
 2. counts, continuation counts, discounts and back-off weights are aggregates
    of these, order by order, and joins with the asked 5-grams, from order 1 to 5,
@@ -49,6 +49,8 @@ FOLDS, PRIOR = 5, 200
 PART_BYTES = 1_000_000
 #: 5-grams that a task gathers before it packs them by blocks.
 GATHER = 1_000_000
+#: Partitions of the scan that make one block, where that leaves TASKS blocks for each core: the fewer the blocks, the fewer 5-grams are repeated in several.
+JOINED, TASKS = 4, 2
 #: Log-perplexities are counted in steps of this size for the quantiles.
 STEP = 1e-4
 
@@ -285,11 +287,15 @@ def _scored(asked: DataFrame, packed: DataFrame, blocks: int) -> DataFrame:
     kind = "struct<id:array<bigint>,lang:array<string>,role:array<int>,v:array<int>,size:array<bigint>,z:binary>"
     left = _by_block(asked).select("block", F.lit(False).alias("is_doc"), "codes", "lps", F.lit(None).cast(kind).alias("doc"))
     right = packed.select("block", F.lit(True), F.lit(None).cast("binary"), F.lit(None).cast("binary"), F.struct("id", "lang", "role", "v", "size", "z").cast(kind))
-    # with so many partitions few blocks meet in one task
-    rows = left.union(right).repartition(2 * max(1, blocks), "block").sortWithinPartitions("block", "is_doc")
+    rows = left.union(right).repartitionById(max(1, blocks), "block").sortWithinPartitions("block", "is_doc")  # a task for each block
     return rows.mapInArrow(run, "id long, lang string, role int, n long, lp double")
 
 
+def _joined(partitions: int, cores: int) -> int:
+    """How many blocks so many partitions of the scan make."""
+    return -(-partitions // max(1, min(JOINED, partitions // (TASKS * cores))))
+
+
 def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rotate: bool = False, by_row: bool = False) -> DataFrame:
     """(id, lang, role, n, lp) of each row; ``trusted`` has the ids (id_col) of trusted texts.
 
@@ -304,7 +310,8 @@ def perplexities(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", te
     variant = F.coalesce(fold, F.lit(FOLDS)) if rotate else F.lit(0)
     tagged = plain.join(F.broadcast(ids) if few else ids, "id", "left").select(row_key("id", "lang", "text").alias("id") if by_row else "id", "lang", "text", role.alias("role"), F.coalesce(fold, F.lit(-1)).alias("fold"), variant.alias("v"))
     if not few or "Exchange" in plain._jdf.queryExecution().sparkPlan().toString():
-        tagged = stored(tagged, "tagged")  # so that both passes below see the same partitions
+        plain = tagged = stored(tagged, "tagged")  # so that both passes below see the same partitions
+    tagged = tagged.coalesce(_joined(plain.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism))
     counted = stored(_counted(tagged), "grams")
     asked = counted.select("block", "code", "v").join(probabilities(counted, list(range(FOLDS + 1)) if rotate else [0]), ["code", "v"])
     asked = asked.select("block", F.col("code").bitwiseOR(F.shiftleft(F.col("v").cast("long"), CODE_BITS)).alias("code"), "lp")

@@ -111,6 +111,19 @@ def test_perplexities_match_a_plain_model(spark, docs_of):
         assert got[i]["n"] == n and got[i]["lp"] == pytest.approx(lp, rel=1e-9, abs=1e-9)
 
 
+def test_several_partitions_make_one_block(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(EN.split(), k=20)), "en") for i in range(128)]
+    trusted = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    blocks, scored, got = [], quality._scored, []
+    monkeypatch.setattr(quality, "_scored", lambda asked, packed, n: (blocks.append(n), scored(asked, packed, n))[1])
+    for slices in (64, 1):
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, slices), "doc_id long, text string, lang string")
+        got.append({r["id"]: (r["n"], r["lp"]) for r in quality.perplexities(docs, trusted, rotate=True).collect()})
+    assert blocks == [64 // quality.JOINED, 1]  # on four cores
+    assert got[0].keys() == got[1].keys() and all(got[0][i] == pytest.approx(got[1][i], rel=1e-9) for i in got[0])
+
+
 def test_every_trusted_text_is_counted_and_calibrates(spark, docs_of):
     import zlib
 
