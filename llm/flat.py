@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Text bytes handled at once. A longer single document is a block of its own.
-BLOCK_BYTES = 2_000_000
+#: Text bytes handled at once, for each of which a worker holds some hundred bytes. A longer single document is a block of its own.
+BLOCK_BYTES = 500_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -66,15 +66,15 @@ def _letter_vectors(letters: np.ndarray) -> np.ndarray:
     return bits.astype(np.int8) * 2 - 1
 
 
-#: Counts of rows and trigrams that are held at once (8 bytes each, and 4 more for the product).
-COUNTS = 3_000_000
+#: Counts of rows and trigrams that are held at once (8 bytes each, and 4 more for the product), and trigrams whose vectors are (4 bytes for each dimension).
+COUNTS, TRIGRAMS = 3_000_000, 4096
 
 
 class Vectors:
-    """Vectors of trigrams; the most recent blocks' are kept."""
+    """Vectors of trigrams; the most recent blocks' are kept, in one array that never moves."""
 
     def __init__(self):
-        self.codes, self.rows = np.zeros(0, np.uint64), np.zeros((0, DIM), np.int8)
+        self.codes, self.slots, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.empty((CACHE, DIM), np.int8)
 
     def of(self, codes: np.ndarray) -> np.ndarray:
         """``codes`` ascending and distinct."""
@@ -90,14 +90,17 @@ class Vectors:
             made = np.roll(v, 2, axis=1)[a] * np.roll(v, 1, axis=1)[b] * v[c]
             if len(self.codes) + len(new) > CACHE:
                 out = np.empty((len(codes), DIM), np.int8)
-                out[known], out[~known] = self.rows[at[known]], made
+                out[known], out[~known] = self.rows[self.slots[at[known]]], made
                 if len(codes) <= CACHE:
-                    self.codes, self.rows = codes, out
+                    self.codes, self.slots = codes, np.arange(len(codes))
+                    self.rows[: len(codes)] = out
                 return out
-            self.rows = np.insert(self.rows, at[~known], made, axis=0)
+            first = len(self.codes)
+            self.rows[first : first + len(new)] = made
+            self.slots = np.insert(self.slots, at[~known], np.arange(first, first + len(new)))
             self.codes = np.insert(self.codes, at[~known], new)
             at = np.searchsorted(self.codes, codes)
-        return self.rows[at]
+        return self.rows[self.slots[at]]
 
 
 def profiles(data: np.ndarray, offsets: np.ndarray, vectors: Vectors, group: np.ndarray | None = None, groups: int = 0) -> np.ndarray:
@@ -110,10 +113,10 @@ def profiles(data: np.ndarray, offsets: np.ndarray, vectors: Vectors, group: np.
     if group is not None:
         row = group[row]
     distinct, back = np.unique(codes, return_inverse=True)
-    step = max(1, COUNTS // max(1, n))  # trigrams whose counts are held at once
+    step = min(TRIGRAMS, max(1, COUNTS // max(1, n)))  # trigrams whose counts are held at once
     order = None
-    for first in range(0, len(distinct), min(step, 8192)):
-        last = min(first + min(step, 8192), len(distinct))
+    for first in range(0, len(distinct), step):
+        last = min(first + step, len(distinct))
         if last - first < len(distinct):
             order = np.flatnonzero((back >= first) & (back < last))
             r, k = row[order], back[order] - first

@@ -27,6 +27,27 @@ def test_languages_are_learned_and_held_out_texts_are_found(docs_of):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {r[0] for r in rows} | {203, 204, None}
 
 
+def test_profiles_hold_little_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from llm import flat
+
+    rng = random.Random(9)
+    letters = [chr(c) for c in (*range(97, 123), *range(0x3B1, 0x3C9))]
+    texts = pa.array([" ".join("".join(rng.choices(letters, k=6)) for _ in range(400)) for _ in range(1000)])
+    tracemalloc.start()
+    vectors, found = langid.Vectors(), []
+    for _, _, data, offsets in flat.blocks(texts):
+        found.append(langid.profiles(data, offsets, vectors))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100_000_000
+    _, _, data, offsets = next(flat.blocks(texts.slice(990)))  # some of the vectors are kept ones, some new
+    assert (np.concatenate(found)[990:] == langid.profiles(data, offsets, langid.Vectors())).all()
+
+
 def test_language_id_without_anything_to_learn(docs_of):
     assert langid.language_id(docs_of([])).count() == 0
     assert [r["lang_pred"] for r in langid.language_id(docs_of([(1, "abc", None)])).collect()] == ["und"]
