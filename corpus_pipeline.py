@@ -1,4 +1,7 @@
-"""A corpus pipeline of four stages, each over all that the one before it kept."""
+"""A corpus pipeline of four stages, each over all that the one before it kept.
+
+Each stage sets the session's limit of bytes in an Arrow batch (``small_batches``), and leaves it set, since the last result is computed after it returns.
+"""
 
 from __future__ import annotations
 
@@ -9,26 +12,30 @@ from llm.langid import identified
 from llm.minhash import dedup
 from llm.packing import pack
 from llm.quality import accepted, trusted_ids
-from llm.store import stored
+from llm.store import small_batches, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have a language; those without a letter go."""
+    small_batches(spark)
     return identified(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose perplexity is within their language's threshold."""
+    small_batches(spark)
     return accepted(docs, trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates (five words, 0.8)."""
+    small_batches(spark)
     return dedup(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of at most 4096 tokens."""
+    small_batches(spark)
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2)
 
 

@@ -4,10 +4,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from llm import quality, queries
+from llm import quality, queries, store
 
 DATA = "/root/testdata/sf0.001"
 
@@ -77,6 +79,28 @@ def test_rows_against_plain_stages(spark, tmp_path):
     assert all(sum(n for _, n in x) <= 4096 and [o for o, _ in sorted(x)] == [sum(n for _, n in sorted(x)[:k]) for k in range(len(x))] for x in used.values())
 
 
+def test_stages_hand_text_to_python_in_small_batches(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abc "), 1000).alias("text"), F.lit("en").alias("lang"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["rows", "bytes"])
+
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(key)
+            stage(spark, docs.where("doc_id < 20"), str(tmp_path))
+            found = docs.mapInArrow(sizes, "rows long, bytes long").agg(F.sum("rows"), F.max("bytes")).first()
+            assert found[0] == 3000 and found[1] <= store.BATCH_BYTES + 5000
+        spark.conf.set(key, "1m")
+        store.small_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
