@@ -80,7 +80,7 @@ def test_rows_against_plain_stages(spark, tmp_path):
 
 
 def test_stages_hand_text_to_python_in_small_batches(spark, tmp_path):
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    key, rows_key = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
     spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abc "), 1000).alias("text"), F.lit("en").alias("lang"))
 
@@ -94,11 +94,12 @@ def test_stages_hand_text_to_python_in_small_batches(spark, tmp_path):
             stage(spark, docs.where("doc_id < 20"), str(tmp_path))
             found = docs.mapInArrow(sizes, "rows long, bytes long").agg(F.sum("rows"), F.max("bytes")).first()
             assert found[0] == 3000 and found[1] <= store.BATCH_BYTES + 5000
-        spark.conf.set(key, "1m")
+        spark.conf.set(key, "500k")
         store.small_batches(spark)
-        assert spark.conf.get(key) == "1m"
+        assert spark.conf.get(key) == "500k" and spark.conf.get(rows_key) == str(store.READ_ROWS)
     finally:
         spark.conf.unset(key)
+        spark.conf.unset(rows_key)
 
 
 def test_no_documents(spark, tmp_path):
