@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.codesql import _CONTROL, calls, code_tokens
+from quarry.operators.codesql import _CONTROL, code_tokens
 from quarry.operators.graph import LEVELS, reach
 from quarry.session import Rounds, written
 
@@ -22,13 +22,25 @@ _HANDLES = r"^(Handle|Consume)(Async)?$"
 _FILTERED = r"^On(Action|Result|Exception|ResourceExecut|Authoriz)"
 
 
-def _around(tokens: DataFrame, back: int = 5, ahead: int = 10) -> DataFrame:
-    """The tokens with b1, b2, ... before and a1, a2, ... after, and s1, s2, ... for those after that are strings."""
+def _around(tokens: DataFrame, back: int = 5, ahead: int = 9) -> DataFrame:
+    """The tokens with b1, b2, ... before and a1, a2, ... after, and s1, s2, ... for those after that are strings; brace and semicolon are the next ones at the same bracket level,
+    ``declares`` is the declaration of a type that begins at the token, ``of`` the one in whose header it is. All windows follow ``path``, so tokens are dealt once.
+    Names, strings, ends of lists, square brackets and headers are kept; of other tokens only what their neighbours know of them.
+    """
     here = Window.partitionBy("path").orderBy("pos")
-    return tokens.select(
+    rows = tokens.select(
         "*", *[F.lag("value", k).over(here).alias(f"b{k}") for k in range(1, back + 1)], *[F.lead("value", k).over(here).alias(f"a{k}") for k in range(1, ahead + 1)],
         *[(F.lead("kind", k).over(here) == "str").alias(f"s{k}") for k in (2, 4, 7)], F.lag("kind").over(here).alias("b1_kind"), F.lead("kind").over(here).alias("a1_kind"), F.lead("match").over(here).alias("a1_match"), F.lead("pos").over(here).alias("a1_pos"),
     )
+    back_to = Window.partitionBy("path", "block").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)  # from the end, as a frame up to the end is read anew for each row
+    next_ = lambda mark, what: F.last(F.when(F.col("value") == mark, what), ignorenulls=True).over(back_to)
+    rows = rows.select("*", next_("{", F.struct(F.col("pos").alias("begin"), F.col("match").alias("end"))).alias("brace"), next_(";", F.col("pos")).alias("semicolon"))
+    starts = (F.col("kind") == "id") & F.col("value").isin("class", "interface", "struct", "record") & (F.col("a1_kind") == "id") & ~F.coalesce(F.col("b1").isin(":", ","), F.lit(False))
+    abstract = reduce(lambda x, y: x | y, [F.col(f"b{k}").eqNullSafe("abstract") for k in (1, 2, 3)])
+    rows = rows.withColumn("declares", F.when(starts, F.struct("pos", F.col("a1").alias("type"), F.col("value").alias("kind"), abstract.alias("abstract"), F.col("brace.begin").alias("begin"), F.col("brace.end").alias("end"))))
+    of = F.last("declares", ignorenulls=True).over(Window.partitionBy("path", "block").orderBy("pos"))
+    rows = rows.withColumn("of", of).withColumn("of", F.when(F.col("pos") < F.col("of.begin"), F.struct("of.pos", "of.type")))
+    return rows.where(F.col("kind").isin("id", "str") | F.col("value").isin(")", "[", "]") | F.col("of").isNotNull())
 
 
 def _is(*pattern: str | None) -> Column:
@@ -40,10 +52,9 @@ class Symbols:
     """Tables of what C# sources declare; each is written once, as several edges read it."""
 
     def __init__(self, sources: DataFrame, path: str, text: str):
-        self.tokens = written(code_tokens(sources, path, text))
-        self.near = written(_around(self.tokens))
-        self.args = written(calls(self.tokens))
+        self.near = written(_around(code_tokens(sources, path, text)))
         self.types, self.bases = map(written, self._types())
+        self.up = supertypes(self.bases)
         self.members = written(self._members())
         self.owned = written(self._owned())
         self.vars = written(self._vars())
@@ -51,14 +62,8 @@ class Symbols:
 
     def _types(self) -> tuple[DataFrame, DataFrame]:
         """(path, pos, type, kind, abstract, begin, end) and (type, base, arg); arg is the first argument of a generic base."""
-        level = Window.partitionBy("path", "block").orderBy("pos")
-        after = level.rowsBetween(1, Window.unboundedFollowing)
-        rows = self.near.withColumn("begin", F.min(F.when(F.col("value") == "{", F.col("pos"))).over(after)).withColumn("end", F.min_by("match", F.when(F.col("value") == "{", F.col("pos"))).over(after))
-        head = (F.col("kind") == "id") & F.col("value").isin("class", "interface", "struct", "record") & (F.col("a1_kind") == "id") & ~F.coalesce(F.col("b1").isin(":", ","), F.lit(False))
-        abstract = reduce(lambda x, y: x | y, [F.col(f"b{k}").eqNullSafe("abstract") for k in (1, 2, 3)])
-        rows = rows.withColumn("head", F.when(head, F.struct("pos", F.col("a1").alias("type"), F.col("value").alias("kind"), abstract.alias("abstract"), "begin", "end")))
-        types = rows.where("head IS NOT NULL").select("path", "head.*")
-        rows = rows.withColumn("of", F.last("head", ignorenulls=True).over(level)).where(F.col("pos") < F.col("of.begin"))
+        types = self.near.where("declares IS NOT NULL").select("path", "declares.*")
+        rows = self.near.where("of IS NOT NULL")
         header = Window.partitionBy("path", "block", "of.pos").orderBy("pos")
         count = lambda v: F.count_if(F.col("value") == v).over(header)
         rows = rows.select("*", (count("<") - count(">")).alias("angle"), count(":").alias("colons"), count("where").alias("wheres"))
@@ -67,10 +72,8 @@ class Symbols:
 
     def _members(self) -> DataFrame:
         """(path, pos, type, member, list, begin, end, open, params): begin and end are the places around a body, open says that it may be overridden, params are the types."""
-        level = Window.partitionBy("path", "block").orderBy("pos")
-        rows = self.near.withColumn("semicolon", F.min(F.when(F.col("value") == ";", F.col("pos"))).over(level.rowsBetween(1, Window.unboundedFollowing)))
         typed = (F.col("b1_kind") == "id") & ~F.col("b1").isin("new", "return", "await", "throw") | F.col("b1").isin(">", "]", "?")
-        heads = rows.where((F.col("kind") == "id") & (F.col("a1") == "(") & typed & ~F.col("value").isin(_CONTROL))
+        heads = self.near.where((F.col("kind") == "id") & (F.col("a1") == "(") & typed & ~F.col("value").isin(_CONTROL))
         stops = lambda k: F.col(f"b{k}").isin(";", "}", "{", "]")
         said = lambda word: reduce(lambda x, y: x | y, [F.col(f"b{k}").eqNullSafe(word) & ~reduce(lambda p, q: p | q, [F.coalesce(stops(j), F.lit(False)) for j in range(1, k)], F.lit(False)) for k in range(1, 6)])
         heads = heads.select("path", "pos", "block", F.col("value").alias("member"), F.col("a1_pos").alias("list"), F.col("a1_match").alias("close"), "semicolon", (said("abstract") | said("virtual")).alias("open"), said("override").alias("override"))
@@ -84,10 +87,18 @@ class Symbols:
     def _owned(self) -> DataFrame:
         """(type, member, owner): the members that a type has itself or from the nearest type above it."""
         own = self.members.select("type", "member").distinct()
-        up = supertypes(self.bases)
-        every = own.select("type", "member", F.col("type").alias("owner"), F.lit(0).alias("depth")).unionByName(up.join(own.withColumnRenamed("type", "super"), "super").select("type", "member", F.col("super").alias("owner"), "depth"))
+        every = own.select("type", "member", F.col("type").alias("owner"), F.lit(0).alias("depth")).unionByName(self.up.join(own.withColumnRenamed("type", "super"), "super").select("type", "member", F.col("super").alias("owner"), "depth"))
         return every.groupBy("type", "member").agg(F.min(F.struct("depth", "owner"))["owner"].alias("owner"))
 
+    def given(self) -> DataFrame:
+        """(path, pos, given): the names that are whole arguments of calls, at the places of the calls."""
+        ends = F.col("a1").isNull() | ((F.col("a1_kind") == "op") & F.col("a1").isin(",", ")", "]", "}"))
+        names = self.near.where((F.col("kind") == "id") & (F.col("block") >= 0) & (F.col("b1_kind") == "op") & F.col("b1").isin("(", ",") & ends).select("path", F.col("block").alias("list"), F.col("value").alias("given"))
+        typed = (F.col("b1_kind") == "id") & ~F.col("b1").isin("new", "return", "await", "throw", "else", "in", "is", "as") | F.col("b1").isin(">", "]", "?")
+        sites = self.near.where((F.col("kind") == "id") & (F.col("a1") == "(") & ~F.col("value").isin(_CONTROL)).select("path", "pos", F.col("a1_pos").alias("list"), F.when(typed, F.col("a1_match")).alias("close"))
+        bodies = self.near.where("value = ')' AND a1 = '{'").select("path", F.col("pos").alias("close"))  # with a body after it, it is a declaration
+        return sites.join(names, ["path", "list"]).join(bodies, ["path", "close"], "left_anti").select("path", "pos", "given")
+
     def inside(self, rows: DataFrame) -> DataFrame:
         """The rows (path, pos, ...) with the type and member whose body they are in."""
         heads = self.members.where("begin IS NOT NULL").select("path", F.col("begin").alias("pos"), F.struct("type", "member", "begin", "end", F.col("pos").alias("head")).alias("body"), F.lit(0).alias("order"))
@@ -139,9 +150,10 @@ def supertypes(bases: DataFrame) -> DataFrame:
     return reach(edges, edges.select(F.col("src").alias("seed"))).select(F.col("seed").alias("type"), F.col("node").alias("super"), "depth").where("type <> super")
 
 
-def implementers(bases: DataFrame, concrete: DataFrame) -> DataFrame:
-    """(type, implementer): the types of ``concrete`` (type) below each type, at any depth."""
-    return supertypes(bases).join(concrete.select("type").distinct(), "type", "left_semi").select(F.col("super").alias("type"), F.col("type").alias("implementer")).distinct()
+def implementers(bases: DataFrame, concrete: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(type, implementer): the types of ``concrete`` (type) below each type, at any depth. ``up`` are the supertypes of ``bases`` where they are known."""
+    up = supertypes(bases) if up is None else up
+    return up.join(concrete.select("type").distinct(), "type", "left_semi").select(F.col("super").alias("type"), F.col("type").alias("implementer")).distinct()
 
 
 def registrations(near: DataFrame) -> DataFrame:
@@ -178,12 +190,12 @@ def resolve(sources: DataFrame, path: str, text: str, most: int = 6) -> DataFram
     declared = members.toDF("service", "member")
     implemented = owned.toDF("impl", "member", "owner")
     add(regs.where("key IS NULL").join(declared, "service").join(implemented, ["impl", "member"]), at("service", "member"), at("owner", "member"), "E1")
-    below = implementers(s.bases, kinds.where("NOT abstract")).toDF("service", "impl")
+    below = implementers(s.bases, kinds.where("NOT abstract"), s.up).toDF("service", "impl")
     loose = below.join(regs, "service", "left_anti").join(s.types.where("kind = 'interface'").select(F.col("type").alias("service")).distinct(), "service", "left_semi")
     few = loose.groupBy("service").agg(F.count("*").alias("n")).where((F.col("n") >= 2) & (F.col("n") <= most)).select("service")
     add(loose.join(few, "service").join(declared, "service").join(implemented, ["impl", "member"]), at("service", "member"), at("owner", "member"), "E2")
     base = s.members.where("open").select(F.col("type").alias("super"), "member").distinct()
-    add(supertypes(s.bases).join(base, "super").join(s.members.where("override").select("type", "member").distinct(), ["type", "member"]), at("super", "member"), at("type", "member"), "E3")
+    add(s.up.join(base, "super").join(s.members.where("override").select("type", "member").distinct(), ["type", "member"]), at("super", "member"), at("type", "member"), "E3")
     lists = s.members.select("path", F.col("list").alias("block"), "type").distinct()
     keyed = near.where((F.col("value") == "FromKeyedServices") & _is("(", None, ")", "]") & F.col("s2"))
     outer = near.where("value = '['").select("path", F.col("pos").alias("bracket"), F.col("block").alias("list"))
@@ -204,7 +216,7 @@ def resolve(sources: DataFrame, path: str, text: str, most: int = 6) -> DataFram
     subscribed = subscribed.join(owned.toDF("type", "handler", "owner"), ["type", "handler"]).select("raiser", "event", "owner", "handler")
     raised = s.sites.select(F.col("type").alias("raiser"), "member", F.when(F.col("callee") == "Invoke", F.col("receiver")).when(F.col("receiver").isNull(), F.col("callee")).alias("event"))
     add(raised.join(events, ["raiser", "event"]).join(subscribed, ["raiser", "event"]), at("raiser", "member"), at("owner", "handler"), "E7")
-    named = s.inside(s.args.where("form = 'name'").select("path", "pos", F.col("value").alias("given")))
+    named = s.inside(s.given())
     shadowed = s.vars.select("path", "head", F.col("name").alias("given")).where("head IS NOT NULL").distinct()
     add(named.join(shadowed, ["path", "head", "given"], "left_anti").join(owned.toDF("type", "given", "owner"), ["type", "given"]), at("type", "member"), at("owner", "given"), "E8")
     job = F.when(F.col("value").isin("Enqueue", "Schedule", "AddOrUpdate") & _is("<", None, ">", "(", None, "=>", None, "."), F.struct(F.col("a2").alias("on"), F.col("a9").alias("run"))).when((F.col("value") == "Create") & (F.col("b2") == "JobBuilder") & _is("<"), F.struct(F.col("a2").alias("on"), F.lit("Execute").alias("run")))

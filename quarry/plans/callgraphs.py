@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from quarry.operators import callgraph as G
 from quarry.plans.models import _CLOSURE, _edges
 from quarry.plans.registry import query
+from quarry.session import spread
 
+#: Sources that one task writes and cuts into tokens.
+SOURCES = 250
 #: A source for each supplier; § is its key. Every kind of edge has a case that makes it and one that does not.
 CODE = r"""
 interface IStore§ { void Save(int a); int Load(); }
@@ -72,7 +75,8 @@ _RESOLVED = f"SELECT replace(caller, '§', CAST(s_suppkey AS VARCHAR)) AS caller
 
 
 def _sources(t):
-    return t.supplier.select(F.col("s_suppkey").cast("string").alias("path"), F.replace(F.lit(CODE), F.lit("§"), F.col("s_suppkey").cast("string")).alias("code"))
+    rows = spread(t.supplier.select(F.col("s_suppkey").cast("string").alias("path")), SOURCES, "path")
+    return rows.select("path", F.replace(F.lit(CODE), F.lit("§"), F.col("path")).alias("code"))
 
 
 @query(_RESOLVED)

@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """The rows dealt (by ``keys``) over one task for each ``rows`` of them: for narrow rows whose every one makes much work, as a small file is read by one task."""
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
 def shared_path(spark: SparkSession) -> str:
     """A new path in the folder that the cluster shares."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
