@@ -8,7 +8,10 @@ from quarry.functions import lexers
 from quarry.operators import codesql as C
 from quarry.operators import sqltext as X
 from quarry.plans.registry import query
+from quarry.session import spread
 
+#: Scripts that one task writes and reads.
+SCRIPTS = 2000
 #: A script for each part. {k} is its key, {name} its name, {size} its size.
 MAIN = """-- part {k}: merge into ghost_{k} (nolock)
 CREATE TABLE [stock].[{name} {k}] (id int identity(1,1), note nvarchar(max) DEFAULT 'from ghost_{k}', price money);
@@ -59,7 +62,8 @@ def _scripts(t):
     body = F.concat(F.lit(MAIN), F.when(size == 0, "").otherwise(MERGE), F.when(size == 1, BROKEN).otherwise(""))
     for name, column in (("k", "p_partkey"), ("name", "p_name"), ("size", "p_size")):
         body = F.replace(body, F.lit(f"{{{name}}}"), F.col(column).cast("string"))
-    return t.part.select(F.col("p_partkey").alias("id"), body.alias("body"))
+    rows = spread(t.part.select("p_partkey", "p_name", "p_size", F.col("p_partkey").alias("id")), SCRIPTS, "id")
+    return rows.select("id", body.alias("body"))
 
 
 @query(f"SELECT DISTINCT id, object, op FROM ({_FACTS})")

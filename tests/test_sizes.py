@@ -1,8 +1,10 @@
 """What keeps the work of queries on large tables spread and bounded."""
 
+from pyspark.sql import functions as F
+
 from quarry.operators import callgraph as G
-from quarry.operators import codesql
-from quarry.plans import callgraphs
+from quarry.operators import codesql, sqltext
+from quarry.plans import callgraphs, scripts
 from quarry.plans.registry import Tables
 
 LARGE = "/root/testdata/sf0.1"
@@ -28,3 +30,35 @@ def test_arguments_that_are_names(spark):
     s = G.Symbols(spark.createDataFrame([("a", code)], "path string, code string"), "path", "code")
     want = codesql.calls(codesql.code_tokens(spark.createDataFrame([("a", code)], "path string, code string"), "path", "code")).where("form = 'name'").select("path", "pos", "value")
     assert sorted(map(tuple, s.given().collect())) == sorted(map(tuple, want.collect())) and want.count() == 3
+
+
+def test_scripts_stay_in_their_task(spark):
+    """Tokens are not shuffled: a script's task has all of it."""
+    rows = scripts._scripts(Tables(spark, LARGE))
+    assert rows.rdd.getNumPartitions() == 10
+    assert plan(sqltext.facts(rows, "id", "body")).count("Exchange") == 1
+    assert plan(sqltext.lineage(rows, "body", "id")).count("Exchange") == 1
+
+
+SAMPLES = {
+    "top": "TOP (1)", "apply": "outer apply", "nolock": "ReadUncommitted", "readpast": "READPAST", "locking_hints": "tablockx", "temp_table": "#a", "table_variable": "declare @a table", "dynamic": "execute (", "merge": "merge a",
+    "output": "output deleted", "identity": "scope_identity", "identity_column": "identity,", "identity_insert": "IDENTITY_INSERT", "cursor": "cursor local for", "cte": "with a as (select", "try_catch": "begin try",
+    "transactions": "begin TRAN", "savepoint": "save transaction", "raiserror": "raiserror", "throw": "throw", "waitfor": "waitfor", "goto": "goto", "while_loop": "while", "print": "print", "pivot": "unpivot (",
+    "for_xml": "for xml", "for_json": "for json", "openjson": "openjson(", "openxml": "openxml(", "openquery": "OPENROWSET(", "bulk_insert": "bulk insert", "full_text": "freetexttable(", "execute_as": "execute as",
+    "use_database": "use [", "sequence": "next value for", "synonym": "create synonym", "iif": "iif(", "try_convert": "try_parse(", "convert": "convert(", "isnull": "isnull(", "getdate": "sysdatetime(", "date_functions": "eomonth(",
+    "newid": "newsequentialid(", "max_type": "( max )", "money": "smallmoney", "uniqueidentifier": "uniqueidentifier", "datetime": "smalldatetime", "xml_type": "xml", "hierarchy_spatial": "geometry", "extended_procedure": "xp_a",
+    "global_variable": "@@a", "index": "create unique nonclustered index", "permissions": "deny a", "set_options": "set xact_abort",
+}
+
+
+def test_every_construct_is_counted_as_its_pattern_does(spark):
+    """Also where comments, strings, names and the mark itself stand between."""
+    texts = [*SAMPLES.values(), None, "", "\x01- \x01' \x01[ top 1", "a--b\n'it''s' N'x' [q]]r] \"s\" /* t */ top 2", "n'a' nolock [nolock] \"nolock\" /*/ nolock", "merge/**/into[a]", "with[a]as(select", "'" + "a''" * 1000]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string").coalesce(1)
+    pieces = F.regexp_extract_all("body", F.lit(rf"""{sqltext._COMMENT}|{sqltext._STRING}|\[[^\]]*+\]|"[^"]*+"|[^\["'/Nn-]++|[\["'/Nn-]"""), 0)
+    plain = F.array_join(F.transform(pieces, lambda t: F.when(t.startswith("--") | t.startswith("/*"), " ").when(t.rlike("^[Nn]?'"), "''").when(t.rlike(r'^[\["].'), "[x]").otherwise(t)), "")
+    want = df.select("id", plain.alias("code")).select("id", *[F.regexp_count("code", F.lit(p)).cast("long").alias(k) for k, p in sqltext.CONSTRUCTS.items()])
+    got = {r["id"]: r.asDict() for r in sqltext.census(df, "body", "id").collect()}
+    assert got == {r["id"]: r.asDict() for r in want.collect()}
+    assert all(got[n][k] for n, k in enumerate(SAMPLES)) and set(SAMPLES) == set(sqltext.CONSTRUCTS) == set(sqltext.WORDS)
+    assert "contains(__low" in plan(sqltext.census(df, "body", "id")).lower()
