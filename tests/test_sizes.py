@@ -40,6 +40,10 @@ def test_scripts_stay_in_their_task(spark):
     assert plan(sqltext.lineage(rows, "body", "id")).count("Exchange") == 1
 
 
+def test_lineage_sorts_tokens_four_times(spark):
+    assert plan(sqltext.lineage(scripts._scripts(Tables(spark, LARGE)), "body", "id")).count("Sort [") <= 4
+
+
 SAMPLES = {
     "top": "TOP (1)", "apply": "outer apply", "nolock": "ReadUncommitted", "readpast": "READPAST", "locking_hints": "tablockx", "temp_table": "#a", "table_variable": "declare @a table", "dynamic": "execute (", "merge": "merge a",
     "output": "output deleted", "identity": "scope_identity", "identity_column": "identity,", "identity_insert": "IDENTITY_INSERT", "cursor": "cursor local for", "cte": "with a as (select", "try_catch": "begin try",
