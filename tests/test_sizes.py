@@ -44,6 +44,11 @@ def test_lineage_sorts_tokens_four_times(spark):
     assert plan(sqltext.lineage(scripts._scripts(Tables(spark, LARGE)), "body", "id")).count("Sort [") <= 4
 
 
+def test_facts_sort_names_by_batch_and_no_window_by_statement(spark):
+    found = plan(sqltext.facts(scripts._scripts(Tables(spark, LARGE)), "id", "body"))
+    assert found.count("Sort [") <= 4 and "block" not in "".join(x.split("[")[1] for x in found.split("\n") if "- Sort [" in x)
+
+
 SAMPLES = {
     "top": "TOP (1)", "apply": "outer apply", "nolock": "ReadUncommitted", "readpast": "READPAST", "locking_hints": "tablockx", "temp_table": "#a", "table_variable": "declare @a table", "dynamic": "execute (", "merge": "merge a",
     "output": "output deleted", "identity": "scope_identity", "identity_column": "identity,", "identity_insert": "IDENTITY_INSERT", "cursor": "cursor local for", "cte": "with a as (select", "try_catch": "begin try",
