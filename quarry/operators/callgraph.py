@@ -333,20 +333,26 @@ def workflows(graph: DataFrame, nodes: DataFrame, entries: DataFrame, marks: Dat
 
     ``graph`` is (src, dst), ``nodes`` (node, file, first, last), ``entries`` (entry, file, first, last), ``marks`` (kind, name, file, line). An entry starts at the nodes
     that begin within its lines; the code it runs is its own lines and those of all nodes reached. A mark belongs to it if it stands in that code: spans and marks
-    meet on file and a block of ``bucket`` lines.
+    meet on file and a block of ``bucket`` lines. Of entries with the same lines one is followed, as they run the same code, and marks that are the same count once.
     """
     blocks = lambda a, b: F.explode(F.sequence((F.col(a) / bucket).cast("long"), (F.col(b) / bucket).cast("long")))
+    marks = written(marks.select("kind", "name", "file", "line").distinct())
     kinds = [r[0] for r in marks.select("kind").distinct().orderBy("kind").collect()]  # a few names of kinds
-    asked = entries.select("entry", F.col("file"), "first", "last", blocks("first", "last").alias("block"))
+    places = entries.where("entry IS NOT NULL").groupBy("entry").agg(F.array_sort(F.collect_set(F.struct("file", "first", "last"))).alias("places"))
+    first_of = places.groupBy("places").agg(F.min("entry").alias("lead"))
+    led = written(places.join(first_of, "places").select("entry", "lead", "places"))
+    followed = led.where("entry = lead").select("entry", F.explode("places").alias("place")).select("entry", "place.*")
+    asked = followed.select("entry", "file", "first", "last", blocks("first", "last").alias("block"))
     placed = nodes.select("node", "file", F.col("first").alias("at"), (F.col("first") / bucket).cast("long").alias("block"))
     seeds = asked.join(placed, ["file", "block"]).where("at BETWEEN first AND last").select("entry", F.col("node").alias("seed")).distinct()
     seeds = written(seeds)
     ran = reach(graph, seeds.select("seed").distinct()).select("seed", "node")
     ran = written(seeds.join(ran, "seed").select("entry", "node").union(seeds.select("entry", F.col("seed").alias("node"))).distinct())
-    spans = ran.join(nodes, "node").select("entry", "file", "first", "last").union(entries.select("entry", "file", "first", "last")).distinct()
+    spans = ran.join(nodes, "node").select("entry", "file", "first", "last").union(followed).distinct()
     spans = spans.select("entry", "file", "first", "last", blocks("first", "last").alias("block"))
     hits = spans.join(marks.withColumn("block", (F.col("line") / bucket).cast("long")), ["file", "block"]).where("line BETWEEN first AND last").select("entry", "kind", "name").distinct()
     sets = hits.groupBy("entry").agg(*[F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("name")))).alias(k) for k in kinds])
     counts = ran.groupBy("entry").agg(F.count("*").alias("nodes"))
-    out = entries.select("entry").distinct().join(counts, "entry", "left").join(sets, "entry", "left")
+    found = led.select("entry", "lead").join(counts.join(sets, "entry", "full").withColumnRenamed("entry", "lead"), "lead").drop("lead")
+    out = entries.select("entry").distinct().join(found, "entry", "left")
     return out.select("entry", F.coalesce("nodes", F.lit(0)).alias("nodes"), *[F.coalesce(k, F.array().cast("array<string>")).alias(k) for k in kinds])

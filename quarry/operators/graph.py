@@ -19,7 +19,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, hub: int
 
     Nodes with more than ``hub`` edges are reached but not expanded after the first step.
     """
-    e = edges.select("src", "dst").distinct()
+    e = written(edges.select("src", "dst").distinct())  # each round reads them
     if hub is not None:
         busy = e.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > hub).select("src")
     rounds, step = Rounds(edges.sparkSession), 1
@@ -30,6 +30,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None = None, hub: int
         grow = frontier if hub is None else frontier.join(busy, frontier["node"] == busy["src"], "left_anti")
         new = grow.join(e, grow["node"] == e["src"]).select("seed", F.col("dst").alias("node")).distinct()
         frontier = rounds.add(new.join(rounds.table(), ["seed", "node"], "left_anti").withColumn("depth", F.lit(step)))
+    discard(e)
     return rounds.table()
 
 

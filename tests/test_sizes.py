@@ -1,5 +1,6 @@
 """What keeps the work of queries on large tables spread and bounded."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import callgraph as G
@@ -71,3 +72,28 @@ def test_every_construct_is_counted_as_its_pattern_does(spark):
     assert got == {r["id"]: r.asDict() for r in want.collect()}
     assert all(got[n][k] for n, k in enumerate(SAMPLES)) and set(SAMPLES) == set(sqltext.CONSTRUCTS) == set(sqltext.WORDS)
     assert "contains(__low" in plan(sqltext.census(df, "body", "id")).lower()
+
+
+def test_entries_with_the_same_lines_are_followed_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(G, "reach", lambda graph, seeds, *a: seen.append(1) or graph.select(F.col("src").alias("seed"), F.col("dst").alias("node"), F.lit(1).alias("depth")))
+    tables, real = [], G.written
+    monkeypatch.setattr(G, "written", lambda df: tables.append(real(df)) or tables[-1])
+    graph = spark.createDataFrame([(1, 2)], "src long, dst long")
+    nodes = spark.createDataFrame([(1, "a", 10, 20), (2, "b", 1, 600)], "node long, file string, first int, last int")
+    entries = spark.createDataFrame([*[(f"e{k}", "a", 5, 12) for k in range(50)], ("two", "a", 5, 12), ("two", "b", 0, 1), ("none", None, 1, 2), (None, "a", 5, 12)], "entry string, file string, first int, last int")
+    marks = spark.createDataFrame([("host", "h", "b", 599)] * 100, "kind string, name string, file string, line int")
+    got = {r["entry"]: (r["nodes"], r["host"]) for r in G.workflows(graph, nodes, entries, marks).collect()}
+    assert got == {**{f"e{k}": (2, ["h"]) for k in range(50)}, "two": (2, ["h"]), "none": (0, []), None: (0, [])}
+    assert max(t.count() for t in tables if "node" in t.columns) == 4 and min(t.count() for t in tables if "kind" in t.columns) == 1
+
+
+@pytest.mark.parametrize("depth", [None, 2])
+def test_edges_of_a_reach_are_made_once(spark, depth):
+    """Each round reads the written edges, not what they are made from."""
+    from quarry.operators.graph import reach
+
+    made = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame(spark.sparkContext.parallelize([(k, k + 1) for k in range(6)], 1).map(lambda x: made.add(1) or x), "src long, dst long")
+    found = reach(rows, spark.createDataFrame([(0,)], "seed long"), depth)
+    assert found.count() == (depth or 6) and made.value == 6
