@@ -255,7 +255,7 @@ def late_sessions(t):
         rows.where(part).write.mode("append").parquet(f"{folder}/in")
         stream = t.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
         out = V.drain(V.late_sessions(stream, "user_id", "at", "arrived", "2 hours", "4 hours"), f"{folder}/out", f"{folder}/state", "append")
-    return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "stop": F.col("stop").cast("timestamp_ntz")})
+    return V.settled(out, "user_id").withColumns({"start": F.col("start").cast("timestamp_ntz"), "stop": F.col("stop").cast("timestamp_ntz")})
 
 
 @query("SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS roles, CAST(max(turn) - min(turn) + 1 AS BIGINT) AS span FROM conversations GROUP BY 1")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,7 +65,7 @@ class _Sessions(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "start long, stop long, n long")
+        self.open = handle.getListState("open", "start long, stop long, n long, given boolean")
         self.latest = handle.getValueState("latest", "at long")
 
     def _out(self, key, kind, rows):
@@ -74,32 +77,52 @@ class _Sessions(StatefulProcessor):
         else:
             self.open.clear()
 
+    def _wake(self, sessions):
+        """One timer is enough for a key: that of the session which ends first of those that are not given out."""
+        if sessions := [s for s in sessions if not s[3]]:
+            self.handle.registerTimer(min(map(self._due, sessions)))
+
+    def _due(self, session):
+        return (session[1] + self.gap + self.late) // 1000
+
     def handleInputRows(self, key, rows, timerValues):
         latest = self.latest.get()[0] if self.latest.exists() else None
-        sessions = [list(x) for x in self.open.get()] if self.open.exists() else []
-        late = []
-        events = pd.concat(list(rows)).sort_values(["arrived", "at"], kind="stable")
-        for at in events["at"].tolist():
+        sessions = sorted(tuple(x) for x in self.open.get()) if self.open.exists() else []
+        starts, late, void = [s[0] for s in sessions], [], []
+        parts = [(x["arrived"].to_numpy(), x["at"].to_numpy()) for x in rows]
+        arrived, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+        for at in times[np.lexsort((times, arrived))].tolist():
             if latest is not None and at < latest - self.late:
                 late.append((at, at, 1))
                 continue
             latest = at if latest is None else max(latest, at)
-            joined = [s for s in sessions if s[0] - self.gap <= at <= s[1] + self.gap]
-            sessions = [s for s in sessions if s not in joined]
-            sessions.append([min([at, *(s[0] for s in joined)]), max([at, *(s[1] for s in joined)]), 1 + sum(s[2] for s in joined)])
+            # sessions lie more than a gap apart, so the event can join the last that starts before it and the next one
+            after = bisect_right(starts, at)
+            first = after - 1 if after and at <= sessions[after - 1][1] + self.gap else after
+            last = after + 1 if after < len(sessions) and sessions[after][0] - self.gap <= at else after
+            joined = sessions[first:last]
+            void += [s[:3] for s in joined if s[3]]
+            sessions[first:last] = [(min([at, *(s[0] for s in joined)]), max([at, *(s[1] for s in joined)]), 1 + sum(s[2] for s in joined), False)]
+            starts[first:last] = [sessions[first][0]]
         self.latest.update((latest,)) if latest is not None else None
-        self._keep([tuple(s) for s in sessions])
-        for s in sessions:
-            self.handle.registerTimer((s[1] + self.gap + self.late) // 1000)
-        yield self._out(key, "late", late)
+        sessions = [s for s in sessions if not s[3] or s[1] + self.gap >= latest - self.late]
+        self._keep(sessions)
+        self._wake(sessions)
+        for kind, found in (("late", late), ("void", void)):
+            if found:
+                yield self._out(key, kind, found)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         sessions = [tuple(x) for x in self.open.get()] if self.open.exists() else []
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        done = [s for s in sessions if (s[1] + self.gap + self.late) // 1000 <= now]
+        now = timerValues.getCurrentWatermarkInMs()
+        done = [s for s in sessions if not s[3] and self._due(s) <= now]
         if done:
-            self._keep([s for s in sessions if s not in done])
-        yield self._out(key, "session", done)
+            latest = self.latest.get()[0]
+            left = [(*s[:3], s[3] or self._due(s) <= now) for s in sessions]
+            left = [s for s in left if not s[3] or s[1] + self.gap >= latest - self.late]
+            self._keep(left)
+            self._wake(left)
+            yield self._out(key, "session", [s[:3] for s in done])
 
     def close(self) -> None:
         pass
@@ -110,7 +133,8 @@ def late_sessions(events: DataFrame, key: str, at: str, arrived: str, gap: str,
 
     An event is late if it lies more than ``late`` before the latest event of its key that arrived before it; no
     event is dropped. A session (events of a key with at most ``gap`` between neighbours) is kept in state with an event-time timer and given out when the watermark, which follows
-    ``arrived`` (the time of arrival, which does not go back), passes its end by ``gap`` and ``late``. Rows without key or time are left out. State holds the open sessions of a key and one time.
+    ``arrived`` (the time of arrival, which does not go back), passes its end by ``gap`` and ``late``. Rows without key or time are left out. An event that is not late for its key may still
+    join a session that is given out; that session is then taken back by a row of kind ``void``, and the longer one follows (``settled`` applies this). State holds, of each key, one time and the sessions that are open or can still be joined.
     """
     micros = lambda text: events.sparkSession.sql(f"SELECT CAST(unix_micros(TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {text}) AS BIGINT)").first()[0]
     rows = events.where(F.col(key).isNotNull() & F.col(at).isNotNull() & F.col(arrived).isNotNull())
@@ -120,6 +144,12 @@ def late_sessions(events: DataFrame, key: str, at: str, arrived: str, gap: str,
     return out.select(F.col("key").alias(key), "kind", F.timestamp_micros("start").alias("start"), F.timestamp_micros("stop").alias("stop"), "n")
 
 
+def settled(found: DataFrame, key: str) -> DataFrame:
+    """The rows of ``late_sessions`` without sessions that were taken back."""
+    void = found.where("kind = 'void'").select(key, F.lit("session").alias("kind"), "start", "stop", "n")
+    return found.where("kind <> 'void'").join(void, [key, "kind", "start", "stop", "n"], "left_anti")
+
+
 def state_store(spark: SparkSession) -> None:
     """Keep states of streams in RocksDB, as timers need it."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

@@ -1,5 +1,7 @@
 """What keeps the work of queries on large tables spread and bounded."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from quarry.operators import callgraph as G
 from quarry.operators import codesql, sqltext
 from quarry.plans import callgraphs, scripts
 from quarry.plans.registry import Tables
+from quarry.streaming import events
 
 LARGE = "/root/testdata/sf0.1"
 
@@ -74,6 +77,75 @@ def test_every_construct_is_counted_as_its_pattern_does(spark):
     assert "contains(__low" in plan(sqltext.census(df, "body", "id")).lower()
 
 
+class Kept:
+    """A state of one key."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def put(self, value):
+        self.value = value
+
+    update = put
+
+    def clear(self):
+        self.value = None
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getListState(self, *_):
+        return Kept()
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Now:
+    def __init__(self, at):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: at
+
+
+def test_a_key_has_one_timer_however_many_sessions(spark):
+    s, rng = events._Sessions(2_000, 5_000_000), np.random.default_rng(7)
+    s.init(Handle())
+    times = np.unique(rng.integers(0, 2_000_000, 500))
+    rng.shuffle(times)
+    rows = pd.DataFrame({"arrived": pd.date_range("2024-01-01", periods=len(times), freq="s"), "at": times})
+    assert list(s.handleInputRows((1,), iter([rows[:200], rows[200:]]), None)) == []
+    assert len(s.handle.timers) == 1
+    want, ordered = [], np.sort(times).tolist()
+    for at in ordered:
+        want = [*want[:-1], (want[-1][0], at, want[-1][2] + 1)] if want and at - want[-1][1] <= 2_000 else [*want, (at, at, 1)]
+    assert [x[:3] for x in s.open.get()] == want and len(want) > 100 and s.handle.timers == [(want[0][1] + 5_002_000) // 1000]
+    out = pd.concat(s.handleExpiredTimer((1,), Now(6_000), Now(s.handle.timers[0])))
+    due = [w for w in want if (w[1] + 5_002_000) // 1000 <= 6_000]
+    assert sorted(zip(out["start"], out["stop"], out["n"], strict=True)) == due
+    assert [x[:3] for x in s.open.get() if not x[3]] == want[len(due) :] and len(s.handle.timers) == 2
+
+
+def test_a_session_that_is_joined_after_it_was_given_out_is_taken_back(spark):
+    s = events._Sessions(2_000, 4_000)
+    s.init(Handle())
+    rows = lambda *x: iter([pd.DataFrame({"arrived": pd.date_range("2024-01-01", periods=len(x), freq="s"), "at": list(x)})])
+    assert list(s.handleInputRows((1,), rows(10_000), None)) == []
+    assert pd.concat(s.handleExpiredTimer((1,), Now(16), Now(16))).values.tolist() == [[1, "session", 10_000, 10_000, 1]]
+    assert list(s.handleExpiredTimer((1,), Now(20), Now(20))) == []
+    assert pd.concat(s.handleInputRows((1,), rows(9_000), None)).values.tolist() == [[1, "void", 10_000, 10_000, 1]]
+    assert pd.concat(s.handleExpiredTimer((1,), Now(30), Now(16))).values.tolist() == [[1, "session", 9_000, 10_000, 2]]
+    assert list(s.handleInputRows((1,), rows(30_000), None)) == [] and s.open.get() == [(30_000, 30_000, 1, False)]
+
+
 def test_entries_with_the_same_lines_are_followed_once(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(G, "reach", lambda graph, seeds, *a: seen.append(1) or graph.select(F.col("src").alias("seed"), F.col("dst").alias("node"), F.lit(1).alias("depth")))
