@@ -36,6 +36,12 @@ def test_arguments_that_are_names(spark):
     assert sorted(map(tuple, s.given().collect())) == sorted(map(tuple, want.collect())) and want.count() == 3
 
 
+def test_only_tokens_that_edges_read_are_stored(spark):
+    df = spark.createDataFrame([("1", callgraphs.CODE.replace("§", "1"))], "path string, code string")
+    s = G.Symbols(df, "path", "code")
+    assert s.near.count() < 0.75 * codesql.code_tokens(df, "path", "code").count() and not hasattr(s, "tokens")
+
+
 def test_scripts_stay_in_their_task(spark):
     """Tokens are not shuffled: a script's task has all of it."""
     rows = scripts._scripts(Tables(spark, LARGE))
